@@ -28,7 +28,9 @@ class ScoreOrder:
     def __init__(self, matched: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS):
         self.thresholds = tuple(thresholds)
         order = [F.col("conf").desc(), F.col("image_id"), F.col("det_id")]
-        self.rows = sorted_chunks(matched.select("cls", "conf", "image_id", "det_id", "hits"), ["cls"], order)
+        # Range sorting reads its input twice (sample, then sort), hence the stored copy.
+        stored = write_table(matched, "matched")
+        self.rows = sorted_chunks(stored.select("cls", "conf", "image_id", "det_id", "hits"), ["cls"], order)
         self._bits = [f"tp_{k}" for k in range(len(self.thresholds))]
         sums = [F.sum(_bit(k)).alias(name) for k, name in enumerate(self._bits)]
         self.totals, _ = small_table(chunk_totals(self.rows, ["cls"], *sums), "score-totals")
@@ -41,48 +43,76 @@ class ScoreOrder:
         pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), F.col(n).alias("tp")) for t, n in zip(self.thresholds, self._bits)])
         return per.select("cls", "n_pred", F.inline(pairs))
 
-    def curve(self) -> DataFrame:
-        """True positives with ``rank, tp_cum, precision, envelope`` per class and threshold.
-
-        Precision falls on every false positive, so the envelope (running maximum from the right) is reached on
-        true positives alone and the false positives need not be kept.
+    def _wide_curve(self) -> DataFrame:
+        """Rows that are a true positive somewhere: ``cls, rank, hits``, and arrays ``tp_cum, precision, envelope``
+        with one element per threshold.
         """
+        size = range(len(self.thresholds))
         window = earlier_chunks(["cls"])
         starts, _ = small_table(
             self.totals.select(
                 "chunk", "cls",
                 (F.coalesce(F.sum("chunk_rows").over(window), F.lit(0)) - F.col("first_row") + 1).alias("shift"),
-                F.array(*[F.coalesce(F.sum(n).over(window), F.lit(0)) for n in self._bits]).alias("tp_before"),
+                *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(n) for n in self._bits],
             ),
             "score-starts",
         )
-        at = F.posexplode(F.array(*[_bit(k) for k in range(len(self.thresholds))])).alias("k", "hit")
-        hits = (
+        inside = Window.partitionBy("chunk", "cls")
+        ahead = inside.orderBy("chunk_row").rowsBetween(Window.unboundedPreceding, 0)
+        tail = inside.orderBy(F.col("chunk_row").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        running = (
             self.rows.filter(F.col("hits") != 0)
+            .select("cls", "chunk", "chunk_row", "hits")
             .join(starts, ["chunk", "cls"])
-            .select("cls", "chunk", (F.col("chunk_row") + F.col("shift")).alias("rank"), "tp_before", at)
-            .filter("hit = 1")
-            .select("cls", "k", "chunk", "rank", F.get("tp_before", F.col("k")).alias("before"))
-        )
-        inside = Window.partitionBy("chunk", "cls", "k")
-        running = F.col("before") + F.row_number().over(inside.orderBy("rank"))
-        curve = hits.withColumn("tp_cum", running).withColumn(
-            "precision", F.col("tp_cum") / (F.col("rank") + F.lit(EPS))
+            .withColumn("rank", F.col("chunk_row") + F.col("shift"))
+            .withColumns({f"c_{k}": F.col(self._bits[k]) + F.sum(_bit(k)).over(ahead) for k in size})
+            .withColumns({f"p_{k}": F.col(f"c_{k}") / (F.col("rank") + F.lit(EPS)) for k in size})
+            .withColumns({f"e_{k}": F.max(f"p_{k}").over(tail) for k in size})
+            .select("cls", "chunk", "rank", "hits", *[f"{c}_{k}" for c in "cpe" for k in size])
         )
-        tail = inside.orderBy(F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        curve = write_table(curve.drop("before").withColumn("inside", F.max("precision").over(tail)), "curve")
-        later = Window.partitionBy("cls", "k").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        curve = write_table(running, "curve")
+        later = Window.partitionBy("cls").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
         best, _ = small_table(
-            curve.groupBy("cls", "k", "chunk")
-            .agg(F.max("precision").alias("best"))
-            .select("cls", "k", "chunk", F.max("best").over(later).alias("later")),
+            curve.groupBy("cls", "chunk")
+            .agg(*[F.max(f"e_{k}").alias(f"b_{k}") for k in size])
+            .select("cls", "chunk", *[F.coalesce(F.max(f"b_{k}").over(later), F.lit(0.0)).alias(f"l_{k}") for k in size]),
             "precision-tails",
         )
-        envelope = F.greatest(F.col("inside"), F.coalesce("later", F.lit(0.0)))
-        threshold = F.get(F.array(*[F.lit(t) for t in self.thresholds]), F.col("k"))
-        return curve.join(best, ["cls", "k", "chunk"]).select(
-            "cls", threshold.alias("iou_thr"), "rank", "tp_cum", "precision", envelope.alias("envelope")
+        return curve.join(best, ["cls", "chunk"]).select(
+            "cls", "rank", "hits",
+            F.array(*[F.col(f"c_{k}") for k in size]).alias("tp_cum"),
+            F.array(*[F.col(f"p_{k}") for k in size]).alias("precision"),
+            F.array(*[F.greatest(f"e_{k}", f"l_{k}") for k in size]).alias("envelope"),
+        )
+
+    def curve(self) -> DataFrame:
+        """True positives with ``rank, tp_cum, precision, envelope`` per class and threshold.
+
+        Precision falls on every false positive, so the envelope (running maximum from the right) is reached on
+        true positives alone and the false positives need not be kept.
+        """
+        parts = [
+            F.struct(
+                F.lit(t).alias("iou_thr"), _bit(k).alias("hit"),
+                *[F.col(c)[k].alias(c) for c in ("tp_cum", "precision", "envelope")],
+            )
+            for k, t in enumerate(self.thresholds)
+        ]
+        return (
+            self._wide_curve()
+            .select("cls", "rank", F.inline(F.array(*parts)))
+            .filter("hit = 1")
+            .select("cls", "iou_thr", "rank", "tp_cum", "precision", "envelope")
+        )
+
+    def envelope_sums(self) -> DataFrame:
+        """``cls, iou_thr, total``: sum of the envelope over the true positives."""
+        size = range(len(self.thresholds))
+        sums = self._wide_curve().groupBy("cls").agg(
+            *[F.sum(F.when(_bit(k) == 1, F.col("envelope")[k])).alias(f"s_{k}") for k in size]
         )
+        pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), F.col(f"s_{k}").alias("total")) for k, t in enumerate(self.thresholds)])
+        return sums.select("cls", F.inline(pairs))
 
 
 def truth_counts(truth: DataFrame) -> DataFrame:
@@ -96,9 +126,8 @@ def average_precision(order: ScoreOrder, counts: DataFrame) -> DataFrame:
     Recall moves only on a true positive, by 1/n_gt, so AP is the sum of the envelope there.
     """
     grid = counts.select("cls", "n_gt", F.explode(F.array(*[F.lit(t) for t in order.thresholds])).alias("iou_thr"))
-    sums = order.curve().groupBy("cls", "iou_thr").agg(F.sum("envelope").alias("total"))
     ap = F.coalesce(F.col("total") / (F.col("n_gt") + F.lit(EPS)), F.lit(0.0))
-    return grid.join(sums, ["cls", "iou_thr"], "left").select("cls", "iou_thr", "n_gt", ap.alias("ap"))
+    return grid.join(order.envelope_sums(), ["cls", "iou_thr"], "left").select("cls", "iou_thr", "n_gt", ap.alias("ap"))
 
 
 def class_ids(predictions: DataFrame, truth: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from boxmill.operators.average_precision import (
 )
 from boxmill.operators.matching import IOU_THRESHOLDS, match_predictions
 from boxmill.operators.nms import nms
+from boxmill.session import write_table
 
 
 def score_predictions(
@@ -35,7 +36,9 @@ def evaluate(
     thresholds: Sequence[float] = IOU_THRESHOLDS,
 ) -> DataFrame:
     """One row: ``precision, recall, map50, map50_95, classes_evaluated`` of raw detections against ground truth."""
-    order, counts = score_predictions(nms(detections, nms_iou, max_det, agnostic), truth, thresholds)
+    # Read twice by the matching, so stored once.
+    merged = write_table(nms(detections, nms_iou, max_det, agnostic), "merged")
+    order, counts = score_predictions(merged, truth, thresholds)
     scores = precision_recall(order, counts).select("precision", "recall")
     means = mean_average_precision(average_precision(order, counts), thresholds[0])
     ids = class_ids(order.totals, counts).agg(F.count(F.lit(1)).alias("classes_evaluated"))

@@ -44,7 +44,7 @@ def small_table(df: DataFrame, name: str = "helper") -> tuple[DataFrame, int | N
     Up to ``MAX_LISTED_ROWS`` rows it becomes a local table marked for broadcast, returned with its row
     count. Beyond that it is written out, joins on it shuffle, and the count is None.
     """
-    rows = df.limit(MAX_LISTED_ROWS + 1).collect()
-    if len(rows) > MAX_LISTED_ROWS:
+    rows = df.limit(MAX_LISTED_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_LISTED_ROWS:
         return write_table(df, name), None
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), len(rows)
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), rows.num_rows
