@@ -105,3 +105,74 @@ def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.coalesce("label", F.lit(0))
     points = (F.col("image_id") * 37 + F.col("tile_id") * 211) % 600 + 350 * label
     return scored.select("image_id", "tile_id", (points.cast("double") / F.lit(1000.0)).alias("prob"), label.alias("label"))
+
+
+def pixel_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``image_id, tile_id, label, height, width, data``: an 8x8 BGR tile per embedding, four tiles to an image."""
+    values = F.transform(
+        "embedding",
+        lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((e.cast("double") * 2 + F.lit(0.5)) * 255))).cast("int"),
+    )
+    bgr = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(63)),
+            lambda i: F.array(*[F.get("v", (i + offset) % 64) for offset in (0, 21, 42)]),
+        )
+    )
+    hexes = F.array_join(F.transform(bgr, lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    return (
+        table(spark, sf_dir, "embeddings")
+        .withColumn("v", values)
+        .select(
+            F.floor(F.col("vec_id") / 4).alias("image_id"),
+            (F.col("vec_id") % 4).cast("int").alias("tile_id"),
+            (F.col("label") < 3).cast("int").alias("label"),
+            F.lit(8).alias("height"),
+            F.lit(8).alias("width"),
+            F.unhex(hexes).alias("data"),
+        )
+    )
+
+
+# Label texts of the stand-in annotations, by l_suppkey % 10.
+LABEL_TEXTS = (
+    "red", "Yellow", "GreenLeft", "off", "RedStraight", "yellow_blinking", "GREEN ARROW", "Switched-Off", "pedestrian", "RedLeft",
+)
+
+
+def annotation_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Images and annotation documents, one box per document.
+
+    The box form goes by line number, the label key by ``l_partkey``, the label text by ``l_suppkey``.
+    """
+    base = _truth_with_keys(spark, sf_dir).withColumn("file", F.concat_ws("_", "image_id", "box_id"))
+    corner = [F.col(c).cast("string") for c in CORNERS]
+    a, b, c, d = corner
+    direct = F.concat(F.lit('"x_min":'), a, F.lit(',"y_min":'), b, F.lit(',"x_max":'), c, F.lit(',"y_max":'), d)
+    points = F.concat(F.lit('"points":{"exterior":[['), c, F.lit(","), b, F.lit("],["), a, F.lit(","), d, F.lit("]]}"))
+    as_list = F.concat(F.lit('"bbox":['), a, F.lit(","), b, F.lit(","), c, F.lit(","), d, F.lit("]"))
+    as_dict = F.concat(F.lit('"bbox":{'), direct, F.lit("}"))
+    form = F.get(F.array(points, direct, as_list, as_dict), F.col("n") % 4)
+    key = F.get(F.array(*[F.lit(k) for k in ("classTitle", "class", "label", "category")]), (F.col("k1") % 4).cast("int"))
+    text = F.get(F.array(*[F.lit(t) for t in LABEL_TEXTS]), (F.col("k2") % 10).cast("int"))
+    obj = F.concat(F.lit('{"'), key, F.lit('":"'), text, F.lit('",'), form, F.lit("}"))
+    body = F.when(F.col("k1") % 3 == 0, F.concat(F.lit('{"objects":['), obj, F.lit("]}"))).when(
+        F.col("k1") % 3 == 1, F.concat(F.lit('{"annotations":['), obj, F.lit("]}"))
+    ).otherwise(F.concat(F.lit("["), obj, F.lit("]")))
+    docs = base.select("split", "file", body.alias("text"))
+    return base.select("split", "file", "width", "height"), docs
+
+
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run, line_no, line``: one printed line per event, runs by user."""
+    e = F.col("event_id")
+    kind = F.col("event_type")
+    line = (
+        F.when(kind == "view", F.concat(F.lit("Images processed: "), (e % 500 + 1).cast("string")))
+        .when(kind == "click", F.concat(F.lit("Tiles generated: "), (e % 5000 + 1).cast("string")))
+        .when(kind == "signup", F.concat(F.lit("Tiles kept by proposal model: "), (e % 3000).cast("string")))
+        .when(kind == "purchase", F.concat(F.lit("Total time: "), (e % 90 + 10).cast("string"), F.lit(".5 sec")))
+        .otherwise(F.concat(F.lit("Precision: 0."), F.lpad((e % 10000).cast("string"), 4, "0")))
+    )
+    run = F.concat(F.lit("run"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select(run.alias("run"), e.alias("line_no"), line.alias("line"))
