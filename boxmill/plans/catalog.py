@@ -211,7 +211,7 @@ def fixed_tiles(spark, d):
 
 @query
 def adaptive_plan(spark, d):
-    return rounded(_plan(spark, d).select("image_id", "share", "n_tiles", "overlap_px", "tile_w", "tile_h", "step_x", "step_y"), 12)
+    return rounded(_plan(spark, d).select("image_id", "share", "n_tiles", "overlap_px", "tile_w", "tile_h", "step_x", "step_y"), 15)
 
 
 @query
@@ -260,7 +260,7 @@ def tile_labels_with_negatives(spark, d):
 
 @query
 def label_sizes(spark, d):
-    return rounded(tiling.label_sizes(standins.truth(spark, d)), 12)
+    return rounded(tiling.label_sizes(standins.truth(spark, d)), 15)
 
 
 @query
