@@ -43,9 +43,9 @@ class ScoreOrder:
         pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), F.col(n).alias("tp")) for t, n in zip(self.thresholds, self._bits)])
         return per.select("cls", "n_pred", F.inline(pairs))
 
-    def _wide_curve(self) -> DataFrame:
-        """Rows that are a true positive somewhere: ``cls, rank, hits``, and arrays ``tp_cum, precision, envelope``
-        with one element per threshold.
+    def _wide_curve(self, stored: str) -> DataFrame:
+        """Rows that are a true positive somewhere: ``cls, rank, hits`` and per threshold k the columns ``c_k``
+        (true positives so far), ``p_k`` (precision) and ``e_k`` (envelope), as far as named in ``stored``.
         """
         size = range(len(self.thresholds))
         window = earlier_chunks(["cls"])
@@ -68,7 +68,7 @@ class ScoreOrder:
             .withColumns({f"c_{k}": F.col(self._bits[k]) + F.sum(_bit(k)).over(ahead) for k in size})
             .withColumns({f"p_{k}": F.col(f"c_{k}") / (F.col("rank") + F.lit(EPS)) for k in size})
             .withColumns({f"e_{k}": F.max(f"p_{k}").over(tail) for k in size})
-            .select("cls", "chunk", "rank", "hits", *[f"{c}_{k}" for c in "cpe" for k in size])
+            .select("cls", "chunk", "rank", "hits", *[f"{c}_{k}" for c in stored for k in size])
         )
         curve = write_table(running, "curve")
         later = Window.partitionBy("cls").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -78,12 +78,7 @@ class ScoreOrder:
             .select("cls", "chunk", *[F.coalesce(F.max(f"b_{k}").over(later), F.lit(0.0)).alias(f"l_{k}") for k in size]),
             "precision-tails",
         )
-        return curve.join(best, ["cls", "chunk"]).select(
-            "cls", "rank", "hits",
-            F.array(*[F.col(f"c_{k}") for k in size]).alias("tp_cum"),
-            F.array(*[F.col(f"p_{k}") for k in size]).alias("precision"),
-            F.array(*[F.greatest(f"e_{k}", f"l_{k}") for k in size]).alias("envelope"),
-        )
+        return curve.join(best, ["cls", "chunk"]).withColumns({f"e_{k}": F.greatest(f"e_{k}", f"l_{k}") for k in size})
 
     def curve(self) -> DataFrame:
         """True positives with ``rank, tp_cum, precision, envelope`` per class and threshold.
@@ -93,13 +88,13 @@ class ScoreOrder:
         """
         parts = [
             F.struct(
-                F.lit(t).alias("iou_thr"), _bit(k).alias("hit"),
-                *[F.col(c)[k].alias(c) for c in ("tp_cum", "precision", "envelope")],
+                F.lit(t).alias("iou_thr"), _bit(k).alias("hit"), F.col(f"c_{k}").alias("tp_cum"),
+                F.col(f"p_{k}").alias("precision"), F.col(f"e_{k}").alias("envelope"),
             )
             for k, t in enumerate(self.thresholds)
         ]
         return (
-            self._wide_curve()
+            self._wide_curve("cpe")
             .select("cls", "rank", F.inline(F.array(*parts)))
             .filter("hit = 1")
             .select("cls", "iou_thr", "rank", "tp_cum", "precision", "envelope")
@@ -108,8 +103,8 @@ class ScoreOrder:
     def envelope_sums(self) -> DataFrame:
         """``cls, iou_thr, total``: sum of the envelope over the true positives."""
         size = range(len(self.thresholds))
-        sums = self._wide_curve().groupBy("cls").agg(
-            *[F.sum(F.when(_bit(k) == 1, F.col("envelope")[k])).alias(f"s_{k}") for k in size]
+        sums = self._wide_curve("e").groupBy("cls").agg(
+            *[F.sum(F.when(_bit(k) == 1, F.col(f"e_{k}"))).alias(f"s_{k}") for k in size]
         )
         pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), F.col(f"s_{k}").alias("total")) for k, t in enumerate(self.thresholds)])
         return sums.select("cls", F.inline(pairs))

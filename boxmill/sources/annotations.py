@@ -75,37 +75,45 @@ def object_box(obj: Column, with_bbox: bool = True) -> Column:
 
 
 def document_status(images: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every image with ``root`` (parsed document) and ``status``: ok, no_annotation, unreadable or bad_json."""
+    """Every image with ``status``: ok, no_annotation, unreadable or bad_json."""
     joined = images.join(documents.withColumn("has_document", F.lit(True)), ["split", "file"], "left")
-    root = F.try_parse_json("text")
     status = (
         F.when(F.col("has_document").isNull(), "no_annotation")
         .when(F.col("width").isNull(), "unreadable")
-        .when(F.col("root").isNull(), "bad_json")
+        .when(F.try_parse_json("text").isNull(), "bad_json")
         .otherwise("ok")
     )
-    return joined.withColumn("root", root).withColumn("status", status).drop("text", "has_document")
+    return joined.select(*images.columns, status.alias("status"))
+
+
+def _evaluated_once(**columns: Column) -> Column:
+    """Columns as a generated row: costly expressions run once, however often later steps and filters use them."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
 
 
 def convert_annotations(images: DataFrame, documents: DataFrame, full: bool = True) -> DataFrame:
     """Boxes of all usable documents: ``split, file, obj_no, cls, xc, yc, bw, bh`` with values in [0, 1].
 
     ``full`` reads all layouts (as for a test set); otherwise the ``boxes`` key and the ``bbox`` form are not known.
-    Objects without a label, with an unknown label, without a box or with an empty box are dropped.
+    Objects without a label, with an unknown label, without a box or with an empty box are dropped. So are documents of
+    unreadable images and documents that are not JSON.
     """
     keys = OBJECT_KEYS if full else OBJECT_KEYS[:2]
-    objects = (
-        document_status(images, documents)
-        .filter("status = 'ok'")
+    readable = images.filter(F.col("width").isNotNull())
+    where = ["split", "file"]
+    parsed = (
+        readable.join(documents, where)
+        .select(*where, "width", "height", _evaluated_once(root=F.try_parse_json("text")))
+        .select(*where, "width", "height", F.posexplode(_objects(F.col("root"), keys)).alias("obj_no", "obj"))
         .select(
-            *[c for c in images.columns], F.posexplode(_objects(F.col("root"), keys)).alias("obj_no", "obj")
+            *where, "width", "height", "obj_no",
+            _evaluated_once(label=object_label(F.col("obj")), box=object_box(F.col("obj"), full)),
         )
+        .select(*where, "width", "height", "obj_no", "box", class_of_label(F.col("label")).alias("cls"))
+        .filter(F.col("cls").isNotNull() & is_valid(corners(F.col("box"))))
     )
-    parsed = objects.select(
-        "*", class_of_label(object_label(F.col("obj"))).alias("cls"), object_box(F.col("obj"), full).alias("box")
-    ).filter(F.col("cls").isNotNull() & is_valid(corners(F.col("box"))))
     center = corners_to_center(corners(F.col("box")), F.col("width"), F.col("height"))
-    return parsed.select("split", "file", "obj_no", "cls", *[clamp01(c).alias(n) for c, n in zip(center, ("xc", "yc", "bw", "bh"))])
+    return parsed.select(*where, "obj_no", "cls", *[clamp01(c).alias(n) for c, n in zip(center, ("xc", "yc", "bw", "bh"))])
 
 
 def conversion_counts(images: DataFrame, documents: DataFrame, boxes: DataFrame) -> DataFrame:
