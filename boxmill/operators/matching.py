@@ -7,19 +7,11 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxmill.functions.cells import cell_of, cells_between, centre_reach
 from boxmill.functions.geometry import CORNERS, corners, iou
 
 IOU_THRESHOLDS = tuple((50 + 5 * k) / 100 for k in range(10))
 
-# Side of the cells that spread the boxes of one image over join keys.
-CELL_PIXELS = 256
-
-
-def _cells(low: Column, high: Column) -> Column:
-    first = F.floor(low / CELL_PIXELS)
-    return F.explode(F.sequence(first, F.greatest(first, F.floor(high / CELL_PIXELS))))
-
-
 def overlap_pairs(
     predictions: DataFrame,
     truth: DataFrame,
@@ -31,20 +23,19 @@ def overlap_pairs(
 
     Columns: ``image_id, det_id, cls, conf, box_id, truth_cls, iou``. The join key holds, besides the image, a grid
     cell, so a crowded image spreads over many keys and far-apart boxes never meet. A truth box lies in the
-    cell of its centre. If the IoU reaches t, each side of the intersection is at least t times that side of either
-    box, so the centres differ by at most max(1-t, 1/(2t)-1/2) prediction sides: the prediction goes to those cells.
+    cell of its centre, a prediction in all cells where the centre of a matching truth box can be.
     """
-    reach = max(1.0 - min_iou, 0.5 / min_iou - 0.5)
+    reach = centre_reach(min_iou)
     x1, y1, x2, y2 = corners()
     rx, ry = (F.greatest(F.lit(0), side) * reach + 1e-6 for side in (x2 - x1, y2 - y1))
     cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
     probes = predictions.select(
         "image_id", "det_id", "cls", "conf", F.struct(*CORNERS).alias("p"), (cy - ry).alias("lo"), (cy + ry).alias("hi"),
-        _cells(cx - rx, cx + rx).alias("cell_x"),
-    ).select("image_id", "det_id", "cls", "conf", "p", "cell_x", _cells(F.col("lo"), F.col("hi")).alias("cell_y"))
+        cells_between(cx - rx, cx + rx).alias("cell_x"),
+    ).select("image_id", "det_id", "cls", "conf", "p", "cell_x", cells_between(F.col("lo"), F.col("hi")).alias("cell_y"))
     homes = truth.select(
         "image_id", "box_id", F.col("cls").alias("truth_cls"), F.struct(*CORNERS).alias("t"),
-        F.floor(cx / CELL_PIXELS).alias("cell_x"), F.floor(cy / CELL_PIXELS).alias("cell_y"),
+        cell_of(cx).alias("cell_x"), cell_of(cy).alias("cell_y"),
     )
     on = ["image_id", "cell_x", "cell_y"]
     if same_class:

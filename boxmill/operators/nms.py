@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxmill.functions.cells import cell_of, cells_between, centre_reach
 from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
 from boxmill.operators.ranking import split_large, top_rows
 from boxmill.session import write_table
@@ -20,6 +21,9 @@ from boxmill.session import write_table
 # worked off; Spark's group limit before the shuffle applies up to 1000 rows.
 BLOCK_ROWS = 1000
 
+# Below this threshold a box suppresses boxes much larger than itself, and a grid does not narrow the search.
+MIN_GRID_IOU = 0.2
+
 IMAGE_KEYS = ("image_id",)
 
 
@@ -107,25 +111,39 @@ def _nms_in_blocks(
             ),
             "nms-round",
         )
-        kept_parts.append(
-            round_.select(*keys, F.explode("kept").alias("k")).select(
-                *[F.col(c) if c in keys else F.col("k")[c].alias(c) for c in columns]
-            )
-        )
-        # Only what the test needs goes to the join; it is broadcast by its file size or joined by shuffle.
-        taken = round_.select(
-            *keys,
-            F.transform("kept", lambda k: F.struct(k["cls"].alias("cls"), *[k[c].alias(c) for c in CORNERS])).alias("kept"),
-            "last",
+        kept = round_.select(*keys, F.explode("kept").alias("k")).select(
+            *[F.col(c) if c in keys else F.col("k")[c].alias(c) for c in columns]
         )
-        here = F.struct(*[F.col(c) for c in ("cls", *CORNERS)])
+        kept_parts.append(kept)
         after = F.struct((-F.col("conf")).alias("rank_key"), "det_id") > F.col("last")
-        survives = ~F.exists("kept", lambda k: _conflict(k, here, threshold, agnostic))
-        total = F.col("n_kept") + F.size("kept")
+        total = F.col("n_kept") + F.col("n_new")
         open_ = (total < max_det) if max_det else F.lit(True)
-        rest = write_table(
-            rest.join(taken, keys).filter(after & open_ & survives).select(*columns, total.alias("n_kept")), "nms-rest"
+        later = (
+            rest.join(round_.select(*keys, F.size("kept").alias("n_new"), "last"), keys)
+            .filter(after & open_)
+            .select(*columns, total.alias("n_kept"))
         )
+        rest = write_table(_not_suppressed(later, kept, threshold, agnostic, keys), "nms-rest")
     if not kept_parts:
         return detections.limit(0)
     return reduce(DataFrame.unionByName, kept_parts)
+
+
+def _not_suppressed(rest: DataFrame, kept: DataFrame, threshold: float, agnostic: bool, keys: list[str]) -> DataFrame:
+    """Rows of ``rest`` that no kept detection suppresses: an anti join on the image and a grid cell.
+
+    A row lies in the cell of its centre, a kept box in all cells where the centre of a suppressed box can be.
+    """
+    x1, y1, x2, y2 = corners()
+    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+    on = keys if agnostic else [*keys, "cls"]
+    if threshold >= MIN_GRID_IOU:
+        reach = centre_reach(threshold)
+        rx, ry = (F.greatest(F.lit(0), side) * reach + 1e-6 for side in (x2 - x1, y2 - y1))
+        kept = kept.withColumn("cell_x", cells_between(cx - rx, cx + rx)).withColumn("cell_y", cells_between(cy - ry, cy + ry))
+        rest = rest.withColumn("cell_x", cell_of(cx)).withColumn("cell_y", cell_of(cy))
+        on = [*on, "cell_x", "cell_y"]
+    a, b = rest.alias("a"), kept.alias("b")
+    boxes = [[F.col(f"{side}.{c}") for c in CORNERS] for side in ("a", "b")]
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
+    return a.join(b, same & (iou(*boxes) > threshold), "left_anti").drop("cell_x", "cell_y")
