@@ -211,7 +211,14 @@ def fixed_tiles(spark, d):
 
 @query
 def adaptive_plan(spark, d):
-    return rounded(_plan(spark, d).select("image_id", "share", "n_tiles", "overlap_px", "tile_w", "tile_h", "step_x", "step_y"), 15)
+    return rounded(
+        _plan(spark, d).select("image_id", _share_in_pixels(), "n_tiles", "overlap_px", "tile_w", "tile_h", "step_x", "step_y")
+    )
+
+
+def _share_in_pixels():
+    """The share as an area: a number with one decimal, so that rounding has no ties."""
+    return (F.col("share") * F.col("width") * F.col("height")).alias("share_pixels")
 
 
 @query
@@ -260,7 +267,8 @@ def tile_labels_with_negatives(spark, d):
 
 @query
 def label_sizes(spark, d):
-    return rounded(tiling.label_sizes(standins.truth(spark, d)), 15)
+    sizes = tiling.label_sizes(standins.truth(spark, d)).join(standins.images(spark, d), "image_id")
+    return rounded(sizes.select("image_id", _share_in_pixels(), "overlap_px"))
 
 
 @query

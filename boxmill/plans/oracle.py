@@ -461,7 +461,7 @@ FROM (SELECT CAST(l_partkey % 85 AS INTEGER) AS cls FROM lineitem) GROUP BY cls"
 FROM (SELECT image_id, {_starts('width', 740, 592)} AS s FROM images)""", "images"),
     "fixed_tiles": build('SELECT image_id, "row", col, tile_id, x1, y1, x2, y2 FROM tile_grid', "tiles"),
     "adaptive_plan": build(
-        "SELECT image_id, round(share, 15) AS share, n_tiles, overlap_px, tile_w, tile_h, step_x, step_y FROM plan", "plan"),
+        "SELECT image_id, round(share * width * height, 6) AS share_pixels, n_tiles, overlap_px, tile_w, tile_h, step_x, step_y FROM plan", "plan"),
     "adaptive_tiles": build(
         'SELECT image_id, tile_id, "row", col, x1, y1, x2, y2, x1 < 0 OR y1 < 0 AS is_partial FROM adaptive', "adaptive"),
     "tile_base_names": build(
@@ -482,7 +482,7 @@ WHERE bw > 0 AND bw <= 1 AND bh > 0 AND bh <= 1""", "adaptive"),
     "tile_labels_with_negatives": build(
         """SELECT image_id, tile_id, count(b.box_id) AS n_boxes FROM tile_grid LEFT JOIN tile_boxes b USING (image_id, tile_id)
 GROUP BY image_id, tile_id""", "tile_boxes"),
-    "label_sizes": build("SELECT image_id, round(share, 15) AS share, overlap_px FROM sizes", "sizes"),
+    "label_sizes": build("SELECT image_id, round(share * width * height, 6) AS share_pixels, overlap_px FROM sizes JOIN images USING (image_id)", "sizes"),
     "tiles_per_axis": build(
         "SELECT split, min(n_tiles) AS min_tiles, max(n_tiles) AS max_tiles, round(avg(n_tiles), 6) AS avg_tiles FROM plan GROUP BY split",
         "plan"),
