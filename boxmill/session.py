@@ -13,6 +13,8 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 # Rows a helper table may have before it is no longer sent through the driver.
 MAX_LISTED_ROWS = 20_000
 
+_local_folders: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate tables: the cluster's checkpoint folder.
@@ -25,9 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="boxmill-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="boxmill-")
+    return _local_folders[application]
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
