@@ -1,20 +1,36 @@
-"""A grid of cells that spreads the boxes of one image over many join keys."""
+"""Grids of cells, one per size level, that spread the boxes of one image over many join keys.
+
+A box has the level of its longer side: the smallest power of two (at least 64 pixels) that is as long. At home it
+lies in one cell of its own level, the one of its centre. Of two boxes that overlap enough, the one of the lower level
+looks for the other at the other's level, where its reach is a few cells whatever the sizes. So a huge box among small
+ones costs no more rows than any other.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CELL_PIXELS = 256
+from boxmill.functions.geometry import is_valid
 
+FINEST = 6
+COARSEST = 40
+# Coordinates beyond this, infinite and NaN ones included, belong to no picture; such boxes meet nothing.
+FARTHEST = float(1 << (COARSEST - 1))
+# Covers rounding in the reach, in pixels.
+SLACK = 0.01
 
-def cell_of(position: Column) -> Column:
-    return F.floor(position / CELL_PIXELS)
+CELL = ("cell_role", "cell_level", "cell_x", "cell_y")
 
 
-def cells_between(low: Column, high: Column) -> Column:
-    """One row for each cell from ``low`` to ``high``."""
-    return F.explode(F.sequence(cell_of(low), F.greatest(cell_of(low), cell_of(high))))
+def placeable(box: Sequence[Column]) -> Column:
+    """True for boxes that can overlap another one: of positive area and within the coordinate range."""
+    near = reduce(Column.__and__, [(c > -FARTHEST) & (c < FARTHEST) for c in box])
+    return is_valid(box) & near
 
 
 def centre_reach(min_iou: float) -> float:
@@ -24,3 +40,59 @@ def centre_reach(min_iou: float) -> float:
     times as wide as the other, and the centres differ by at most (w + w')/2 - min_iou * max(w, w').
     """
     return max(1.0 - min_iou, 0.5 / min_iou - 0.5)
+
+
+def level_of(box: Sequence[Column]) -> Column:
+    """Bit length of the longer side, rounded up, less one: the exponent of the power of two that covers it."""
+    x1, y1, x2, y2 = box
+    longer = F.ceil(F.greatest(x2 - x1, y2 - y1)) - 1
+    return F.greatest(F.lit(FINEST), F.length(F.bin(longer)))
+
+
+def _cells(box: Sequence[Column], role: int, level: Column, reach: Sequence[Column]) -> Column:
+    """Cells of one level around the centre, as an array of structs named like CELL."""
+    x1, y1, x2, y2 = box
+    side = F.pow(F.lit(2.0), level)
+    xs, ys = (
+        F.sequence(F.floor((c - r) / side), F.floor((c + r) / side)) for c, r in zip(((x1 + x2) / 2, (y1 + y2) / 2), reach)
+    )
+    place = lambda x, y: F.struct(*(v.alias(n) for v, n in zip((F.lit(role), level.cast("int"), x, y), CELL)))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place(x, y))))
+
+
+def home(box: Sequence[Column], role: int) -> Column:
+    nothing = F.lit(0.0)
+    return _cells(box, role, level_of(box), (nothing, nothing))
+
+
+def search(box: Sequence[Column], role: int, min_iou: float, first: int) -> Column:
+    """Cells in which partners of the box's level plus ``first`` and coarser can be at home.
+
+    ``min_iou`` bounds how much larger a partner can be; 0 stands for any overlap at all.
+    """
+    x1, y1, x2, y2 = box
+    sides = (x2 - x1, y2 - y1)
+    own = level_of(box)
+    steps = COARSEST if min_iou <= 0 else math.ceil(math.log2(1 / min_iou) + 1e-9)
+    levels = F.sequence(own + first, F.greatest(own + first, F.least(own + steps, F.lit(COARSEST))))
+
+    def around(level: Column) -> Column:
+        reach = [(s + F.pow(F.lit(2.0), level)) / 2 + SLACK for s in sides]
+        if min_iou > 0:
+            reach = [F.least(r, s * centre_reach(min_iou) + SLACK) for r, s in zip(reach, sides)]
+        return _cells(box, role, level, reach)
+
+    found = F.flatten(F.transform(levels, around))
+    return found if first <= steps else F.filter(found, lambda c: F.lit(False))
+
+
+def searching(df: DataFrame, box: Sequence[Column], min_iou: float) -> DataFrame:
+    """One side of a meeting: rows looking for partners of their level or above, and rows at home for lower ones."""
+    cells = F.concat(search(box, 0, min_iou, 0), home(box, 1))
+    return df.where(placeable(box)).withColumn("cell", F.explode(cells)).select(*df.columns, "cell.*")
+
+
+def waiting(df: DataFrame, box: Sequence[Column], min_iou: float) -> DataFrame:
+    """The other side: rows at home, and rows looking for partners of a higher level. Every pair meets exactly once."""
+    cells = F.concat(home(box, 0), search(box, 1, min_iou, 1))
+    return df.where(placeable(box)).withColumn("cell", F.explode(cells)).select(*df.columns, "cell.*")

@@ -21,6 +21,16 @@ def covering_start(index: Column, length: Column, tile: int, step: int) -> Colum
     return F.greatest(F.lit(0), F.least(index * step, length - tile))
 
 
+def covering_origin(tile_id: Column, width: Column, height: Column, tile: int, overlap: float) -> list[Column]:
+    """``tx, ty``: start of a row-major tile of a covering grid; null for a number outside the grid."""
+    step = tile_step(tile, overlap)
+    cols, rows = covering_count(width, tile, step), covering_count(height, tile, step)
+    row = F.floor(tile_id / cols).cast("int")
+    inside = (tile_id >= 0) & (row < rows)
+    starts = covering_start(tile_id % cols, width, tile, step), covering_start(row, height, tile, step)
+    return [F.when(inside, s).alias(name) for s, name in zip(starts, ("tx", "ty"))]
+
+
 def tile_starts(length: Column, tile: int, overlap: float) -> Column:
     """All starts of a covering grid as an array."""
     step = tile_step(tile, overlap)

@@ -13,8 +13,8 @@ MATCH_IOU = 0.5
 
 
 def int_boxes(df: DataFrame) -> DataFrame:
-    """Corners truncated to integers."""
-    return df.withColumns({c: F.col(c).cast("int") for c in CORNERS})
+    """Corners truncated to integers; null where a corner is no such number, which meets nothing."""
+    return df.withColumns({c: F.col(c).try_cast("int") for c in CORNERS})
 
 
 def first_matches(predictions: DataFrame, truth: DataFrame, min_iou: float = MATCH_IOU) -> DataFrame:
@@ -79,18 +79,29 @@ def report_boxes(detections: DataFrame, iou_threshold: float = 0.5) -> DataFrame
 def image_errors(images: DataFrame, predictions: DataFrame, truth: DataFrame, min_iou: float = MATCH_IOU) -> DataFrame:
     """Per image: unmatched truth boxes, overlaps of another class, predictions without a box, and ``wrong``."""
     pairs = overlap_pairs(int_boxes(predictions), int_boxes(truth), min_iou, same_class=False, iou_of=int_iou)
-    # Two-level counts: first per box and per prediction, then per image.
-    per_box = (
-        pairs.groupBy("image_id", "box_id")
-        .agg(F.count_if(F.col("cls") != F.col("truth_cls")).alias("mixed"))
+    # One pass over the pairs: each adds to its box and to its prediction, summed up before anything moves.
+    mixed = F.when(F.col("cls") != F.col("truth_cls"), 1).otherwise(0)
+    ids = F.struct(*(F.col(c) for c in pairs.columns if c in ("tile_id", "det_id")))
+    no_id = F.lit(None).cast(pairs.select(ids.alias("i")).schema["i"].dataType)
+    sides = F.array(
+        F.struct(F.col("box_id").alias("box"), no_id.alias("det"), mixed.alias("mixed")),
+        F.struct(F.lit(None).cast(pairs.schema["box_id"].dataType).alias("box"), ids.alias("det"), F.lit(0).alias("mixed")),
+    )
+    used = (
+        pairs.select("image_id", F.inline(sides))
+        .groupBy("image_id", "box", "det")
+        .agg(F.sum("mixed").alias("mixed"))
         .groupBy("image_id")
-        .agg(F.count(F.lit(1)).alias("matched_gt"), F.sum("mixed").alias("class_conflicts"))
+        .agg(
+            F.count_if(F.col("det").isNull()).alias("matched_gt"),
+            F.sum("mixed").alias("class_conflicts"),
+            F.count_if(F.col("det").isNotNull()).alias("n_used"),
+        )
     )
-    per_det = pairs.select("image_id", "det_id").distinct().groupBy("image_id").agg(F.count(F.lit(1)).alias("n_used"))
     preds = predictions.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pred"))
     boxes = truth.groupBy("image_id").agg(F.count(F.lit(1)).alias("total_gt"))
     joined = images.select("image_id")
-    for part in (boxes, preds, per_box, per_det):
+    for part in (boxes, preds, used):
         joined = joined.join(part, "image_id", "left")
     joined = joined.na.fill(0, ["total_gt", "n_pred", "matched_gt", "class_conflicts", "n_used"])
     missed, extra = F.col("total_gt") - F.col("matched_gt"), F.col("n_pred") - F.col("n_used")

@@ -10,9 +10,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.geometry import corners, shift
+from boxmill.functions import grids
+from boxmill.functions.geometry import CORNERS, corners, shift
 from boxmill.operators.ranking import top_rows
+from boxmill.operators.tiling import OVERLAP, TILE_SIZE
 
+# The thresholds of the sweep.
 SWEEP = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 TILE_THRESHOLD = 0.5
 TOP_K = 2
@@ -84,19 +87,20 @@ def top_k_report(scores: DataFrame, k: int = TOP_K) -> DataFrame:
     )
 
 
-def image_detections(tile_detections: DataFrame, tiles: DataFrame, scores: DataFrame | None = None,
-                     threshold: float = TILE_THRESHOLD) -> DataFrame:
-    """Detections of kept tiles in image coordinates.
+def image_detections(tile_detections: DataFrame, scores: DataFrame | None = None, threshold: float = TILE_THRESHOLD,
+                     tile: int = TILE_SIZE, overlap: float = OVERLAP) -> DataFrame:
+    """Detections of kept tiles in image coordinates, without ``width`` and ``height``.
 
-    ``tile_detections`` are in tile coordinates with ``image_id, tile_id``. With ``scores``, detections of tiles
-    that did not pass the gate are dropped first.
+    ``tile_detections`` are in tile coordinates with ``image_id, tile_id`` and the image's ``width, height``, from which
+    a tile's origin follows; detections of tiles outside the grid are dropped. With ``scores``, detections of tiles that
+    did not pass the gate are dropped first.
     """
     if scores is not None:
         passed = kept_tiles(scores, threshold).select("image_id", "tile_id")
         tile_detections = tile_detections.join(passed, ["image_id", "tile_id"], "left_semi")
-    origin = tiles.select("image_id", "tile_id", F.col("x1").alias("tx"), F.col("y1").alias("ty"))
-    moved = tile_detections.join(origin, ["image_id", "tile_id"])
-    rest = [c for c in tile_detections.columns if c not in ("x1", "y1", "x2", "y2")]
+    origin = grids.covering_origin(F.col("tile_id"), F.col("width"), F.col("height"), tile, overlap)
+    moved = tile_detections.select("*", *origin).filter("tx IS NOT NULL")
+    rest = [c for c in tile_detections.columns if c not in (*CORNERS, "width", "height")]
     return moved.select(*rest, *shift(corners(), F.col("tx"), F.col("ty")))
 
 

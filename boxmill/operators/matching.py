@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import cell_of, cells_between, centre_reach
+from boxmill.functions.cells import CELL, searching, waiting
 from boxmill.functions.geometry import CORNERS, corners, iou
 
 IOU_THRESHOLDS = tuple((50 + 5 * k) / 100 for k in range(10))
 
+
+def _keys(predictions: DataFrame) -> list[str]:
+    """What names a prediction: image, tile if there is one, and the detection's number there."""
+    return [c for c in ("image_id", "tile_id", "det_id") if c in predictions.columns]
+
+
 def overlap_pairs(
     predictions: DataFrame,
     truth: DataFrame,
@@ -21,30 +28,20 @@ def overlap_pairs(
 ) -> DataFrame:
     """Pairs of one image with an IoU of at least ``min_iou`` (> 0), each pair once.
 
-    Columns: ``image_id, det_id, cls, conf, box_id, truth_cls, iou``. The join key holds, besides the image, a grid
-    cell, so a crowded image spreads over many keys and far-apart boxes never meet. A truth box lies in the
-    cell of its centre, a prediction in all cells where the centre of a matching truth box can be.
+    Columns: ``image_id``, ``tile_id`` if predictions have it, ``det_id, cls, conf, box_id, truth_cls, iou``. The join key
+    holds, besides the image, a grid cell of a size level, so a crowded image spreads over many keys, far-apart boxes never
+    meet, and a box of any size lies in a few cells. Boxes that are not finite or have no area meet nothing.
     """
-    reach = centre_reach(min_iou)
-    x1, y1, x2, y2 = corners()
-    rx, ry = (F.greatest(F.lit(0), side) * reach + 1e-6 for side in (x2 - x1, y2 - y1))
-    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
-    probes = predictions.select(
-        "image_id", "det_id", "cls", "conf", F.struct(*CORNERS).alias("p"), (cy - ry).alias("lo"), (cy + ry).alias("hi"),
-        cells_between(cx - rx, cx + rx).alias("cell_x"),
-    ).select("image_id", "det_id", "cls", "conf", "p", "cell_x", cells_between(F.col("lo"), F.col("hi")).alias("cell_y"))
-    homes = truth.select(
-        "image_id", "box_id", F.col("cls").alias("truth_cls"), F.struct(*CORNERS).alias("t"),
-        cell_of(cx).alias("cell_x"), cell_of(cy).alias("cell_y"),
-    )
-    on = ["image_id", "cell_x", "cell_y"]
+    probes = searching(predictions.select(*_keys(predictions), "cls", "conf", *CORNERS), corners(), min_iou)
+    homes = waiting(truth.select("image_id", "box_id", F.col("cls").alias("truth_cls"), *CORNERS), corners(), min_iou)
+    p, t = probes.alias("p"), homes.alias("t")
+    on = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("image_id", *CELL)]
     if same_class:
-        homes = homes.withColumn("cls", F.col("truth_cls"))
-        on.append("cls")
-    value = iou_of(corners(F.col("p")), corners(F.col("t")))
+        on.append(F.col("p.cls") == F.col("t.truth_cls"))
+    value = iou_of(*([F.col(f"{side}.{c}") for c in CORNERS] for side in ("p", "t")))
     return (
-        probes.join(homes, on)
-        .select("image_id", "det_id", "cls", "conf", "box_id", "truth_cls", value.alias("iou"))
+        p.join(t, reduce(Column.__and__, on))
+        .select(*(F.col(f"p.{c}") for c in _keys(predictions)), "p.cls", "p.conf", "box_id", "truth_cls", value.alias("iou"))
         .filter(F.col("iou") >= min_iou)
     )
 
@@ -52,18 +49,21 @@ def overlap_pairs(
 def best_truth(predictions: DataFrame, truth: DataFrame, min_iou: float) -> DataFrame:
     """Each prediction with the same-class truth box of highest IoU, the lowest ``box_id`` on ties.
 
-    Columns: ``image_id, det_id, cls, conf, best_iou, best_box``; the last two are null when no box reaches
+    Columns: the prediction's key, ``cls, conf, best_iou, best_box``; the last two are null when no box reaches
     ``min_iou``. Unmatched predictions enter the same aggregation as rows without a pair, which saves a
-    join back, and partial aggregation shrinks the pairs before they move.
+    join back, and partial aggregation shrinks the pairs before they move. The key (image, tile if any, number) names
+    one prediction; two rows with the same key, class and score fail the job.
     """
-    keys = ["image_id", "det_id", "cls", "conf"]
+    keys = [*_keys(predictions), "cls", "conf"]
     pair = F.struct("iou", (-F.col("box_id")).alias("neg_box"))
-    pairs = overlap_pairs(predictions, truth, min_iou).select(*keys, pair.alias("best"))
-    alone = predictions.select(*keys, F.lit(None).cast(pairs.schema["best"].dataType).alias("best"))
+    pairs = overlap_pairs(predictions, truth, min_iou).select(*keys, pair.alias("best"), F.lit(0).alias("own"))
+    alone = predictions.select(*keys, F.lit(None).cast(pairs.schema["best"].dataType).alias("best"), F.lit(1).alias("own"))
+    once = F.when(F.sum("own") > 1, F.raise_error(F.lit("two detections share image, tile, number, class and score")).cast("int"))
     return (
         pairs.unionByName(alone)
         .groupBy(*keys)
-        .agg(F.max("best").alias("best"))
+        .agg(F.max("best").alias("best"), once.alias("fault"))
+        .filter("fault IS NULL")
         .select(*keys, F.col("best.iou").alias("best_iou"), (-F.col("best.neg_box")).alias("best_box"))
     )
 
@@ -78,11 +78,12 @@ def match_predictions(
     once: it is a hit exactly for the thresholds above that value and up to its own IoU.
     """
     best = best_truth(predictions, truth, min(thresholds))
-    # Unmatched predictions get a window group of their own instead of sharing the null box.
-    alone = F.when(F.col("best_box").isNull(), F.col("det_id"))
+    # Unmatched predictions are spread over window groups of their own instead of sharing the null box.
+    ids = _keys(predictions)[1:]
+    alone = F.when(F.col("best_box").isNull(), F.struct(*ids))
     claims = (
         Window.partitionBy("image_id", "cls", "best_box", alone)
-        .orderBy(F.col("conf").desc(), "det_id")
+        .orderBy(F.col("conf").desc(), *ids)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     taken = F.coalesce(F.max("best_iou").over(claims), F.lit(-1.0))

@@ -1,8 +1,10 @@
 """Greedy non-maximum suppression.
 
-Detections: ``image_id, det_id, cls, x1, y1, x2, y2, conf`` plus any payload columns. The order is ``conf``
-descending, then ``det_id``. A detection is kept unless its IoU with an already kept one (of the same class, or of
-any class when ``agnostic``) is above the threshold; an IoU equal to the threshold survives.
+Detections: ``image_id, det_id, cls, x1, y1, x2, y2, conf`` plus any payload columns. All rows of an image have one
+total order: ``conf`` descending, NaN and then null scores last, then ``tile_id`` (if there is one), ``det_id``, class,
+corners, and at last the row's hash. A detection is kept unless its IoU with an already kept one (of the same class, or
+of any class when ``agnostic``) is above the threshold; an IoU equal to the threshold survives. Boxes without
+positive area or with coordinates that are not finite meet nothing and are kept.
 """
 
 from __future__ import annotations
@@ -12,138 +14,115 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import cell_of, cells_between, centre_reach
+from boxmill.functions.cells import CELL, placeable, searching, waiting
 from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
 from boxmill.operators.ranking import split_large, top_rows
 from boxmill.session import write_table
 
-# Detections of one image that are handled as one array. Also the size of the blocks in which larger images are
-# worked off; Spark's group limit before the shuffle applies up to 1000 rows.
-BLOCK_ROWS = 1000
-
-# Below this threshold a box suppresses boxes much larger than itself, and a grid does not narrow the search.
-MIN_GRID_IOU = 0.2
+# Detections of one image that are walked through as one array. Larger images take rounds with the same result.
+ARRAY_ROWS = 1000
 
 IMAGE_KEYS = ("image_id",)
 
 
+def _rank(df: DataFrame) -> Column:
+    """The place of a detection in its image, as a struct that sorts ascending; equal only for equal rows."""
+    conf = F.col("conf").cast("double")
+    unscored = F.when(conf.isNull(), 2).when(F.isnan(conf), 1).otherwise(0)
+    ids = [F.col(c) for c in ("tile_id", "det_id") if c in df.columns]
+    values = [unscored, F.when(unscored == 0, -conf).otherwise(0.0), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
+    return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(values)))
+
+
 def _conflict(kept: Column, other: Column, threshold: float, agnostic: bool) -> Column:
     a, b = corners(kept), corners(other)
-    close = overlaps(a, b) & (iou(a, b) > threshold)
+    close = placeable(a) & placeable(b) & overlaps(a, b) & (iou(a, b) > threshold)
     return close if agnostic else (kept["cls"] == other["cls"]) & close
 
 
-def _greedy(candidates: Column, empty: Column, threshold: float, agnostic: bool, room: Column | None) -> Column:
+def _greedy(candidates: Column, empty: Column, threshold: float, agnostic: bool, room: int | None) -> Column:
     """Walk through an ordered array of detections and collect the kept ones, at most ``room`` of them."""
 
     def step(kept: Column, det: Column) -> Column:
         drop = F.exists(kept, lambda k: _conflict(k, det, threshold, agnostic))
-        if room is not None:
+        if room:
             drop = (F.size(kept) >= room) | drop
         return F.when(drop, kept).otherwise(F.concat(kept, F.array(det)))
 
     return F.aggregate(candidates, empty, step)
 
 
-def _packed(df: DataFrame, keys: list[str]) -> tuple[Column, Column]:
-    """Detections as structs that sort in NMS order, and an empty array of that type."""
-    rest = [c for c in df.columns if c not in keys and c != "det_id"]
-    packed = F.struct((-F.col("conf")).alias("rank_key"), "det_id", *rest)
-    kind = df.select(packed.alias("p")).schema["p"].dataType.simpleString()
-    return packed, F.array().cast(f"array<{kind}>")
-
-
 def nms(
     detections: DataFrame,
     iou_threshold: float = 0.5,
     max_det: int | None = 300,
     agnostic: bool = False,
     keys: tuple[str, ...] = IMAGE_KEYS,
-    block_rows: int = BLOCK_ROWS,
+    array_rows: int = ARRAY_ROWS,
 ) -> DataFrame:
-    """Kept detections per image, at most ``max_det`` of them (None or 0: no limit).
+    """Kept detections per image, at most ``max_det`` of them (None or 0: no limit). Null keys make one image.
 
     The class-wise limit and the limit on the merged list coincide: the first ``max_det`` of the merged list hold
     at most ``max_det`` of any class. So one pass over the image in score order is enough.
 
     Ordinary images take one shuffle on the image key and one array per image. Images with more than
-    ``block_rows`` detections are never collected as a whole; see ``_nms_in_blocks``.
+    ``array_rows`` detections are never collected as a whole; see ``_nms_in_rounds``. Both give the same rows.
     """
     keys_ = list(keys)
-    small, large = split_large(detections, keys_, block_rows)
-    room = F.lit(max_det) if max_det else None
-    packed, empty = _packed(small, keys_)
+    small, large = split_large(detections, keys_, array_rows)
+    rest = [c for c in detections.columns if c not in keys_]
+    packed = F.struct(_rank(detections).alias("rank"), *rest)
+    kind = small.select(packed.alias("p")).schema["p"].dataType.simpleString()
+    empty = F.array().cast(f"array<{kind}>")
     kept = (
         small.groupBy(*keys_)
         .agg(F.sort_array(F.collect_list(packed)).alias("candidates"))
-        .select(*keys_, F.explode(_greedy(F.col("candidates"), empty, iou_threshold, agnostic, room)).alias("kept"))
+        .select(*keys_, F.explode(_greedy(F.col("candidates"), empty, iou_threshold, agnostic, max_det)).alias("kept"))
         .select(*[F.col(c) if c in keys_ else F.col("kept")[c].alias(c) for c in detections.columns])
     )
     if large is None:
         return kept
-    return kept.unionByName(_nms_in_blocks(large, iou_threshold, max_det, agnostic, keys_, block_rows))
+    return kept.unionByName(_nms_in_rounds(large, iou_threshold, max_det, agnostic, keys_))
 
 
-def _nms_in_blocks(
-    detections: DataFrame, threshold: float, max_det: int | None, agnostic: bool, keys: list[str], block_rows: int
-) -> DataFrame:
+def _nms_in_rounds(detections: DataFrame, threshold: float, max_det: int | None, agnostic: bool, keys: list[str]) -> DataFrame:
     """Exact NMS for images of any size, in rounds over all large images at once.
 
-    A round takes the ``block_rows`` best remaining detections of each image (a top-k, cut before the shuffle),
-    resolves them as one small array, then removes from the rest everything that one of the newly kept ones
-    suppresses. What remains next round has met every better kept detection, so the result equals the walk
-    over the whole image. Images leave as soon as they have ``max_det`` kept or nothing is left.
+    A round keeps every remaining detection that no better remaining one conflicts with, and strikes out what these
+    suppress. The number of rounds follows the longest chain of suppression, not the size of the crowd. Conflicts are
+    looked up by grid cell as existence checks, so no pairs are written. The limit is taken at the end.
     """
     columns = detections.columns
-    rest = write_table(detections.withColumn("n_kept", F.lit(0)), "nms-rest")
-    kept_parts = []
+    # Equal rows are told apart by a number that is written out once and never computed again.
+    numbered = detections.withColumn("nms_rank", _rank(detections)).withColumn("nms_row", F.monotonically_increasing_id())
+    rest = write_table(numbered, "nms-rest")
+    parts = []
     while not rest.isEmpty():
-        block = top_rows(rest, keys, [F.col("conf").desc(), F.col("det_id")], block_rows).drop("rank")
-        packed, empty = _packed(block, keys)
-        grouped = block.groupBy(*keys).agg(F.sort_array(F.collect_list(packed)).alias("candidates"))
-        room = F.lit(max_det) - F.get("candidates", F.lit(0))["n_kept"] if max_det else None
-        last = F.element_at("candidates", -1)
-        round_ = write_table(
-            grouped.select(
-                *keys,
-                _greedy(F.col("candidates"), empty, threshold, agnostic, room).alias("kept"),
-                F.struct(last["rank_key"].alias("rank_key"), last["det_id"].alias("det_id")).alias("last"),
-            ),
-            "nms-round",
-        )
-        kept = round_.select(*keys, F.explode("kept").alias("k")).select(
-            *[F.col(c) if c in keys else F.col("k")[c].alias(c) for c in columns]
-        )
-        kept_parts.append(kept)
-        after = F.struct((-F.col("conf")).alias("rank_key"), "det_id") > F.col("last")
-        total = F.col("n_kept") + F.col("n_new")
-        open_ = (total < max_det) if max_det else F.lit(True)
-        later = (
-            rest.join(round_.select(*keys, F.size("kept").alias("n_new"), "last"), keys)
-            .filter(after & open_)
-            .select(*columns, total.alias("n_kept"))
-        )
-        rest = write_table(_not_suppressed(later, kept, threshold, agnostic, keys), "nms-rest")
-    if not kept_parts:
+        beaten = _in_conflict(rest, rest, threshold, agnostic, keys, better=True)
+        leaders = write_table(rest.join(beaten, "nms_row", "left_anti"), "nms-kept")
+        parts.append(leaders)
+        others = rest.join(leaders.select("nms_row"), "nms_row", "left_anti")
+        struck = _in_conflict(others, leaders, threshold, agnostic, keys, better=False)
+        rest = write_table(others.join(struck, "nms_row", "left_anti"), "nms-rest")
+    if not parts:
         return detections.limit(0)
-    return reduce(DataFrame.unionByName, kept_parts)
+    kept = reduce(DataFrame.unionByName, parts)
+    if max_det:
+        kept = top_rows(kept, keys, [F.col("nms_rank"), F.col("nms_row")], max_det, "nms_place")
+    return kept.select(*columns)
 
 
-def _not_suppressed(rest: DataFrame, kept: DataFrame, threshold: float, agnostic: bool, keys: list[str]) -> DataFrame:
-    """Rows of ``rest`` that no kept detection suppresses: an anti join on the image and a grid cell.
-
-    A row lies in the cell of its centre, a kept box in all cells where the centre of a suppressed box can be.
-    """
-    x1, y1, x2, y2 = corners()
-    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
+def _in_conflict(rows: DataFrame, others: DataFrame, threshold: float, agnostic: bool, keys: list[str], better: bool) -> DataFrame:
+    """``nms_row`` of the rows with a conflicting one among ``others`` (a better one, if asked for)."""
     on = keys if agnostic else [*keys, "cls"]
-    if threshold >= MIN_GRID_IOU:
-        reach = centre_reach(threshold)
-        rx, ry = (F.greatest(F.lit(0), side) * reach + 1e-6 for side in (x2 - x1, y2 - y1))
-        kept = kept.withColumn("cell_x", cells_between(cx - rx, cx + rx)).withColumn("cell_y", cells_between(cy - ry, cy + ry))
-        rest = rest.withColumn("cell_x", cell_of(cx)).withColumn("cell_y", cell_of(cy))
-        on = [*on, "cell_x", "cell_y"]
-    a, b = rest.alias("a"), kept.alias("b")
+    slim = [*dict.fromkeys([*on, "nms_row", "nms_rank", *CORNERS])]
+    a = searching(rows.select(*slim), corners(), threshold).alias("a")
+    b = waiting(others.select(*slim), corners(), threshold).alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    same += [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*CELL, *on[len(keys):])]
     boxes = [[F.col(f"{side}.{c}") for c in CORNERS] for side in ("a", "b")]
-    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on])
-    return a.join(b, same & (iou(*boxes) > threshold), "left_anti").drop("cell_x", "cell_y")
+    hit = overlaps(*boxes) & (iou(*boxes) > threshold)
+    if better:
+        order = lambda side: F.struct(F.col(f"{side}.nms_rank"), F.col(f"{side}.nms_row"))
+        hit &= order("b") < order("a")
+    return a.join(b, reduce(Column.__and__, same) & hit, "left_semi").select("nms_row").distinct()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,23 +28,24 @@ def split_large(df: DataFrame, keys: Keys, limit: int) -> tuple[DataFrame, DataF
     large = large_groups(df, keys, limit)
     if large is None:
         return df, None
-    listed = large.select(*keys)
-    return df.join(listed, list(keys), "left_anti"), df.join(listed, list(keys), "left_semi")
+    listed = large.select(*(F.col(k).alias(f"large_{n}") for n, k in enumerate(keys)))
+    # A null key is a group like any other.
+    same = reduce(Column.__and__, [df[k].eqNullSafe(listed[f"large_{n}"]) for n, k in enumerate(keys)])
+    return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 
 
 def sorted_chunks(df: DataFrame, keys: Keys, order: Sequence[Column]) -> DataFrame:
-    """Rows of ``df`` in one global order (keys, then ``order``), written as range-partitioned files.
+    """Rows of ``df`` in one global order (keys, then ``order``), range-partitioned and written.
 
-    Adds ``chunk`` (file number, ascending in the global order) and ``chunk_row`` (row number in the file), from
+    Adds ``chunk`` (partition number, ascending in the global order) and ``chunk_row`` (row number in the partition), from
     which any running total can be put together: a total per chunk, plus work inside a chunk.
     """
     by = [F.col(k) for k in keys] + list(order)
-    table = write_table(df.repartitionByRange(*by).sortWithinPartitions(*by), "sorted")
-    name = F.col("_metadata.file_name")
-    # A task writes part-00007-…-c000; a second file of the same task ends in c001.
-    part = F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
-    piece = F.regexp_extract(name, r"c(\d+)\.", 1).cast("long")
-    return table.select("*", (part * 100_000 + piece).alias("chunk"), F.col("_metadata.row_index").alias("chunk_row"))
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    # The number counts rows within the partition, which is in order; both are written out and so never change.
+    place = F.monotonically_increasing_id()
+    numbered = ranged.select("*", F.spark_partition_id().cast("long").alias("chunk"), place.bitwiseAND((1 << 33) - 1).alias("chunk_row"))
+    return write_table(numbered, "sorted")
 
 
 def chunk_totals(chunks: DataFrame, keys: Keys, *totals: Column) -> DataFrame:

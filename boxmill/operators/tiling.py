@@ -6,6 +6,8 @@ touches follow from its coordinates by arithmetic, so cutting is one pass withou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +84,10 @@ def tile_box_overlaps(boxes: DataFrame, tile: int = TILE_SIZE, overlap: float =
 
 
 def fixed_tile_boxes(
-    boxes: DataFrame, tile: int = TILE_SIZE, overlap: float = OVERLAP, min_visibility: float = MIN_VISIBILITY
+    boxes: DataFrame, tile: int = TILE_SIZE, overlap: float = OVERLAP, min_visibility: float = MIN_VISIBILITY,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Tile labels of the fixed grid: ``image_id, tile_id, box_id, cls, xc, yc, bw, bh`` in tile coordinates.
+    """Tile labels of the fixed grid: ``image_id, tile_id, box_id, cls``, the columns to ``carry``, ``xc, yc, bw, bh`` in tile coordinates.
 
     Drops boxes of which less than ``min_visibility`` is inside the tile; each value is clamped to [0, 1].
     """
@@ -92,7 +95,7 @@ def fixed_tile_boxes(
     x1, y1, x2, y2 = _cut_box()
     local = [x1 - F.col("tx"), y1 - F.col("ty"), x2 - F.col("tx"), y2 - F.col("ty")]
     center = [clamp01(c).alias(n) for c, n in zip(corners_to_center(local, F.lit(tile), F.lit(tile)), ("xc", "yc", "bw", "bh"))]
-    return cut.select("image_id", "tile_id", "box_id", "cls", *center).filter((F.col("bw") > 0) & (F.col("bh") > 0))
+    return cut.select("image_id", "tile_id", "box_id", "cls", *carry, *center).filter((F.col("bw") > 0) & (F.col("bh") > 0))
 
 
 def label_sizes(boxes: DataFrame) -> DataFrame:
@@ -181,9 +184,14 @@ def tiles_per_axis_stats(plan: DataFrame) -> DataFrame:
     )
 
 
-def stitch(tiles: DataFrame, tile_boxes: DataFrame, tile: int = TILE_SIZE) -> DataFrame:
-    """Tile labels back in image pixels (truncated); a box seen in two tiles stays twice."""
-    placed = tile_boxes.join(tiles.select("image_id", "tile_id", F.col("x1").alias("tx"), F.col("y1").alias("ty")), ["image_id", "tile_id"])
+def stitch(tile_boxes: DataFrame, tile: int = TILE_SIZE, overlap: float = OVERLAP) -> DataFrame:
+    """Tile labels back in image pixels (truncated); a box seen in two tiles stays twice.
+
+    ``tile_boxes`` carry the image's ``width`` and ``height``, from which a tile's origin follows: no join, no shuffle.
+    Boxes of tiles outside the grid are dropped.
+    """
+    origin = grids.covering_origin(F.col("tile_id"), F.col("width"), F.col("height"), tile, overlap)
+    placed = tile_boxes.select("*", *origin).filter("tx IS NOT NULL")
     xc, yc, bw, bh, tx, ty = (F.col(c) for c in ("xc", "yc", "bw", "bh", "tx", "ty"))
     exact = [(xc - bw / 2) * tile + tx, (yc - bh / 2) * tile + ty, (xc + bw / 2) * tile + tx, (yc + bh / 2) * tile + ty]
     return placed.select(

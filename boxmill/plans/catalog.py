@@ -148,11 +148,28 @@ def annotations_converted_short(spark, d):
 @query
 def annotation_counts(spark, d):
     pictures, documents = standins.annotation_documents(spark, d)
-    # A fifth of the images has no document, a seventh of the documents is broken.
+    # A fifth of the images has no document, a seventh of the documents is broken, some are odd, some images unreadable.
     digits = F.regexp_extract("file", r"_(\d+)$", 1).cast("int")
-    broken = documents.withColumn("text", F.when(digits % 7 == 0, F.lit('{"objects": [')).otherwise(F.col("text")))
-    kept = broken.filter(digits % 5 != 0)
-    return annotations.conversion_counts(pictures, kept, annotations.convert_annotations(pictures, kept)).drop("unreadable")
+    odd = F.when(digits % 2 == 0, F.lit('{"a": 1, "a": 2}')).otherwise(F.lit('{"a": NaN}'))
+    broken = F.when(digits % 7 == 0, F.lit('{"objects": [')).when(digits % 11 < 2, odd).otherwise(F.col("text"))
+    kept = documents.withColumn("text", broken).filter(digits % 5 != 0)
+    parsed = write_table(annotations.parse_documents(kept), "documents")
+    sized = pictures.withColumn("width", F.when(digits % 3 != 0, F.col("width")))
+    return annotations.conversion_counts(sized, parsed, annotations.convert_annotations(sized, parsed))
+
+
+@query
+def label_text(spark, d):
+    """Label files of all images as text, negatives included, written, read back, parsed, and put back into whole pixels."""
+    truth = standins.truth(spark, d)
+    stem = F.lpad(F.col("image_id").cast("string"), 12, "0").alias("stem")
+    center = corners_to_center(corners(), F.col("width"), F.col("height"))
+    boxes = truth.select("split", stem, "box_id", "cls", *center)
+    pictures = standins.images(spark, d).select("split", stem, "width", "height")
+    texts = write_table(labels.label_texts(boxes, pictures), "label-texts")
+    found = labels.parse_label_lines(labels.split_lines(texts), strict=True)
+    whole = [F.round(F.col(c) * F.col(side) * 2).cast("long").alias(c) for c, side in zip(labels.FIELDS, ("width", "height") * 2)]
+    return pictures.join(found, ["split", "stem"], "left").select("split", "stem", "box_id", "cls", *whole)
 
 
 @query
@@ -278,12 +295,19 @@ def tiles_per_axis(spark, d):
 
 @query
 def stitched_boxes(spark, d):
-    return tiling.stitch(standins.tiles(spark, d), standins.tile_boxes(spark, d))
+    return tiling.stitch(standins.tile_boxes(spark, d, carry=("width", "height")))
 
 
 @query
 def stitched_totals(spark, d):
-    grid = tiling.check_stored_tiles(standins.tiles(spark, d), standins.tiles(spark, d))
+    # The stored tiles are a table of their own: the names of tile files, written out and parsed back.
+    grid = standins.tiles(spark, d)
+    file = names.tile_stem(F.col("image_id").cast("string"), F.col("tile_id")).alias("stem")
+    files = write_table(grid.select(file), "tile-files")
+    stored = files.select(
+        names.base_of_tile(F.col("stem")).cast("long").alias("image_id"), F.regexp_extract("stem", r"(\d+)$", 1).cast("int").alias("tile_id")
+    )
+    grid = tiling.check_stored_tiles(grid, stored)
     return tiling.stitched_totals(grid, standins.tile_boxes(spark, d))
 
 
@@ -311,12 +335,27 @@ def report_boxes(spark, d):
     return diagnose.report_boxes(standins.detections(spark, d))
 
 
+@query
+def merged_detections_crowded(spark, d):
+    """All detections in three images, some scores missing or NaN, numbers that repeat: NMS of crowds, in rounds."""
+    return nms(_crowd(spark, d), max_det=None)
+
+
+def _crowd(spark: SparkSession, d: str) -> DataFrame:
+    det = standins.detections(spark, d)
+    score = F.when(F.col("image_id") % 97 == 0, F.lit(None)).when(F.col("image_id") % 89 == 0, F.lit(float("nan"))).otherwise(F.col("conf"))
+    # A picture's boxes keep their surroundings: pictures lie side by side, 4,000 pixels apart.
+    moved = [(F.col(c) + 4000.0 * F.floor(F.col("image_id") / 3)).alias(c) if c[0] == "x" else F.col(c) for c in CORNERS]
+    return det.select((F.col("image_id") % 3).alias("image_id"), "det_id", "cls", *moved, score.alias("conf"))
+
+
 @query
 def gated_detections(spark, d):
     """Detections in tile coordinates of their first tile, moved back for tiles that pass the gate."""
     tile_id = (F.col("det_id") % 2).alias("tile_id")
-    on_tiles = standins.detections(spark, d).select("image_id", tile_id, "det_id", "cls", *CORNERS, "conf")
-    moved = gating.image_detections(on_tiles, standins.tiles(spark, d), standins.tile_scores(spark, d))
+    sized = standins.detections(spark, d, carry=("width", "height"))
+    on_tiles = sized.select("image_id", tile_id, "det_id", "cls", *CORNERS, "conf", "width", "height")
+    moved = gating.image_detections(on_tiles, standins.tile_scores(spark, d))
     return moved.select("image_id", "tile_id", "det_id", "cls", *CORNERS, "conf")
 
 

@@ -23,14 +23,16 @@ def _starts(length: str, tile: int, step: int) -> str:
     )
 
 
-def _nms(name: str, source: str, threshold: str, same_class: bool, limit: int | None) -> str:
+def _nms(
+    name: str, source: str, threshold: str, same_class: bool, limit: int | None, order: str = "conf DESC, det_id"
+) -> str:
     """Walk through each image's detections in order, carrying the list of kept ones."""
     cls = "k.cls = o.cls AND " if same_class else ""
     full = f"len(w.kept) >= {limit} OR " if limit else ""
     hit = f"len(list_filter(w.kept, lambda k: {cls}{iou_sql('k.', 'o.')} > {threshold})) > 0"
     return f"""
 {name}_ord AS (
-  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) AS rn,
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY {order}) AS rn,
          {{'det_id': det_id, 'cls': cls, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'conf': conf}} AS det
   FROM {source}
 ),
@@ -162,6 +164,15 @@ adaptive AS (
 )""",
     "merged": _nms("merged", "det", "0.5", True, 300),
     "merged45": _nms("merged45", "det", "0.45", True, 300),
+    "odd_det": """
+odd_det AS (
+  SELECT * REPLACE (CASE WHEN image_id % 97 = 0 THEN NULL WHEN image_id % 89 = 0 THEN CAST('nan' AS DOUBLE) ELSE conf END AS conf)
+  FROM det
+)""",
+    "odd": _nms(
+        "odd", "odd_det", "0.5", True, None,
+        "CASE WHEN conf IS NULL THEN 2 WHEN isnan(conf) THEN 1 ELSE 0 END, CASE WHEN conf IS NULL OR isnan(conf) THEN 0 ELSE -conf END, det_id",
+    ),
     "agnostic": _nms("agnostic", "det", "0.5", False, 300),
     "det_int": """
 det_int AS (
@@ -342,7 +353,7 @@ patches AS (
 DEPENDS = {
     "gtk": ["images"], "gt": ["gtk"], "det": ["gtk"], "tiles": ["images"], "cuts": ["gt", "tiles"], "tile_boxes": ["cuts"],
     "tile_scores": ["tile_boxes"], "sizes": ["gt"], "plan": ["sizes"], "adaptive": ["plan"], "merged": ["det"],
-    "merged45": ["det"], "agnostic": ["det"], "det_int": ["det"], "reported": ["det_int"], "pairs": ["merged", "gt"],
+    "merged45": ["det"], "odd_det": ["det"], "odd": ["odd_det"], "agnostic": ["det"], "det_int": ["det"], "reported": ["det_int"], "pairs": ["merged", "gt"],
     "best": ["pairs"], "tp": ["best"], "counts": ["gt"], "curve": ["tp"], "ap": ["curve", "counts"], "micro": ["tp", "counts"],
     "quality": ["merged45", "gt"], "errors": ["reported", "gt"], "run_wide": ["logs"], "docs": ["gtk"], "px_masks": ["px"],
 }
@@ -426,11 +437,18 @@ ORACLE: dict[str, str] = {
     "annotations_converted": build(f"SELECT split, file, obj_no, cls, {R9} FROM conv", "docs"),
     "annotations_converted_short": build(f"SELECT split, file, obj_no, cls, {R9} FROM conv WHERE n % 4 IN (0, 1)", "docs"),
     "annotation_counts": build(
-        """SELECT split, count(*) FILTER (box_id % 5 <> 0 AND box_id % 7 <> 0) AS processed,
-  count(*) FILTER (box_id % 5 = 0 OR box_id % 7 = 0) AS skipped, count(*) FILTER (box_id % 5 = 0) AS no_annotation,
-  count(*) FILTER (box_id % 5 <> 0 AND box_id % 7 = 0) AS bad_json,
-  count(*) FILTER (box_id % 5 <> 0 AND box_id % 7 <> 0 AND label_cls IS NOT NULL) AS boxes
-FROM docs GROUP BY split""", "docs"),
+        """SELECT split, count(*) FILTER (status = 'ok') AS processed, count(*) FILTER (status <> 'ok') AS skipped,
+  count(*) FILTER (status = 'none') AS no_annotation, count(*) FILTER (status = 'unreadable') AS unreadable,
+  count(*) FILTER (status = 'bad') AS bad_json, count(*) FILTER (status = 'odd') AS odd_json,
+  count(*) FILTER (status = 'ok' AND label_cls IS NOT NULL) AS boxes
+FROM (SELECT *, CASE WHEN box_id % 5 = 0 THEN 'none' WHEN box_id % 3 = 0 THEN 'unreadable' WHEN box_id % 7 = 0 THEN 'bad'
+                     WHEN box_id % 11 < 2 THEN 'odd' ELSE 'ok' END AS status FROM docs)
+GROUP BY split""", "docs"),
+    "label_text": build(
+        """SELECT i.split, lpad(CAST(i.image_id AS VARCHAR), 12, '0') AS stem,
+  CAST(row_number() OVER (PARTITION BY i.image_id ORDER BY box_id) - 1 AS INTEGER) + CASE WHEN box_id IS NULL THEN NULL ELSE 0 END AS box_id, cls,
+  CAST(x1 + x2 AS BIGINT) AS xc, CAST(y1 + y2 AS BIGINT) AS yc, CAST(2 * (x2 - x1) AS BIGINT) AS bw, CAST(2 * (y2 - y1) AS BIGINT) AS bh
+FROM images i LEFT JOIN gt USING (image_id)""", "gt"),
     "class_distribution": build(
         """SELECT s.split, c.cls, ['red', 'yellow', 'green', 'off'][c.cls + 1] AS name, count(v.cls) AS n,
   round(count(v.cls) / s.total * 100, 6) AS percentage
@@ -497,6 +515,10 @@ FROM (SELECT image_id, max("row") + 1 AS n_rows, max(col) + 1 AS n_cols, count(*
 LEFT JOIN (SELECT image_id, count(*) AS n_boxes FROM tile_boxes GROUP BY image_id) USING (image_id)""", "tile_boxes"),
     "images_with_labels": build("SELECT image_id, i.split, box_id, cls FROM images i LEFT JOIN gt USING (image_id)", "gt"),
     "merged_detections": build("SELECT * FROM merged", "merged"),
+    # The pictures of a crowd lie side by side, so each is merged on its own here.
+    "merged_detections_crowded": build(
+        """SELECT image_id % 3 AS image_id, det_id, cls, x1 + 4000.0 * (image_id // 3) AS x1, y1, x2 + 4000.0 * (image_id // 3) AS x2, y2, conf
+FROM odd""", "odd"),
     "merged_detections_agnostic": build("SELECT * FROM agnostic", "agnostic"),
     "report_boxes": build("SELECT * FROM reported", "reported"),
     "gated_detections": build(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def _as_double() -> list[Column]:
     return [F.col(c).cast("double").alias(c) for c in CORNERS]
 
 
-def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detections(spark: SparkSession, sf_dir: str, carry: Sequence[str] = ()) -> DataFrame:
     """``image_id, det_id, cls, x1, y1, x2, y2, conf``: jittered copies of truth boxes plus shifted false ones."""
     base = _truth_with_keys(spark, sf_dir)
     k1, k2, k3, box, dup = (F.col(c) for c in ("k1", "k2", "k3", "box_id", "dup"))
@@ -83,8 +85,9 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
             pick(x2 + 60, x2 + (k1 * 3 + dup * 5) % 9 - 4).alias("x2"),
             pick(y2 + 40, y2 + (k3 * 3 + dup) % 9 - 4).alias("y2"),
             (score.cast("double") / F.lit(1000.0)).alias("conf"),
+            *carry,
         )
-        .select("image_id", "det_id", "cls", *_as_double(), "conf")
+        .select("image_id", "det_id", "cls", *_as_double(), "conf", *carry)
     )
 
 
@@ -93,9 +96,9 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_tiles(images(spark, sf_dir))
 
 
-def tile_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tile_boxes(spark: SparkSession, sf_dir: str, carry: Sequence[str] = ()) -> DataFrame:
     """Truth boxes cut by the fixed grid."""
-    return fixed_tile_boxes(truth(spark, sf_dir))
+    return fixed_tile_boxes(truth(spark, sf_dir), carry=carry)
 
 
 def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

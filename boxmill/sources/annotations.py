@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.classes import class_of_label
 from boxmill.functions.geometry import CORNERS, clamp01, corners, corners_to_center, is_valid, ordered_corners
+from boxmill.functions.names import plain_path
 
 # Where objects and labels are looked for, in this order.
 OBJECT_KEYS = ("objects", "annotations", "boxes")
@@ -21,9 +22,11 @@ DIRECT_KEYS = ("x_min", "y_min", "x_max", "y_max")
 
 
 def read_annotations(spark: SparkSession, root: str, splits: Sequence[str] = ("train", "test")) -> DataFrame:
-    """Documents below ``{root}/{split}/ann``; each is named like its image plus ``.json``."""
-    paths = [f"{root}/{s}/ann" for s in splits]
-    path = F.col("_metadata.file_path")
+    """Documents below ``{root}/{split}/ann``; each is named like its image plus ``.json``. A missing split is skipped."""
+    paths = [p for p in (f"{root}/{s}/ann" for s in splits) if _exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], "split string, file string, text string")
+    path = plain_path(F.col("_metadata.file_path"))
     return spark.read.option("pathGlobFilter", "*.json").text(paths, wholetext=True).select(
         F.regexp_extract(path, r"([^/]+)/ann/[^/]+$", 1).alias("split"),
         F.regexp_extract(path, r"([^/]+)\.json$", 1).alias("file"),
@@ -31,6 +34,11 @@ def read_annotations(spark: SparkSession, root: str, splits: Sequence[str] = ("t
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _member(value: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(value, f"$.{key}", kind)
 
@@ -74,15 +82,43 @@ def object_box(obj: Column, with_bbox: bool = True) -> Column:
     return result
 
 
-def document_status(images: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every image with ``status``: ok, no_annotation, unreadable or bad_json."""
-    joined = images.join(documents.withColumn("has_document", F.lit(True)), ["split", "file"], "left")
-    status = (
-        F.when(F.col("has_document").isNull(), "no_annotation")
-        .when(F.col("width").isNull(), "unreadable")
-        .when(F.try_parse_json("text").isNull(), "bad_json")
-        .otherwise("ok")
+def parse_documents(documents: DataFrame, full: bool = True) -> DataFrame:
+    """``split, file, json, boxes``: every document parsed once, without its text.
+
+    ``json`` is ok, bad_json, or odd_json: a text with a repeated key or a NaN, which looser readers take and this one
+    does not. ``boxes`` holds the usable objects as ``obj_no, cls`` and pixel corners, which is all that later steps
+    need, so only this moves in a join.
+    """
+    keys = OBJECT_KEYS if full else OBJECT_KEYS[:2]
+    loose = {"allowNonNumericNumbers": "true"}
+    odd = F.coalesce(
+        F.size(F.from_json("text", "map<string,string>", loose)), F.size(F.from_json("text", "array<map<string,string>>", loose))
+    ).isNotNull()
+    read = documents.select("split", "file", "text", _evaluated_once(root=F.try_parse_json("text")))
+    found = F.transform(
+        _objects(F.col("root"), keys),
+        lambda obj, n: F.struct(n.alias("obj_no"), object_label(obj).alias("label"), object_box(obj, full).alias("box")),
+    )
+    named = F.transform(found, lambda o: F.struct(o["obj_no"].alias("obj_no"), class_of_label(o["label"]).alias("cls"), o["box"].alias("box")))
+    usable = F.filter(named, lambda o: o["cls"].isNotNull() & is_valid(corners(o["box"])))
+    return read.select(
+        "split", "file",
+        F.when(F.col("root").isNotNull(), "ok").when(odd, "odd_json").otherwise("bad_json").alias("json"),
+        usable.alias("boxes"),
     )
+
+
+def _parsed(documents: DataFrame, full: bool) -> DataFrame:
+    return documents if "json" in documents.columns else parse_documents(documents, full)
+
+
+def document_status(images: DataFrame, documents: DataFrame) -> DataFrame:
+    """Every image with ``status``: ok, no_annotation, unreadable, bad_json or odd_json.
+
+    ``documents`` are texts or the result of ``parse_documents``.
+    """
+    joined = images.join(_parsed(documents, True).drop("boxes"), ["split", "file"], "left")
+    status = F.when(F.col("json").isNull(), "no_annotation").when(F.col("width").isNull(), "unreadable").otherwise(F.col("json"))
     return joined.select(*images.columns, status.alias("status"))
 
 
@@ -94,26 +130,17 @@ def _evaluated_once(**columns: Column) -> Column:
 def convert_annotations(images: DataFrame, documents: DataFrame, full: bool = True) -> DataFrame:
     """Boxes of all usable documents: ``split, file, obj_no, cls, xc, yc, bw, bh`` with values in [0, 1].
 
-    ``full`` reads all layouts (as for a test set); otherwise the ``boxes`` key and the ``bbox`` form are not known.
-    Objects without a label, with an unknown label, without a box or with an empty box are dropped. So are documents of
-    unreadable images and documents that are not JSON.
+    ``documents`` are texts or the result of ``parse_documents``. ``full`` reads all layouts (as for a test set);
+    otherwise the ``boxes`` key and the ``bbox`` form are not known. Objects without a label, with an unknown label, without
+    a box or with an empty box are dropped. So are documents of unreadable images and documents that are not JSON.
     """
-    keys = OBJECT_KEYS if full else OBJECT_KEYS[:2]
-    readable = images.filter(F.col("width").isNotNull())
     where = ["split", "file"]
-    parsed = (
-        readable.join(documents, where)
-        .select(*where, "width", "height", _evaluated_once(root=F.try_parse_json("text")))
-        .select(*where, "width", "height", F.posexplode(_objects(F.col("root"), keys)).alias("obj_no", "obj"))
-        .select(
-            *where, "width", "height", "obj_no",
-            _evaluated_once(label=object_label(F.col("obj")), box=object_box(F.col("obj"), full)),
-        )
-        .select(*where, "width", "height", "obj_no", "box", class_of_label(F.col("label")).alias("cls"))
-        .filter(F.col("cls").isNotNull() & is_valid(corners(F.col("box"))))
-    )
+    boxes = _parsed(documents, full).select(*where, F.inline("boxes"))
+    sizes = images.filter(F.col("width").isNotNull()).select(*where, "width", "height")
     center = corners_to_center(corners(F.col("box")), F.col("width"), F.col("height"))
-    return parsed.select(*where, "obj_no", "cls", *[clamp01(c).alias(n) for c, n in zip(center, ("xc", "yc", "bw", "bh"))])
+    return boxes.join(sizes, where).select(
+        *where, "obj_no", "cls", *[clamp01(c).alias(n) for c, n in zip(center, ("xc", "yc", "bw", "bh"))]
+    )
 
 
 def conversion_counts(images: DataFrame, documents: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -121,7 +148,7 @@ def conversion_counts(images: DataFrame, documents: DataFrame, boxes: DataFrame)
     status = F.col("status")
     per_split = document_status(images, documents).groupBy("split").agg(
         F.count_if(status == "ok").alias("processed"), F.count_if(status != "ok").alias("skipped"),
-        *[F.count_if(status == s).alias(s) for s in ("no_annotation", "unreadable", "bad_json")],
+        *[F.count_if(status == s).alias(s) for s in ("no_annotation", "unreadable", "bad_json", "odd_json")],
     )
     totals = boxes.groupBy("split").agg(F.count(F.lit(1)).alias("boxes"))
     return per_split.join(totals, "split", "left").na.fill(0, ["boxes"])

@@ -18,6 +18,9 @@ SPLITS = ("train", "val", "test")
 # The grey of the padding outside an image.
 PAD_VALUE = 114
 
+# Tiles of one image that leave a task as one batch.
+TILES_AT_ONCE = 16
+
 # Which extensions count as images; the order is the listing order.
 EXTENSIONS = ("jpg", "jpeg", "png")
 
@@ -28,11 +31,11 @@ def list_images(
 ) -> DataFrame:
     """Image files of a listing (column ``path``): ``path, split, file, stem, split_rank, ext_rank``.
 
-    The layout is ``{split}/images/file`` or, with ``images_last=False``, ``images/{split}/file``. Order the result by
-    ``split_rank, ext_rank, path`` for the listing order.
+    The layout is ``{split}/images/file`` or ``{split}/img/file`` or, with ``images_last=False``, ``images/{split}/file``. Order
+    the result by ``split_rank, ext_rank, path`` for the listing order.
     """
     path = F.col("path")
-    pattern = r"([^/]+)/images/[^/]+$" if images_last else r"images/([^/]+)/[^/]+$"
+    pattern = r"([^/]+)/(?:images|img)/[^/]+$" if images_last else r"images/([^/]+)/[^/]+$"
     ext = F.regexp_extract(path, r"\.([^./]+)$", 1)
     ext = F.lower(ext) if ignore_case else ext
     split = F.regexp_extract(path, pattern, 1)
@@ -71,8 +74,8 @@ def image_sizes(images: DataFrame) -> DataFrame:
 def crop_tiles(images: DataFrame, tile: int = TILE_SIZE, overlap: float = OVERLAP, key: str = "path") -> DataFrame:
     """Tile pixels of a covering grid: ``key, tile_id, x, y, height, width, nChannels, data``.
 
-    A tile that passes the right or bottom edge is padded with grey. Images stream through Arrow; one image gives one
-    batch of tiles.
+    A tile that passes the right or bottom edge is padded with grey. Images stream through Arrow; tiles leave in groups of
+    TILES_AT_ONCE, so a large image is never there twice.
     """
     source = images.withColumn("xs", grids.tile_starts(F.col("width"), tile, overlap)).withColumn(
         "ys", grids.tile_starts(F.col("height"), tile, overlap)
@@ -84,17 +87,19 @@ def crop_tiles(images: DataFrame, tile: int = TILE_SIZE, overlap: float = OVERLA
         for batch in batches:
             for row in batch.itertuples(index=False):
                 pixels = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, row.nChannels)
-                spots = [(int(x), int(y)) for y in row.ys for x in row.xs]
-                yield pd.DataFrame({
-                    key: [getattr(row, key)] * len(spots),
-                    "tile_id": range(len(spots)),
-                    "x": [x for x, _ in spots],
-                    "y": [y for _, y in spots],
-                    "height": tile,
-                    "width": tile,
-                    "nChannels": row.nChannels,
-                    "data": [_padded(pixels[y : y + tile, x : x + tile], tile).tobytes() for x, y in spots],
-                })
+                every = [(int(x), int(y)) for y in row.ys for x in row.xs]
+                for first in range(0, len(every), TILES_AT_ONCE):
+                    spots = every[first : first + TILES_AT_ONCE]
+                    yield pd.DataFrame({
+                        key: [getattr(row, key)] * len(spots),
+                        "tile_id": range(first, first + len(spots)),
+                        "x": [x for x, _ in spots],
+                        "y": [y for _, y in spots],
+                        "height": tile,
+                        "width": tile,
+                        "nChannels": row.nChannels,
+                        "data": [_padded(pixels[y : y + tile, x : x + tile], tile).tobytes() for x, y in spots],
+                    })
 
     return source.select(key, "height", "width", "nChannels", "data", "xs", "ys").mapInPandas(cut, schema)
 

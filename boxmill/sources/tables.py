@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxmill.functions.classes import CLASS_NAMES, vocabulary
+from boxmill.functions.names import plain_path
 
 CONF_FLOOR = 0.25
 
@@ -23,10 +24,17 @@ def read_detections(spark: SparkSession, path: str, floor: float = CONF_FLOOR) -
 
 
 def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """``run, line_no, line`` of a folder of logs, one file per run (a printed report, so it is read whole)."""
-    texts = spark.read.text(path, wholetext=True)
-    run = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
-    return texts.select(run.alias("run"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """``run, line_no, line`` of a folder of logs, one file per run, read line by line.
+
+    Lines end at a line feed, a carriage return, or both. ``line_no`` counts from 0 in the order of the file: by the
+    place of the piece a task reads, then by the line inside it.
+    """
+    run = F.regexp_replace(plain_path(F.col("_metadata.file_name")), r"\.[^.]*$", "")
+    lines = spark.read.text(path).select(
+        run.alias("run"), F.col("_metadata.file_block_start").alias("piece"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")
+    )
+    place = F.row_number().over(Window.partitionBy("run").orderBy("piece", "place")) - 1
+    return lines.select("run", place.alias("line_no"), "line")
 
 
 def write_manifest(images: DataFrame, path: str, names: Sequence[str] = CLASS_NAMES) -> None:

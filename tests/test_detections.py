@@ -1,6 +1,10 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from boxmill.functions.cells import home, search
+from boxmill.functions.geometry import corners
 from boxmill.operators.average_precision import average_precision
 from boxmill.operators.matching import IOU_THRESHOLDS, match_predictions, overlap_pairs
 from boxmill.operators.nms import nms
@@ -46,10 +50,10 @@ def ids(rows):
 
 @pytest.mark.parametrize("agnostic", [False, True])
 @pytest.mark.parametrize("max_det", [300, 7, None])
-@pytest.mark.parametrize("block_rows", [1000, 20])
-def test_nms_equals_loop(spark, agnostic, max_det, block_rows):
+@pytest.mark.parametrize("array_rows", [1000, 20, 1])
+def test_nms_equals_loop(spark, agnostic, max_det, array_rows):
     rows = detections(np.random.default_rng(5), 400)
-    kept = nms(dets_frame(spark, rows), 0.4, max_det, agnostic, block_rows=block_rows).collect()
+    kept = nms(dets_frame(spark, rows), 0.4, max_det, agnostic, array_rows=array_rows).collect()
     assert ids(kept) == ids(loops.nms(rows, 0.4, max_det, agnostic))
 
 
@@ -58,8 +62,8 @@ def test_nms_limit_of_300(spark):
     rows = [dict(r, image_id=1) for r in detections(rng, 900, span=3000, classes=2, levels=1000)]
     expected = loops.nms(rows, 0.5)
     assert len(expected) == 300
-    for block_rows in (1000, 150):
-        assert ids(nms(dets_frame(spark, rows), block_rows=block_rows).collect()) == ids(expected)
+    for array_rows in (1000, 150):
+        assert ids(nms(dets_frame(spark, rows), array_rows=array_rows).collect()) == ids(expected)
 
 
 def test_nms_of_copies_in_one_image(spark):
@@ -67,10 +71,57 @@ def test_nms_of_copies_in_one_image(spark):
     rng = np.random.default_rng(7)
     rows = detections(rng, 60, images=4)
     rows += [dict(rows[k % 2], image_id=9, det_id=1000 + k, conf=float(rng.integers(1, 9)) / 10) for k in range(500)]
-    kept = nms(dets_frame(spark, rows), block_rows=50).collect()
+    kept = nms(dets_frame(spark, rows), array_rows=50).collect()
     assert ids(kept) == ids(loops.nms(rows, 0.5))
 
 
+@pytest.mark.parametrize("agnostic", [False, True])
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.5])
+def test_nms_of_ties_and_missing_scores_is_the_same_in_rounds(spark, agnostic, threshold):
+    """Null and NaN scores, numbers that repeat, equal rows, null images and broken boxes: one order for both ways."""
+    rng = np.random.default_rng(11)
+    rows = detections(rng, 250, images=2, levels=6)
+    for k, r in enumerate(rows):
+        r["det_id"] = k % 9
+        r["conf"] = None if k % 7 == 0 else float("nan") if k % 5 == 0 else r["conf"]
+        r["image_id"] = None if k % 11 == 0 else r["image_id"]
+    rows += [dict(r) for r in rows[::8]]
+    rows += [dict(rows[0], x2=float("inf")), dict(rows[1], x1=float("nan")), dict(rows[2], y2=rows[2]["y1"]), dict(rows[3], x2=2.0e6, y2=2.0e6)]
+    df = dets_frame(spark, rows)
+    whole = sorted(map(repr, nms(df, threshold, None, agnostic).collect()))
+    for array_rows in (2, 100):
+        assert sorted(map(repr, nms(df, threshold, None, agnostic, array_rows=array_rows).collect())) == whole
+
+
+def test_nms_of_far_boxes_loses_none(spark):
+    for conf in (0.5, None, float("nan")):
+        rows = [dict(image_id=1, det_id=1, cls=0, x1=100.0 * k, y1=0.0, x2=100.0 * k + 9, y2=9.0, conf=conf) for k in range(5)]
+        for array_rows in (1000, 2):
+            assert nms(dets_frame(spark, rows), array_rows=array_rows).count() == 5
+
+
+def test_huge_boxes_cost_few_rows(spark):
+    preds = [dict(image_id=1, det_id=k, cls=0, x1=0.0, y1=0.0, x2=side, y2=side, conf=0.5) for k, side in enumerate((1.5e6, 3.0e10, 60.0, float("inf"), float("nan"), 9.0e15))]
+    truth = [dict(image_id=1, box_id=k, cls=0, x1=0.0, y1=0.0, x2=side, y2=side) for k, side in enumerate((1.4e6, 2.5e10, 55.0, 8.0))]
+    pairs = overlap_pairs(dets_frame(spark, preds), boxes_frame(spark, truth), 0.5).collect()
+    assert sorted((r["det_id"], r["box_id"]) for r in pairs) == [(0, 0), (1, 1), (2, 2)]
+    box = corners()
+    rows = dets_frame(spark, preds).select("det_id", F.size(F.concat(search(box, 0, 0.5, 0), home(box, 1))).alias("n")).where("det_id < 3")
+    assert rows.agg(F.max("n")).first()[0] < 20
+
+
+def test_detection_key(spark):
+    """Equal numbers in different tiles are two detections; the same key twice fails."""
+    pred = dict(image_id=1, det_id=1, cls=0, x1=0.0, y1=0.0, x2=9.0, y2=9.0, conf=0.5)
+    truth = boxes_frame(spark, [dict(image_id=1, box_id=1, cls=0, x1=0.0, y1=0.0, x2=9.0, y2=9.0)])
+    twice = dets_frame(spark, [pred, pred])
+    tiles = twice.limit(1).withColumn("tile_id", F.lit(1)).unionByName(twice.limit(1).withColumn("tile_id", F.lit(2)))
+    rows = match_predictions(tiles, truth).collect()
+    assert sorted((r["tile_id"], r["hits"] & 1) for r in rows) == [(1, 1), (2, 0)]
+    with pytest.raises(Exception, match="two detections share"):
+        match_predictions(twice, truth).collect()
+
+
 def test_nms_keeps_iou_equal_to_threshold(spark):
     a = dict(image_id=1, det_id=1, cls=0, x1=0.0, y1=0.0, x2=10.0, y2=10.0, conf=0.9)
     b = dict(a, det_id=2, x2=5.0, conf=0.8)

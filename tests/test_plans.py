@@ -45,7 +45,8 @@ def test_tile_grid_needs_no_shuffle(stored):
     assert shuffles(tiling.fixed_tiles(stored["boxes"].select("image_id", "width", "height"))) == 0
 
 
-def test_nms_shuffles_once(stored):
+def test_nms_of_ordinary_images_shuffles_once(stored):
+    """Apart from the count of rows per image, which is a small job of its own while the plan is built."""
     kept = nms(stored["dets"])
     assert shuffles(kept) == 1 and "Window" not in plan(kept) and "Python" not in plan(kept)
 
@@ -58,3 +59,8 @@ def test_sweep_is_one_pass(stored):
 def test_top_tiles_are_cut_before_the_shuffle(stored):
     text = plan(top_tiles(stored["scores"]))
     assert text.count("WindowGroupLimit") == 2 and shuffles(top_tiles(stored["scores"])) == 1
+
+
+def test_stitching_needs_no_join(stored):
+    back = tiling.stitch(tiling.fixed_tile_boxes(stored["boxes"], carry=("width", "height")))
+    assert shuffles(back) == 0 and "Join" not in plan(back)

@@ -70,10 +70,66 @@ def test_boxes_of_unlabelled_images(spark):
 
 def test_label_writer(spark, tmp_path):
     rows = [("train", "a_tile0", 0, 1, 0.5, 0.25, 0.125, 1.0), ("train", "a_tile0", 1, 2, 0.1, 0.2, 0.3, 0.4), ("val", "7", 0, 0, 0.0, 0.0, 1.0, 1.0)]
+    odd_names = ["000123", "1e5", "2020-01-01", "a b", "ä+%#"]
+    rows += [("01", name, 0, 1, 0.5, 0.5, 0.1, 0.1) for name in odd_names]
     df = spark.createDataFrame(rows, "split string, stem string, box_id int, cls int, xc double, yc double, bw double, bh double")
     path = str(tmp_path / "labels")
-    labels.write_labels(df, path)
+    names = sorted({r[:2] for r in rows}) + [("val", "0456")]
+    labels.write_labels(df, spark.createDataFrame(names, "split string, stem string"), path)
     assert sorted(map(tuple, labels.read_written_labels(spark, path).collect())) == sorted(rows)
+    texts = {(r["split"], r["stem"]): r["text"] for r in labels.read_label_texts(spark, path).collect()}
+    assert set(texts) == set(names) and texts["val", "0456"] == ""
+    assert texts["train", "a_tile0"] == "1 0.500000 0.250000 0.125000 1.000000\n2 0.100000 0.200000 0.300000 0.400000"
+
+
+def test_only_finite_decimal_numbers_are_read(spark):
+    good = ["1 .5 0.5 1. 1e-1", "+1 0 0 0 -0"]
+    bad = ["1 0.5d 0 0 0", "1f 0 0 0 0", "1 nan 0 0 0", "1 0 inf 0 0", "1 1e999 0 0 0", "1 0 0 0", "", " ", "1 0 0 0 0 0", "1 0x1 0 0 0"]
+    lines = spark.createDataFrame([(line,) for line in good + bad], "line string")
+    assert labels.parse_label_lines(lines).count() == 2
+    assert labels.line_counts(lines).first().asDict() == dict(lines=12, boxes=2, blank=2, wrong_count=2, not_numbers=6)
+
+
+def test_names_with_blanks_and_percent_signs(spark, tmp_path):
+    """From files to labels and back: odd image names meet their annotations, a missing split is skipped."""
+    odd_names = ["000123", "a b", "50%", "a+b", "x#1", "grün", "q%20r"]
+    for name in odd_names:
+        write_png(tmp_path / f"train/img/{name}.png", np.zeros((4, 8, 3), np.uint8))
+        folder = tmp_path / "train/ann"
+        folder.mkdir(parents=True, exist_ok=True)
+        box = [] if name == "000123" else [{"label": "red", "bbox": [1, 1, 3, 3]}]
+        (folder / f"{name}.png.json").write_text(json.dumps({"objects": box}))
+    listed = images.gather_images(spark, str(tmp_path))
+    assert sorted(r["stem"] for r in listed.collect()) == sorted(odd_names)
+    sizes = listed.select("split", "file", "stem", F.lit(8).alias("width"), F.lit(4).alias("height"))
+    documents = annotations.read_annotations(spark, str(tmp_path))
+    boxes = annotations.convert_annotations(sizes, documents)
+    counts = annotations.conversion_counts(sizes, documents, boxes).first()
+    assert (counts["processed"], counts["skipped"], counts["boxes"]) == (len(odd_names), 0, len(odd_names) - 1)
+    named = boxes.join(sizes.select("file", "stem"), "file").withColumnRenamed("obj_no", "box_id")
+    labels.write_labels(named, sizes, str(tmp_path / "out"))
+    texts = {r["stem"]: r["text"] for r in labels.read_label_texts(spark, str(tmp_path / "out")).collect()}
+    assert texts == {n: "" if n == "000123" else "0 0.250000 0.500000 0.250000 0.500000" for n in odd_names}
+    assert annotations.read_annotations(spark, str(tmp_path), ["nowhere"]).count() == 0
+    for name in odd_names:
+        (tmp_path / "txt").mkdir(exist_ok=True)
+        (tmp_path / f"txt/{name}.txt").write_text("1 0 0 1 1")
+    assert sorted(r["stem"] for r in labels.read_labels(spark, str(tmp_path / "txt")).collect()) == sorted(odd_names)
+
+
+def test_odd_json_has_its_own_status(spark):
+    texts = {"a": '{"a": 1, "a": 2}', "b": '{"objects": [], "x": NaN}', "c": "{broken", "d": "[]", "e": '[{"x": NaN}]'}
+    pictures = spark.createDataFrame([("t", k, 9, 9) for k in texts], "split string, file string, width int, height int")
+    documents = spark.createDataFrame([("t", k, v) for k, v in texts.items()], "split string, file string, text string")
+    found = {r["file"]: r["status"] for r in annotations.document_status(pictures, documents).collect()}
+    assert found == {"a": "odd_json", "b": "odd_json", "c": "bad_json", "d": "ok", "e": "odd_json"}
+
+
+def test_logs_are_read_by_line(spark, tmp_path):
+    (tmp_path / "run a%.log").write_bytes(b"one\rtwo\r\nthree\n\nfive")
+    (tmp_path / "r2.v1.txt").write_text("x")
+    rows = sorted(map(tuple, tables.read_run_logs(spark, str(tmp_path)).collect()))
+    assert rows == [("r2.v1", 0, "x"), *(("run a%", k, v) for k, v in enumerate(["one", "two", "three", "", "five"]))]
 
 
 OBJECTS = [
@@ -127,7 +183,7 @@ def test_conversion_counts(spark, tmp_path):
     documents = annotations.read_annotations(spark, str(tmp_path), ["train"])
     boxes = annotations.convert_annotations(pictures, documents)
     found = {r["split"]: r for r in annotations.conversion_counts(pictures, documents, boxes).collect()}
-    assert found["train"].asDict() == dict(split="train", processed=1, skipped=3, no_annotation=1, unreadable=1, bad_json=1, boxes=1)
+    assert found["train"].asDict() == dict(split="train", processed=1, skipped=3, no_annotation=1, unreadable=1, bad_json=1, odd_json=0, boxes=1)
     assert (found["test"]["processed"], found["test"]["boxes"]) == (0, 0)
     shares = {r["name"]: (r["n"], r["percentage"]) for r in classes.class_distribution(boxes).collect()}
     assert shares == {"red": (1, 100.0), "yellow": (0, 0.0), "green": (0, 0.0), "off": (0, 0.0)}

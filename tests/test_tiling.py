@@ -107,8 +107,7 @@ def test_adaptive_grid_equals_loop(spark):
 
 def test_stitched_whole_boxes_return(spark):
     df, _ = boxes(spark, edge=0)
-    grid = tiling.fixed_tiles(images(spark))
-    back = tiling.stitch(grid, tiling.fixed_tile_boxes(df, min_visibility=1.0))
+    back = tiling.stitch(tiling.fixed_tile_boxes(df, min_visibility=1.0, carry=("width", "height")))
     joined = back.join(df.select("box_id", *[F.col(c).alias("o" + c) for c in ("x1", "y1", "x2", "y2")]), "box_id")
     worst = joined.select(F.greatest(*[F.abs(F.col(c) - F.col("o" + c)) for c in ("x1", "y1", "x2", "y2")]).alias("d"))
     assert back.count() > 100 and worst.agg(F.max("d")).first()[0] <= 1
