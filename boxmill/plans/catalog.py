@@ -338,15 +338,25 @@ def report_boxes(spark, d):
 @query
 def merged_detections_crowded(spark, d):
     """All detections in three images, some scores missing or NaN, numbers that repeat: NMS of crowds, in rounds."""
-    return nms(_crowd(spark, d), max_det=None)
+    score = F.when(F.col("tile_id") % 97 == 0, F.lit(None)).when(F.col("tile_id") % 89 == 0, F.lit(float("nan"))).otherwise(F.col("conf"))
+    return nms(_crowd(standins.detections(spark, d)).withColumn("conf", score), max_det=None)
 
 
-def _crowd(spark: SparkSession, d: str) -> DataFrame:
-    det = standins.detections(spark, d)
-    score = F.when(F.col("image_id") % 97 == 0, F.lit(None)).when(F.col("image_id") % 89 == 0, F.lit(float("nan"))).otherwise(F.col("conf"))
-    # A picture's boxes keep their surroundings: pictures lie side by side, 4,000 pixels apart.
-    moved = [(F.col(c) + 4000.0 * F.floor(F.col("image_id") / 3)).alias(c) if c[0] == "x" else F.col(c) for c in CORNERS]
-    return det.select((F.col("image_id") % 3).alias("image_id"), "det_id", "cls", *moved, score.alias("conf"))
+@query
+def image_errors_crowded(spark, d):
+    """The error report of three crowded images."""
+    preds = write_table(diagnose.report_boxes(_crowd(standins.detections(spark, d))), "reported")
+    # Box numbers repeat over the pictures of a crowd, so the picture is part of them.
+    truth = _crowd(standins.truth(spark, d)).withColumn("box_id", F.col("tile_id") * 10_000_000 + F.col("box_id"))
+    images = standins.images(spark, d).select((F.col("image_id") % 3).alias("image_id")).distinct()
+    return diagnose.image_errors(images, preds, truth)
+
+
+def _crowd(boxes: DataFrame) -> DataFrame:
+    """All pictures laid out in three, 2,000 pixels apart, so that boxes keep their surroundings; ``tile_id`` is the picture."""
+    place = F.floor(F.col("image_id") / 3)
+    moved = {c: F.col(c) + 2000.0 * (place % 10_000 if c[0] == "x" else F.floor(place / 10_000)) for c in CORNERS}
+    return boxes.withColumns(moved | {"tile_id": F.col("image_id"), "image_id": F.col("image_id") % 3})
 
 
 @query

@@ -517,8 +517,12 @@ LEFT JOIN (SELECT image_id, count(*) AS n_boxes FROM tile_boxes GROUP BY image_i
     "merged_detections": build("SELECT * FROM merged", "merged"),
     # The pictures of a crowd lie side by side, so each is merged on its own here.
     "merged_detections_crowded": build(
-        """SELECT image_id % 3 AS image_id, det_id, cls, x1 + 4000.0 * (image_id // 3) AS x1, y1, x2 + 4000.0 * (image_id // 3) AS x2, y2, conf
-FROM odd""", "odd"),
+        """SELECT image_id % 3 AS image_id, image_id AS tile_id, det_id, cls, x1 + dx AS x1, y1 + dy AS y1, x2 + dx AS x2, y2 + dy AS y2, conf
+FROM (SELECT *, 2000.0 * (image_id // 3 % 10000) AS dx, 2000.0 * (image_id // 30000) AS dy FROM odd)""", "odd"),
+    "image_errors_crowded": build(
+        """SELECT image_id % 3 AS image_id, CAST(sum(missed_gt) AS BIGINT) AS missed_gt, CAST(sum(class_conflicts) AS BIGINT) AS class_conflicts,
+  CAST(sum(unused_preds) AS BIGINT) AS unused_preds, sum(missed_gt) > 0 OR sum(class_conflicts) > 0 OR sum(unused_preds) > 0 AS wrong
+FROM errors GROUP BY 1""", "errors"),
     "merged_detections_agnostic": build("SELECT * FROM agnostic", "agnostic"),
     "report_boxes": build("SELECT * FROM reported", "reported"),
     "gated_detections": build(
