@@ -48,23 +48,41 @@ def colour_mask(hsv: tuple[np.ndarray, ...], bounds) -> np.ndarray:
 
 
 def components(mask: np.ndarray) -> np.ndarray:
-    """Label of the 8-connected component of every set pixel (smallest flat index in it); -1 elsewhere."""
+    """Label of the 8-connected component of every set pixel (smallest flat index in it); -1 elsewhere.
+
+    Works on runs of set pixels in a row: runs of neighbouring rows that touch are joined, so the effort follows the number
+    of runs and not the length of a component.
+    """
     n, h, w = mask.shape
-    size = n * h * w
-    label = np.where(mask, np.arange(size).reshape(mask.shape), size)
-    padded = np.full((n, h + 2, w + 2), size)
+    label = np.full(mask.size, -1, np.int64)
+    # One blank column ends every run, one blank row every tile.
+    steps = np.diff(np.pad(mask, ((0, 0), (0, 1), (1, 1))).reshape(-1, w + 2).astype(np.int8), axis=1)
+    row, start = np.nonzero(steps == 1)
+    end = np.nonzero(steps == -1)[1]
+    if not len(row):
+        return label.reshape(mask.shape)
+    line = row * (w + 2)
+    first = np.searchsorted(line + end, line + (w + 2) + start, "left")
+    many = np.maximum(np.searchsorted(line + start, line + (w + 2) + end, "right") - first, 0)
+    upper = np.repeat(np.arange(len(row)), many)
+    lower = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+    root = _joined(len(row), upper, lower)
+    flat = (row - row // (h + 1)) * w + start
+    label[mask.ravel()] = np.repeat(flat[root], end - start)
+    return label.reshape(mask.shape)
+
+
+def _joined(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of the group of each of ``count`` items, with items a[k] and b[k] in one group."""
+    root = np.arange(count)
     while True:
-        padded[:, 1:-1, 1:-1] = label
-        best = label
-        for dy in (0, 1, 2):
-            for dx in (0, 1, 2):
-                best = np.minimum(best, padded[:, dy : dy + h, dx : dx + w])
-        best = np.where(mask, best, size)
-        # Jump to the label of the labelled pixel, which shortens long chains.
-        best = np.append(best.ravel(), size)[best]
-        if np.array_equal(best, label):
-            return np.where(mask, label, -1)
-        label = best
+        low = np.minimum(root[a], root[b])
+        if (root[a] == root[b]).all():
+            return root
+        for ends in (root[a], root[b]):
+            np.minimum.at(root, ends, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
 
 
 def edge_map(gray: np.ndarray, low: int = EDGE_LOW, high: int = EDGE_HIGH) -> np.ndarray:
@@ -115,6 +133,7 @@ def blob_counts(mask: np.ndarray) -> np.ndarray:
     return np.stack([small, medium, largest], 1)
 
 
+# The features in their order.
 FEATURES = (
     "edge_density",
     "max_red",

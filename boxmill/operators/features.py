@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.pixels import FEATURES, tile_features
 
-# Pixel bytes that are stacked into one numpy call.
-STACK_BYTES = 32 << 20
+# Pixel bytes that are stacked into one numpy call: one tile of common size, or many small ones.
+STACK_BYTES = 2 << 20
 
 MAX_ITERATIONS = 2000
 
@@ -49,11 +49,13 @@ def fit_gate(features: DataFrame, label: str = "label") -> PipelineModel:
     the population deviation. Spark averages the loss over the weight sum n, hence a penalty of 1/n; its scaler
     divides by the sample deviation, which scales the penalty by (n-1)/n.
     """
-    counts = {r[label]: r["n"] for r in features.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    if set(counts) != {0, 1}:
-        raise ValueError("fitting needs tiles with and without an object")
-    balanced = F.when(F.col(label) == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0]))
+    counts = features.agg(
+        F.count_if(F.col(label) == 0).alias("without"), F.count_if(F.col(label) == 1).alias("with"), F.count(F.lit(1)).alias("all")
+    ).first()
+    n = counts["all"]
+    if not counts["without"] or not counts["with"] or counts["without"] + counts["with"] != n:
+        raise ValueError("fitting needs tiles with and without an object, labelled 1 and 0")
+    balanced = F.when(F.col(label) == 1, n / (2 * counts["with"])).otherwise(n / (2 * counts["without"]))
     weighted = features.withColumn("weight", balanced).withColumn("target", F.col(label).cast("double"))
     stages = [
         VectorAssembler(inputCols=list(FEATURES), outputCol="raw"),

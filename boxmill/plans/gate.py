@@ -19,7 +19,7 @@ def fit_and_score(tiles: DataFrame, seed: int = 42) -> tuple[PipelineModel, Data
     """
     features = write_table(extract_features(tiles, ["image_id", "tile_id", "label"]), "features")
     key = F.concat_ws("_tile", "image_id", "tile_id")
-    parts = stratified_split(features, key, "label", seed)
+    parts = write_table(stratified_split(features, key, "label", seed), "gate-parts")
     model = fit_gate(parts.filter("subset = 'train'"))
     scores = score_tiles(model, parts.filter("subset = 'test'"))
     return model, scores.select("image_id", "tile_id", "prob", "label")
