@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmill.llm.text import KEY, extended, key_columns, words, without
+from boxmill.session import write_table
 
 UNITS = {
     "sentence": re.compile(r"[^.!?\n]+[.!?]*"),
@@ -63,12 +64,14 @@ def repeated_units(documents: DataFrame, kind: str = "sentence") -> DataFrame:
     """``key_a, key_b, repeated``: per document that has any, the numbers of its units that occur earlier.
 
     The earliest occurrence has the smallest id (nulls last), then the smallest key, then the lowest place. Only digests
-    that occur twice come out of the first step, so the join meets a small side; a hot digest is split by Spark on the other.
+    that occur twice come out of the first step, so the join meets a small side. It is written out, so that both sides are
+    dealt anew and Spark can split a hot digest.
     """
     found = digests(documents, kind)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key_a", "unit")
     first = found.groupBy("digest_a", "digest_b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    joined = found.join(first.select("digest_a", "digest_b", "first"), ["digest_a", "digest_b"])
+    first = write_table(first.select("digest_a", "digest_b", "first"), "first-occurrences")
+    joined = found.join(first, ["digest_a", "digest_b"])
     later = joined.where(place != F.col("first")).select(*KEY, "unit")
     return later.groupBy(*KEY).agg(F.collect_set("unit").alias("repeated"))
 
