@@ -3,9 +3,42 @@
 from __future__ import annotations
 
 from boxmill.llm.mixing import MAX_COPIES, SEED, WEIGHTS
+from boxmill.llm.substring_dedup import MIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# Pieces cover the whole text, so their lengths give offsets; pieces without a word are no units.
+_SUBSTRINGS = rf"""
+WITH pieces AS (
+    SELECT doc_id, text, k, p[k] AS piece, CAST(coalesce(sum(len(p[k])) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS k
+          FROM (SELECT doc_id, text, regexp_extract_all(text, '[^.!?
+]+[.!?]*|[.!?
+]+') AS p FROM documents))
+), units AS (
+    SELECT doc_id, start, start + len(piece) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, len(w) AS n_words, array_to_string(w, ' ') AS normal
+    FROM (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+          FROM pieces WHERE regexp_matches(piece, '^[^.!?
+]'))
+    WHERE len(w) > 0
+), marked AS (
+    SELECT *, row_number() OVER (PARTITION BY normal ORDER BY doc_id, unit) > 1 AS repeated FROM units
+), runs AS (
+    SELECT doc_id, min(start) AS start, max(stop) AS stop, count(*) AS n
+    FROM (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM marked WHERE repeated)
+    GROUP BY doc_id, run HAVING sum(n_words) >= {MIN_WORDS}
+), cut AS (
+    SELECT doc_id, sum(n) AS n_removed, sum(stop - start) AS removed_chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans,
+        string_agg(substr(text, before + 1, start - before), '' ORDER BY start) AS head, max(stop) AS last
+    FROM (SELECT r.*, d.text, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM runs r JOIN documents d USING (doc_id))
+    GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(u.n, 0) AS INTEGER) AS n_units, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+    CAST(coalesce(removed_chars, 0) AS INTEGER) AS removed_chars, coalesce(spans, '') AS removed_spans,
+    CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS text
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
 # Windows are joined as texts, one length at a time, over every word position of every document.
 _DECONTAMINATION = rf"""
 WITH items AS (
@@ -62,6 +95,7 @@ FROM ranked
 """
 
 ORACLE = {
+    "op1_substring_dedup": _SUBSTRINGS,
     "op6_benchmark_decontamination": _DECONTAMINATION,
     "op7_source_mixing": _MIXING,
 }

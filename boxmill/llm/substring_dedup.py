@@ -24,8 +24,9 @@ UNITS = {
     "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*"),
 }
 
-# Repeated units are removed in runs of at least so many words; shorter ones are common phrases and stay.
-MIN_WORDS = 30
+# Repeated units are removed in runs of at least so many words; shorter ones are common phrases and stay. Half the length of a
+# passage of 50 words, as its first and last sentence may be fused with what surrounds it.
+MIN_WORDS = 25
 
 ADDED = {"n_units": "int", "n_removed": "int", "removed_spans": "array<struct<start:int,end:int>>"}
 
