@@ -42,6 +42,28 @@ def extract_features(tiles: DataFrame, keys: list[str]) -> DataFrame:
     return tiles.select(*keys, "height", "width", "data").mapInPandas(featurise, schema)
 
 
+def standardised(features: DataFrame) -> DataFrame:
+    """Every feature less its mean, divided by its population deviation; a constant feature becomes 0."""
+    totals = features.agg(
+        *[F.avg(f).alias(f"mean_{f}") for f in FEATURES], *[F.stddev_pop(f).alias(f"deviation_{f}") for f in FEATURES]
+    )
+    scaled = {f: (F.col(f) - F.col(f"mean_{f}")) / F.when(F.col(f"deviation_{f}") > 0, F.col(f"deviation_{f}")).otherwise(1.0) for f in FEATURES}
+    return features.crossJoin(F.broadcast(totals)).select([scaled[c].alias(c) if c in scaled else c for c in features.columns])
+
+
+def class_weights(features: DataFrame, label: str = "label") -> DataFrame:
+    """``label, n, weight`` per class: all rows divided by twice the rows of the class."""
+    counts = features.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.agg(F.sum("n").alias("whole"))
+    return counts.crossJoin(F.broadcast(whole)).select(label, "n", (F.col("whole") / (2 * F.col("n"))).alias("weight"))
+
+
+def linear_scores(features: DataFrame, coefficients: dict[str, float], intercept: float) -> DataFrame:
+    """Adds ``prob`` of a logistic model with given coefficients."""
+    z = sum((F.col(f) * c for f, c in coefficients.items()), F.lit(intercept))
+    return features.withColumn("prob", 1 / (1 + F.exp(-z)))
+
+
 def fit_gate(features: DataFrame, label: str = "label") -> PipelineModel:
     """Standardised, class-balanced, L2-regularised logistic regression on the tile features.
 

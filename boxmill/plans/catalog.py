@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from boxmill.functions import classes, grids, names
 from boxmill.functions.geometry import CORNERS, clamp01, corners, corners_to_center, int_iou
+from boxmill.functions.pixels import FEATURES
 from boxmill.operators import diagnose, gating, runs, splitting, tiling
 from boxmill.operators.average_precision import (
     EPS,
@@ -18,13 +20,13 @@ from boxmill.operators.average_precision import (
     mean_average_precision,
     precision_recall,
 )
-from boxmill.operators.features import extract_features
+from boxmill.operators.features import class_weights, extract_features, linear_scores, standardised
 from boxmill.operators.matching import best_truth, match_predictions, overlap_pairs
 from boxmill.operators.nms import nms
 from boxmill.plans import standins
 from boxmill.plans.evaluation import evaluate, score_predictions
 from boxmill.plans.gate import fit_and_score
-from boxmill.session import write_table
+from boxmill.session import shared_dir, write_table
 from boxmill.sources import annotations, images, labels, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -557,6 +559,36 @@ def tile_features(spark, d):
     return rounded(extract_features(standins.pixel_tiles(spark, d), ["image_id", "tile_id", "label"]))
 
 
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    return write_table(extract_features(standins.pixel_tiles(spark, d), ["image_id", "tile_id", "label"]), "features")
+
+
+@query
+def gate_standardised_features(spark, d):
+    return rounded(standardised(_features(spark, d)))
+
+
+@query
+def gate_class_weights(spark, d):
+    return rounded(class_weights(_features(spark, d)))
+
+
+@query
+def gate_scores_fixed_model(spark, d):
+    """Scores of a model with given coefficients, one in eight per feature and alternating in sign."""
+    coefficients = {f: (1 - 2 * (k % 2)) / 8 for k, f in enumerate(FEATURES)}
+    scored = linear_scores(standardised(_features(spark, d)), coefficients, -0.5)
+    return rounded(scored.select("image_id", "tile_id", "label", "prob"))
+
+
+@query
+def image_table_by_split(spark, d):
+    """The image table written by split and read back."""
+    path = f"{shared_dir(spark)}/boxmill/by-split-{uuid.uuid4().hex}"
+    images.write_by_split(standins.images(spark, d), path)
+    return spark.read.parquet(path).select("image_id", "split", "width", "height")
+
+
 @query
 def fitted_gate_scores(spark, d):
     return rounded(fit_and_score(standins.pixel_tiles(spark, d))[1], 4)

@@ -48,6 +48,46 @@ def _nms(
 )"""
 
 
+def _around(values: str, dy: int, dx: int, outside: str | None = None) -> str:
+    """A neighbour of pixel (y, x) in a list of 8x8 values: the nearest one, or ``outside``, beyond the border."""
+    if outside is None:
+        return f"{values}[1 + 8 * least(7, greatest(0, y + {dy})) + least(7, greatest(0, x + {dx}))]"
+    return f"CASE WHEN y + {dy} BETWEEN 0 AND 7 AND x + {dx} BETWEEN 0 AND 7 THEN {values}[1 + 8 * (y + {dy}) + x + {dx}] ELSE {outside} END"
+
+
+def _slope(down: bool) -> str:
+    terms = []
+    for k, weight in ((-1, 1), (0, 2), (1, 1)):
+        a, b = ((1, k), (-1, k)) if down else ((k, 1), (k, -1))
+        terms.append(f"{weight} * ({_around('gs', *a)} - {_around('gs', *b)})")
+    return " + ".join(terms)
+
+
+def _peak(first: tuple[int, int], second: tuple[int, int], strict: bool) -> str:
+    return f"m > {_around('ms', *first, '0')} AND m {'>' if strict else '>='} {_around('ms', *second, '0')}"
+
+
+COLOURS = (
+    "max_red", "max_green", "max_yellow", "max_bright", "top3_red", "top3_green", "bright_ratio", "max_patch_brightness",
+    "std_patch_brightness", "upper_bright_ratio",
+)
+FEATURES = (*COLOURS, "edge_density", "max_edge", "max_patch_edges", "small_blobs", "medium_blobs", "max_blob_area")
+# The order of the model's coefficients.
+MODEL = (
+    "edge_density", "max_red", "max_green", "max_yellow", "max_bright", "max_edge", "top3_red", "top3_green", "bright_ratio", "small_blobs",
+    "medium_blobs", "max_blob_area", "max_patch_brightness", "std_patch_brightness", "max_patch_edges", "upper_bright_ratio",
+)
+
+
+def _rounded(names: tuple[str, ...]) -> str:
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names)
+
+
+def _scaled(feature: str) -> str:
+    """A feature less its mean over its population deviation, 0 for a constant one."""
+    return f"(({feature} - avg({feature}) OVER ()) / CASE WHEN stddev_pop({feature}) OVER () > 0 THEN stddev_pop({feature}) OVER () ELSE 1 END)"
+
+
 CTES = {
     "images": """
 images AS (
@@ -325,7 +365,7 @@ px AS (
          v[i + 1] AS b, v[(i + 21) % 64 + 1] AS g, v[(i + 42) % 64 + 1] AS r
   FROM px0
 )""",
-    "px_masks": """
+    "px_masks": f"""
 px_gray AS (
   SELECT *, (b * 3735 + g * 19235 + r * 9798 + 16384) >> 15 AS gray, greatest(b, g, r) AS mx,
          greatest(b, g, r) - least(b, g, r) AS diff
@@ -344,9 +384,65 @@ px_masks AS (
          CAST(h BETWEEN 15 AND 35 AND s >= 80 AND mx >= 80 AS INTEGER) AS yellow, CAST(gray > 220 AS INTEGER) AS bright
   FROM (SELECT *, CASE WHEN h0 < 0 THEN h0 + 180 ELSE h0 END AS h FROM px_hue)
 ),
+px_grays AS (SELECT vec_id, list(gray ORDER BY y, x) AS gs FROM px_gray GROUP BY vec_id),
+px_slopes AS (
+  SELECT vec_id, image_id, tile_id, y, x, {_slope(False)} AS gx, {_slope(True)} AS gy FROM px JOIN px_grays USING (vec_id)
+),
+px_strengths AS (SELECT vec_id, list(abs(gx) + abs(gy) ORDER BY y, x) AS ms FROM px_slopes GROUP BY vec_id),
+px_edges0 AS (
+  SELECT *, abs(gx) + abs(gy) AS m FROM px_slopes JOIN px_strengths USING (vec_id)
+),
+px_edges AS (
+  SELECT vec_id, image_id, tile_id, y, x, m > 200 AS strong FROM px_edges0
+  WHERE m > 100 AND CASE WHEN abs(gy) < abs(gx) * tan(pi() / 8) THEN {_peak((0, -1), (0, 1), False)}
+                         WHEN abs(gy) > abs(gx) * tan(3 * pi() / 8) THEN {_peak((-1, 0), (1, 0), False)}
+                         WHEN (gx < 0) <> (gy < 0) THEN {_peak((-1, 1), (1, -1), True)}
+                         ELSE {_peak((-1, -1), (1, 1), True)} END
+),
+px_reached AS (
+  SELECT vec_id, y, x FROM px_edges WHERE strong
+  UNION
+  SELECT e.vec_id, e.y, e.x FROM px_reached r JOIN px_edges e ON e.vec_id = r.vec_id AND abs(e.y - r.y) <= 1 AND abs(e.x - r.x) <= 1
+),
+px_spread AS (
+  SELECT vec_id, y, x, 8 * y + x AS root FROM px_masks WHERE bright = 1
+  UNION
+  SELECT b.vec_id, b.y, b.x, s.root FROM px_spread s JOIN px_masks b
+    ON b.bright = 1 AND b.vec_id = s.vec_id AND abs(b.y - s.y) <= 1 AND abs(b.x - s.x) <= 1
+),
+px_blobs AS (
+  SELECT vec_id, count(*) FILTER (area BETWEEN 2 AND 20) AS small, count(*) FILTER (area BETWEEN 21 AND 80) AS medium, max(area) AS largest
+  FROM (SELECT vec_id, root, count(*) AS area FROM (SELECT vec_id, y, x, min(root) AS root FROM px_spread GROUP BY 1, 2, 3) GROUP BY 1, 2)
+  GROUP BY vec_id
+),
+px_edge_patches AS (
+  SELECT p.vec_id, p.y // 2 AS py, p.x // 2 AS px, avg(CAST(r.vec_id IS NOT NULL AS INTEGER)) AS edges
+  FROM px p LEFT JOIN px_reached r ON r.vec_id = p.vec_id AND r.y = p.y AND r.x = p.x GROUP BY 1, 2, 3
+),
+shapes AS (
+  SELECT vec_id // 4 AS image_id, CAST(vec_id % 4 AS INTEGER) AS tile_id, avg(edges) AS density, max(edges) AS max_edge,
+         any_value(coalesce(small, 0)) AS small, any_value(coalesce(medium, 0)) AS medium, any_value(coalesce(largest, 0)) AS largest
+  FROM px_edge_patches LEFT JOIN px_blobs USING (vec_id) GROUP BY vec_id
+),
 patches AS (
   SELECT image_id, tile_id, avg(red) AS red, avg(green) AS green, avg(yellow) AS yellow, avg(bright) AS bright, avg(gray) AS gray
   FROM px_masks GROUP BY image_id, tile_id, y // 2, x // 2
+)""",
+    "feats": """
+feats AS (
+SELECT c.*, CAST(e.label < 3 AS INTEGER) AS label, density AS edge_density, max_edge AS max_edge,
+  max_edge AS max_patch_edges, CAST(small AS DOUBLE) AS small_blobs, CAST(medium AS DOUBLE) AS medium_blobs,
+  CAST(largest AS DOUBLE) AS max_blob_area
+FROM colours c JOIN shapes USING (image_id, tile_id) JOIN embeddings e ON e.vec_id = c.image_id * 4 + c.tile_id
+)""",
+    "colours": """
+colours AS (
+SELECT image_id, tile_id, max(red) AS max_red, max(green) AS max_green, max(yellow) AS max_yellow,
+  max(bright) AS max_bright, list_avg(list_reverse_sort(list(red))[1:3]) AS top3_red,
+  list_avg(list_reverse_sort(list(green))[1:3]) AS top3_green, any_value(ratio) AS bright_ratio,
+  max(gray) AS max_patch_brightness, stddev_pop(gray) AS std_patch_brightness, any_value(upper) AS upper_bright_ratio
+FROM patches JOIN (SELECT image_id, tile_id, avg(bright) AS ratio, avg(bright) FILTER (y < 4) AS upper FROM px_masks GROUP BY 1, 2)
+  USING (image_id, tile_id) GROUP BY image_id, tile_id
 )""",
 }
 
@@ -355,7 +451,7 @@ DEPENDS = {
     "tile_scores": ["tile_boxes"], "sizes": ["gt"], "plan": ["sizes"], "adaptive": ["plan"], "merged": ["det"],
     "merged45": ["det"], "odd_det": ["det"], "odd": ["odd_det"], "agnostic": ["det"], "det_int": ["det"], "reported": ["det_int"], "pairs": ["merged", "gt"],
     "best": ["pairs"], "tp": ["best"], "counts": ["gt"], "curve": ["tp"], "ap": ["curve", "counts"], "micro": ["tp", "counts"],
-    "quality": ["merged45", "gt"], "errors": ["reported", "gt"], "run_wide": ["logs"], "docs": ["gtk"], "px_masks": ["px"],
+    "quality": ["merged45", "gt"], "errors": ["reported", "gt"], "run_wide": ["logs"], "docs": ["gtk"], "px_masks": ["px"], "colours": ["px_masks"], "feats": ["colours"],
 }
 
 
@@ -600,13 +696,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, til
 WHERE s.label = 1 ORDER BY g.image_id, g.tile_id LIMIT 12""", "tile_scores"),
     "leakage_guard": build(
         """SELECT image_id, tile_id FROM tile_grid WHERE image_id NOT IN (SELECT image_id FROM tile_grid WHERE tile_id = 3)""", "tiles"),
-    "tile_colour_features": build(
-        """SELECT image_id, tile_id, round(max(red), 6) AS max_red, round(max(green), 6) AS max_green, round(max(yellow), 6) AS max_yellow,
-  round(max(bright), 6) AS max_bright, round(list_avg(list_reverse_sort(list(red))[1:3]), 6) AS top3_red,
-  round(list_avg(list_reverse_sort(list(green))[1:3]), 6) AS top3_green, round(any_value(ratio), 6) AS bright_ratio,
-  round(max(gray), 6) AS max_patch_brightness, round(stddev_pop(gray), 6) AS std_patch_brightness, round(any_value(upper), 6) AS upper_bright_ratio
-FROM patches JOIN (SELECT image_id, tile_id, avg(bright) AS ratio, avg(bright) FILTER (y < 4) AS upper FROM px_masks GROUP BY 1, 2)
-  USING (image_id, tile_id) GROUP BY image_id, tile_id""", "px_masks"),
+    "tile_colour_features": build(f"SELECT * REPLACE ({_rounded(COLOURS)}) FROM colours", "colours"),
+    "tile_features": build(f"SELECT * REPLACE ({_rounded(FEATURES)}) FROM feats", "feats"),
+    "gate_standardised_features": build(
+        "SELECT image_id, tile_id, label, " + ", ".join(f"round({_scaled(f)}, 6) AS {f}" for f in FEATURES) + " FROM feats", "feats"),
+    "gate_class_weights": build(
+        "SELECT label, count(*) AS n, round(sum(count(*)) OVER () / (2 * count(*)), 6) AS weight FROM feats GROUP BY label", "feats"),
+    "gate_scores_fixed_model": build(
+        f"""SELECT image_id, tile_id, label, round(1 / (1 + exp(-z)), 6) AS prob
+FROM (SELECT *, -0.5 + {" + ".join(f"{(1 - 2 * (k % 2)) / 8} * {_scaled(f)}" for k, f in enumerate(MODEL))} AS z FROM feats)""", "feats"),
+    "image_table_by_split": build("SELECT * FROM images", "images"),
     "train_val_split": build(
         """SELECT image_id, CASE WHEN row_number() OVER (ORDER BY md5('7:' || image_id)) <= floor(count(*) OVER () * 0.8::DOUBLE)
   THEN 'train' ELSE 'val' END AS subset FROM images""", "images"),
