@@ -33,15 +33,15 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Rounds of a large star (each node's larger neighbours move to its smallest neighbour) and a small star (the same for
     the smaller ones) until nothing changes; their number grows with the logarithm of the longest chain. Both are a
-    grouped minimum, combined before the shuffle, and a join that Spark may split at a hub. Each round is written to
-    the shared folder. Links from a node to itself, nulls and repeated links are dropped; no links give no rows.
+    grouped minimum, combined before the shuffle, and a join; minima are written first, so that both sides are dealt anew
+    and Spark can split a hub. Each round is written to the shared folder. Links from a node to itself, nulls and repeated links are dropped; no links give no rows.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = write_table(edges.where("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        lowest = write_table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "lowest")
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = large.where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))

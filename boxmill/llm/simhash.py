@@ -207,7 +207,8 @@ def with_component(documents: DataFrame) -> DataFrame:
     A component of null ids only has a null ``component_id``.
     """
     found = write_table(near_duplicates(documents), "near-duplicates")
-    smallest = found.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Written out, so that both sides of the join are dealt anew and Spark can split a hot component.
+    smallest = write_table(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "components")
     return found.join(smallest, "root").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
