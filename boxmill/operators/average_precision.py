@@ -27,10 +27,11 @@ class ScoreOrder:
 
     def __init__(self, matched: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS):
         self.thresholds = tuple(thresholds)
-        order = [F.col("conf").desc(), F.col("image_id"), F.col("det_id")]
+        ids = [c for c in ("image_id", "tile_id", "det_id") if c in matched.columns]
+        order = [F.col("conf").desc(), *map(F.col, ids)]
         # Range sorting reads its input twice (sample, then sort), hence the stored copy.
         stored = write_table(matched, "matched")
-        self.rows = sorted_chunks(stored.select("cls", "conf", "image_id", "det_id", "hits"), ["cls"], order)
+        self.rows = sorted_chunks(stored.select("cls", "conf", *ids, "hits"), ["cls"], order)
         self._bits = [f"tp_{k}" for k in range(len(self.thresholds))]
         sums = [F.sum(_bit(k)).alias(name) for k, name in enumerate(self._bits)]
         self.totals, _ = small_table(chunk_totals(self.rows, ["cls"], *sums), "score-totals")
