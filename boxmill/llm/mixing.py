@@ -101,4 +101,7 @@ def mixed(documents: DataFrame, **settings) -> DataFrame:
         F.struct("*").alias("row"), *key_columns("doc_id", F.col("source").cast("string"), F.xxhash64("text"))
     )
     joined = keyed.dropDuplicates(KEY).join(taken, KEY)
-    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    # In two steps, so that very many equal rows never make one very long array.
+    hundreds = joined.select("row", "copies", F.explode(F.sequence(F.lit(0), F.col("copies"), F.lit(100))).alias("first"))
+    rest = F.least(F.lit(100), F.col("copies") - F.col("first"))
+    return hundreds.where(rest > 0).select("row", F.explode(F.sequence(F.lit(1), rest))).select("row.*")
