@@ -45,6 +45,19 @@ def test_components_equal_flood_fill():
         assert counts[k].tolist() == [sum(2 <= a <= 20 for a in areas), sum(20 < a <= 80 for a in areas), max(areas, default=0)]
 
 
+def test_components_of_real_tile_size():
+    """Edge-rich pictures of 640 pixels: as quick as others, and equal to the flood fill in a corner of them."""
+    rng = np.random.default_rng(5)
+    mask = rng.random((2, 640, 640)) < np.array([0.42, 0.6])[:, None, None]
+    label = components(mask)
+    for k in range(2):
+        groups = flood(mask[k])
+        found = np.unique(label[k][mask[k]], return_counts=True)[1]
+        assert sorted(found.tolist()) == sorted(len(g) for g in groups)
+        smallest = {min(y * 640 + x for y, x in g) + k * 640 * 640 for g in groups}
+        assert set(np.unique(label[k][mask[k]]).tolist()) == smallest
+
+
 def test_edges_of_a_step_and_of_nothing():
     flat = np.full((1, 12, 12), 90)
     assert not edge_map(flat).any()

@@ -49,6 +49,16 @@ def test_image_folder(spark, tmp_path):
         assert (got[:7] == pixels[:, t["x"] : t["x"] + 8]).all() and (got[7] == 114).all()
 
 
+def test_many_tiles_leave_in_groups(spark):
+    pixels = np.random.default_rng(3).integers(0, 256, (70, 90, 3), dtype=np.uint8)
+    df = spark.createDataFrame([("p", 70, 90, 3, bytearray(pixels.tobytes()))], "path string, height int, width int, nChannels int, data binary")
+    tiles = images.crop_tiles(df, tile=16, overlap=0.5).collect()
+    assert len(tiles) > 3 * images.TILES_AT_ONCE and [t["tile_id"] for t in tiles] == list(range(len(tiles)))
+    for t in tiles:
+        part = pixels[t["y"] : t["y"] + 16, t["x"] : t["x"] + 16]
+        assert (np.frombuffer(t["data"], np.uint8).reshape(16, 16, 3)[: part.shape[0], : part.shape[1]] == part).all()
+
+
 def test_label_reader(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1.0 0.5 0.5 0.25 0.25\n\n2 0.1 0.1\n 3\t0 0 1 1 \r\nx 0 0 1 1\n")
     (tmp_path / "b.txt").write_text("")
