@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from boxmill.llm.labelled import MAX_TRAINING_ROWS, first_rows, fold, training_documents
 from boxmill.llm.text import extended, without
+from boxmill.session import write_table
 
 HOLD_OUT_FOLDS = 3
 HELD_OUT = 1
@@ -128,10 +129,11 @@ def train(
 ) -> Model:
     """Learns from ``labels.toxic``; by default one fold of three (crc32 of the id) is left out.
 
-    Documents come to the driver as lists of chosen token numbers per sentence, without texts.
+    The sample is written once, so that the corpus is searched for it once. Its documents come to the driver as lists of
+    chosen token numbers per sentence, without texts.
     """
     usable = fold(F.col("doc_id"), HOLD_OUT_FOLDS) != HELD_OUT if usable is None else usable
-    sample = training_documents(documents, labels, "toxic", usable, max_rows)
+    sample = write_table(training_documents(documents, labels, "toxic", usable, max_rows), "toxicity-sample")
     vocabulary = {t: i for i, t in enumerate(choose_tokens(sample))}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
