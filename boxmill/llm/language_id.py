@@ -206,9 +206,9 @@ def identified(pages: DataFrame, documents: DataFrame) -> DataFrame:
     hosts = level(rows, "own", ["suffix", "domain", "host"], "of_host")
     domains = level(hosts, "of_host", ["suffix", "domain"], "of_domain")
     suffixes = level(domains, "of_domain", ["suffix"], "of_suffix")
-    world = level(suffixes, "of_suffix", [], "of_all")
-    known = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix").crossJoin(F.broadcast(world))
-    joined = rows.join(known.drop("suffix", "domain"), "host")
+    world = [n or 0 for n in level(suffixes, "of_suffix", [], "of_all").first()["of_all"]]
+    known = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix")
+    joined = rows.join(known.drop("suffix", "domain"), "host").withColumn("of_all", F.array(*(F.lit(int(n)) for n in world)))
 
     def without_own(column: str, k: int) -> Column:
         return F.greatest(F.col(column)[k] - F.col("own")[k], F.lit(0)) / F.lit(float(MICRO))
