@@ -168,12 +168,12 @@ def contamination(
     """
     row = F.struct(*(F.col(f"`{c}`") for c in (columns or documents.columns)))
     rows = documents.select(row.alias("row"))
-    parts = list(_blocks(windows(benchmark), block_windows))
-    first = _scan(rows, parts[0])
-    if len(parts) == 1:
+    blocks = _blocks(windows(benchmark), block_windows)
+    first = _scan(rows, next(blocks))
+    others = [_scan(rows, block).where("n_hit > 0") for block in blocks]
+    if not others:
         return first
     keyed = first.select("*", *key_columns("row.doc_id", "row.text"))
-    others = [_scan(rows, p).where("n_hit > 0") for p in parts[1:]]
     others = reduce(DataFrame.unionByName, others).select(*key_columns("row.doc_id", "row.text"), "item_ids", "spans")
     others = others.groupBy(*KEY).agg(
         F.flatten(F.collect_set("item_ids")).alias("more_ids"), F.flatten(F.collect_set("spans")).alias("more_spans")
