@@ -8,12 +8,14 @@ edits as few entries as it can and stores the next version.
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxmill.llm.text import without
+from boxmill.session import shared_dir
 
 VIRTUAL_SLOTS = 4096
 SHARDS = 24
@@ -123,6 +125,19 @@ def load(spark: SparkSession, folder: str, version: int) -> list[Slot]:
     return sorted((Slot(*r) for r in rows), key=lambda s: s.virtual_slot)
 
 
+def versioned(spark: SparkSession, totals: list[tuple[int, int, int]], folder: str | None = None, earlier: int | None = None, shards: int = SHARDS) -> list[Slot]:
+    """Stores the next version of the slot table and gives it as read back.
+
+    Without an ``earlier`` version that is version 1, dealt anew; with one, that version of ``folder`` is rebalanced. Without
+    a ``folder`` the table goes to one of its own in the shared folder.
+    """
+    folder = folder or f"{shared_dir(spark)}/boxmill/slots-{uuid.uuid4().hex}"
+    table = assign(totals, shards) if earlier is None else rebalance(load(spark, folder, earlier), totals, shards)
+    version = 1 if earlier is None else earlier + 1
+    store(spark, table, folder, version)
+    return load(spark, folder, version)
+
+
 def with_shard(documents: DataFrame, table: list[Slot], slots: int = VIRTUAL_SLOTS) -> DataFrame:
     """``documents`` with ``virtual_slot`` and ``shard`` added, without a shuffle; the table of fixed size is broadcast.
 
