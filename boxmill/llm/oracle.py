@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from boxmill.llm import bit_planes, spelling
 from boxmill.llm.mixing import MAX_COPIES, SEED, WEIGHTS
 from boxmill.llm.substring_dedup import MIN_WORDS
 
@@ -17,7 +18,8 @@ WITH pieces AS (
 ]+') AS p FROM documents))
 ), units AS (
     SELECT doc_id, start, start + len(piece) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, len(w) AS n_words, array_to_string(w, ' ') AS normal
-    FROM (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+    FROM (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
           FROM pieces WHERE regexp_matches(piece, '^[^.!?
 ]'))
     WHERE len(w) > 0
@@ -94,8 +96,81 @@ SELECT doc_id, size, source_size, target,
 FROM ranked
 """
 
+
+
+def _clusters() -> str:
+    """Centroids of every round as one table each."""
+    steps = []
+    for r in range(1, bit_planes.ROUNDS + 1):
+        steps.append(f"""nearest{r} AS MATERIALIZED ({_nearest(f"centroids{r - 1}")}),
+    sums{r} AS (SELECT k, pos, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(range(1, 65)) AS pos, unnest(c) AS x FROM nearest{r}) GROUP BY k, pos),
+    centroids{r} AS MATERIALIZED (
+        SELECT o.k, coalesce(m.c, o.c) AS c FROM centroids{r - 1} o LEFT JOIN
+            (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY pos) AS c FROM sums{r} GROUP BY k) m USING (k))""")
+    return f"""
+WITH vectors AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({bit_planes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS c FROM embeddings
+    WHERE len(embedding) = {bit_planes.COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {bit_planes.COMPONENTS}
+), centroids0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS k, c FROM (SELECT sha256('{bit_planes.SEED}:' || vec_id) AS h, c FROM vectors ORDER BY h LIMIT {bit_planes.CLUSTERS})
+), {", ".join(steps)}, assigned AS MATERIALIZED ({_nearest(f"centroids{bit_planes.ROUNDS}")})
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(f.c, ',')) AS centroid_sha256
+FROM assigned JOIN centroids{bit_planes.ROUNDS} f USING (k)
+"""
+
+
+def _nearest(centroids: str) -> str:
+    return f"""SELECT vec_id, c, k, d FROM (
+        SELECT v.vec_id, v.c, m.k, list_sum(list_transform(list_zip(v.c, m.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM vectors v, {centroids} m)
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, k) = 1"""
+
+
+_EXACT = f"""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, {_LOWER} AS t FROM documents) WINDOW same AS (PARTITION BY t)
+"""
+
+# The CRC-32 takes eight steps per byte; near words share a form with one code point deleted.
+_SPELLING = f"""
+WITH RECURSIVE runs AS (
+    SELECT label, run, count(*) AS n FROM (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS label, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+    WHERE len(run) >= {spelling.MIN_LENGTH} GROUP BY label, run
+), coded AS (
+    SELECT run, n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(0, strlen(label || run)),
+        lambda i: [CAST('0x' || substr(hex(encode(label || run)), 2 * i + 1, 2) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+        lambda a, b: CASE WHEN xor(a, b) % 2 = 1 THEN xor(xor(a, b) // 2, 3988292384) ELSE xor(a, b) // 2 END), 4294967295) AS h
+    FROM runs
+), words AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word FROM coded)
+    WHERE len(word) >= {spelling.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}
+), cut AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS near, max(near_n) AS near_n FROM near GROUP BY word
+), forms AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.FORM_RATIO} * w.n THEN near END AS form,
+        CASE WHEN near_n >= {spelling.FORM_RATIO} * w.n THEN near_n END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, word AS root, form AS next FROM forms
+    UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.next = f.word
+)
+SELECT f.word, form, c.root, f.n, n_near, form_n FROM forms f JOIN chain c ON f.word = c.word AND c.next IS NULL
+"""
+
 ORACLE = {
     "op1_substring_dedup": _SUBSTRINGS,
     "op6_benchmark_decontamination": _DECONTAMINATION,
     "op7_source_mixing": _MIXING,
+    "op11_bit_planes": _clusters(),
+    "op12_content_sort": _EXACT,
+    "op13_spelling_variants": _SPELLING,
 }

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxmill.llm import (
+    bit_planes,
     chat_digest,
     chat_format,
+    content_sort,
     decontaminate,
     gam_quality,
     labelled,
@@ -18,6 +20,7 @@ from boxmill.llm import (
     quality_rules,
     sharding,
     simhash,
+    spelling,
     substring_dedup,
     toxicity,
 )
@@ -109,6 +112,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bit_planes.with_inertia(*bit_planes.clustered(table(spark, sf_dir, "embeddings")))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,5 +138,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity,
         op9_quality_rules,
         op10_sharding,
+        op11_bit_planes,
+        op12_content_sort,
+        op13_spelling_variants,
     )
 }
