@@ -1,14 +1,13 @@
 """Grids of cells, one per size level, that spread the boxes of one image over many join keys.
 
-A box has the level of its longer side: the smallest power of two (at least 64 pixels) that is as long. At home it
-lies in one cell of its own level, the one of its centre. Of two boxes that overlap enough, the one of the lower level
-looks for the other at the other's level, where its reach is a few cells whatever the sizes. So a huge box among small
-ones costs no more rows than any other.
+A box has the level of its longer side: the smallest power of two (at least 64 pixels) that is as long. Two boxes that
+overlap enough differ by few levels, and meet on the grid of the higher one: one side waits in the cell of its centre, on the
+grids of its level and those above; the other looks around on the same grids, where its reach is a few cells whatever
+the sizes. So a huge box among small ones costs no more rows than any other.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -24,7 +23,9 @@ FARTHEST = float(1 << (COARSEST - 1))
 # Covers rounding in the reach, in pixels.
 SLACK = 0.01
 
-CELL = ("cell_role", "cell_level", "cell_x", "cell_y")
+CELL = ("cell_level", "cell_x", "cell_y")
+# The side of a cell in units of its level's longest side. Wide cells mean that few rows lie in two of them.
+CELL_SIDES = 4
 
 
 def placeable(box: Sequence[Column]) -> Column:
@@ -44,55 +45,67 @@ def centre_reach(min_iou: float) -> float:
 
 def level_of(box: Sequence[Column]) -> Column:
     """Bit length of the longer side, rounded up, less one: the exponent of the power of two that covers it."""
-    x1, y1, x2, y2 = box
-    longer = F.ceil(F.greatest(x2 - x1, y2 - y1)) - 1
-    return F.greatest(F.lit(FINEST), F.length(F.bin(longer)))
+    return _level(_longer(box))
 
 
-def _cells(box: Sequence[Column], role: int, level: Column, reach: Sequence[Column]) -> Column:
-    """Cells of one level around the centre, as an array of structs named like CELL."""
+def _longer(box: Sequence[Column]) -> Column:
     x1, y1, x2, y2 = box
-    side = F.pow(F.lit(2.0), level)
-    xs, ys = (
-        F.sequence(F.floor((c - r) / side), F.floor((c + r) / side)) for c, r in zip(((x1 + x2) / 2, (y1 + y2) / 2), reach)
-    )
-    place = lambda x, y: F.struct(*(v.alias(n) for v, n in zip((F.lit(role), level.cast("int"), x, y), CELL)))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place(x, y))))
+    return F.greatest(x2 - x1, y2 - y1)
 
 
-def home(box: Sequence[Column], role: int) -> Column:
-    nothing = F.lit(0.0)
-    return _cells(box, role, level_of(box), (nothing, nothing))
+def _level(side: Column) -> Column:
+    return F.greatest(F.lit(FINEST), F.length(F.bin(F.ceil(side) - 1)))
 
 
-def search(box: Sequence[Column], role: int, min_iou: float, first: int) -> Column:
-    """Cells in which partners of the box's level plus ``first`` and coarser can be at home.
+def partner_levels(box: Sequence[Column], min_iou: float) -> tuple[Column, Column]:
+    """The lowest and the highest level of boxes that can have an IoU of at least ``min_iou``; 0 stands for any overlap at all."""
+    if min_iou <= 0:
+        return F.lit(FINEST), F.lit(COARSEST)
+    # The factors cover rounding in the IoU.
+    low, high = _level(_longer(box) * (min_iou * (1 - 1e-9))), _level(_longer(box) * ((1 + 1e-9) / min_iou))
+    return low, F.greatest(level_of(box), F.least(high, F.lit(COARSEST)))
 
-    ``min_iou`` bounds how much larger a partner can be; 0 stands for any overlap at all.
-    """
+
+def reach(box: Sequence[Column], level: Column, min_iou: float) -> list[Column]:
+    """How far from a box's centre, in x and y, that of a partner of the given level can be."""
     x1, y1, x2, y2 = box
     sides = (x2 - x1, y2 - y1)
-    own = level_of(box)
-    steps = COARSEST if min_iou <= 0 else math.ceil(math.log2(1 / min_iou) + 1e-9)
-    levels = F.sequence(own + first, F.greatest(own + first, F.least(own + steps, F.lit(COARSEST))))
+    far = [(s + F.pow(F.lit(2.0), level)) / 2 + SLACK for s in sides]
+    return [F.least(f, s * centre_reach(min_iou) + SLACK) for f, s in zip(far, sides)] if min_iou > 0 else far
+
+
+def cells_around(box: Sequence[Column], level: Column, far: Sequence[Column], sides: int) -> Column:
+    """Cells of one level within reach of the centre, as an array of ``level, x, y``."""
+    x1, y1, x2, y2 = box
+    side = F.pow(F.lit(2.0), level) * sides
+    xs, ys = (
+        F.sequence(F.floor((c - r) / side), F.floor((c + r) / side)) for c, r in zip(((x1 + x2) / 2, (y1 + y2) / 2), far)
+    )
+    place = lambda x, y: F.struct(level.cast("int").alias("level"), x.alias("x"), y.alias("y"))
+    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place(x, y))))
 
-    def around(level: Column) -> Column:
-        reach = [(s + F.pow(F.lit(2.0), level)) / 2 + SLACK for s in sides]
-        if min_iou > 0:
-            reach = [F.least(r, s * centre_reach(min_iou) + SLACK) for r, s in zip(reach, sides)]
-        return _cells(box, role, level, reach)
 
-    found = F.flatten(F.transform(levels, around))
-    return found if first <= steps else F.filter(found, lambda c: F.lit(False))
+def _levels(box: Sequence[Column], min_iou: float) -> Column:
+    return F.sequence(level_of(box), partner_levels(box, min_iou)[1])
+
+
+def _spread(df: DataFrame, box: Sequence[Column], cells: Column, level: str) -> DataFrame:
+    placed = df.where(placeable(box)).withColumn(level, level_of(box)).withColumn("cell", F.explode(cells))
+    return placed.select(*df.columns, level, *(F.col(f"cell.{c}").alias(n) for c, n in zip(("level", "x", "y"), CELL)))
 
 
 def searching(df: DataFrame, box: Sequence[Column], min_iou: float) -> DataFrame:
-    """One side of a meeting: rows looking for partners of their level or above, and rows at home for lower ones."""
-    cells = F.concat(search(box, 0, min_iou, 0), home(box, 1))
-    return df.where(placeable(box)).withColumn("cell", F.explode(cells)).select(*df.columns, "cell.*")
+    """One side of a meeting: rows in all cells where a partner can wait, with their own ``search_level``."""
+    around = lambda n: cells_around(box, n, reach(box, n, min_iou), CELL_SIDES)
+    return _spread(df, box, F.flatten(F.transform(_levels(box, min_iou), around)), "search_level")
 
 
 def waiting(df: DataFrame, box: Sequence[Column], min_iou: float) -> DataFrame:
-    """The other side: rows at home, and rows looking for partners of a higher level. Every pair meets exactly once."""
-    cells = F.concat(home(box, 0), search(box, 1, min_iou, 1))
-    return df.where(placeable(box)).withColumn("cell", F.explode(cells)).select(*df.columns, "cell.*")
+    """The other side: rows in the cell of their centre, on the grids of their ``wait_level`` and above."""
+    nothing = (F.lit(0.0), F.lit(0.0))
+    return _spread(df, box, F.flatten(F.transform(_levels(box, min_iou), lambda n: cells_around(box, n, nothing, CELL_SIDES))), "wait_level")
+
+
+def meet_once(search_level: Column, wait_level: Column, cell_level: Column) -> Column:
+    """True on the one grid where a pair is to meet: that of its higher level."""
+    return cell_level == F.greatest(search_level, wait_level)

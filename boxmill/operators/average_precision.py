@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxmill.functions.scores import score_order
 from boxmill.operators.matching import IOU_THRESHOLDS
 from boxmill.operators.ranking import chunk_totals, earlier_chunks, sorted_chunks
 from boxmill.session import small_table, write_table
@@ -28,7 +29,7 @@ class ScoreOrder:
     def __init__(self, matched: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS):
         self.thresholds = tuple(thresholds)
         ids = [c for c in ("image_id", "tile_id", "det_id") if c in matched.columns]
-        order = [F.col("conf").desc(), *map(F.col, ids)]
+        order = [*score_order(F.col("conf")), *map(F.col, ids)]
         # Range sorting reads its input twice (sample, then sort), hence the stored copy.
         stored = write_table(matched, "matched")
         self.rows = sorted_chunks(stored.select("cls", "conf", *ids, "hits"), ["cls"], order)

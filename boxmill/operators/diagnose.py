@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxmill.functions.geometry import CORNERS, int_iou
+from boxmill.functions.scores import score_order
 from boxmill.operators.matching import overlap_pairs
 from boxmill.operators.nms import nms
 
@@ -20,15 +21,23 @@ def int_boxes(df: DataFrame) -> DataFrame:
 def first_matches(predictions: DataFrame, truth: DataFrame, min_iou: float = MATCH_IOU) -> DataFrame:
     """For each matched truth box the first overlapping prediction of any class, in score order.
 
-    Columns: ``image_id, box_id, truth_cls, det_id, pred_cls``. A prediction may serve several boxes.
+    Columns: ``image_id, box_id, truth_cls``, ``tile_id`` if predictions have it, ``det_id, pred_cls``. A prediction may serve
+    several boxes. NaN and then null scores come last.
     """
     pairs = overlap_pairs(int_boxes(predictions), int_boxes(truth), min_iou, same_class=False, iou_of=int_iou)
-    first = F.min(F.struct((-F.col("conf")).alias("key"), "det_id", "cls")).alias("first")
+    ids = detection_ids(predictions)
+    order = [c.alias(f"key_{n}") for n, c in enumerate(score_order(F.col("conf")))]
+    first = F.min(F.struct(*order, *ids, "cls")).alias("first")
     return pairs.groupBy("image_id", "box_id", "truth_cls").agg(first).select(
-        "image_id", "box_id", "truth_cls", F.col("first.det_id").alias("det_id"), F.col("first.cls").alias("pred_cls")
+        "image_id", "box_id", "truth_cls", *(F.col(f"first.{c}").alias(c) for c in ids), F.col("first.cls").alias("pred_cls")
     )
 
 
+def detection_ids(predictions: DataFrame) -> list[str]:
+    """What names a prediction within its image: its number, and its tile if there is one."""
+    return [c for c in ("tile_id", "det_id") if c in predictions.columns]
+
+
 def image_quality(images: DataFrame, predictions: DataFrame, truth: DataFrame, min_iou: float = MATCH_IOU) -> DataFrame:
     """Per image: matches, errors, recall, precision, F1, mean confidence and quality (F1 x confidence).
 
@@ -37,7 +46,7 @@ def image_quality(images: DataFrame, predictions: DataFrame, truth: DataFrame, m
     # Uses per prediction first: a distinct count that cannot gather one image in one buffer.
     used = (
         first_matches(predictions, truth, min_iou)
-        .groupBy("image_id", "det_id")
+        .groupBy("image_id", *detection_ids(predictions))
         .agg(
             F.count_if(F.col("pred_cls") == F.col("truth_cls")).alias("right"),
             F.count_if(F.col("pred_cls") != F.col("truth_cls")).alias("wrong"),
@@ -81,7 +90,7 @@ def image_errors(images: DataFrame, predictions: DataFrame, truth: DataFrame, mi
     pairs = overlap_pairs(int_boxes(predictions), int_boxes(truth), min_iou, same_class=False, iou_of=int_iou)
     # One pass over the pairs: each adds to its box and to its prediction, summed up before anything moves.
     mixed = F.when(F.col("cls") != F.col("truth_cls"), 1).otherwise(0)
-    ids = F.struct(*(F.col(c) for c in pairs.columns if c in ("tile_id", "det_id")))
+    ids = F.struct(*detection_ids(predictions))
     no_id = F.lit(None).cast(pairs.select(ids.alias("i")).schema["i"].dataType)
     sides = F.array(
         F.struct(F.col("box_id").alias("box"), no_id.alias("det"), mixed.alias("mixed")),

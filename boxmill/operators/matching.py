@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import CELL, searching, waiting
+from boxmill.functions.cells import CELL, meet_once, searching, waiting
 from boxmill.functions.geometry import CORNERS, corners, iou
+from boxmill.functions.scores import score_order
 
 IOU_THRESHOLDS = tuple((50 + 5 * k) / 100 for k in range(10))
 
@@ -36,6 +37,7 @@ def overlap_pairs(
     homes = waiting(truth.select("image_id", "box_id", F.col("cls").alias("truth_cls"), *CORNERS), corners(), min_iou)
     p, t = probes.alias("p"), homes.alias("t")
     on = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("image_id", *CELL)]
+    on.append(meet_once(F.col("p.search_level"), F.col("t.wait_level"), F.col("t.cell_level")))
     if same_class:
         on.append(F.col("p.cls") == F.col("t.truth_cls"))
     value = iou_of(*([F.col(f"{side}.{c}") for c in CORNERS] for side in ("p", "t")))
@@ -83,7 +85,7 @@ def match_predictions(
     alone = F.when(F.col("best_box").isNull(), F.struct(*ids))
     claims = (
         Window.partitionBy("image_id", "cls", "best_box", alone)
-        .orderBy(F.col("conf").desc(), *ids)
+        .orderBy(*score_order(F.col("conf")), *ids)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     taken = F.coalesce(F.max("best_iou").over(claims), F.lit(-1.0))

@@ -9,28 +9,34 @@ positive area or with coordinates that are not finite meet nothing and are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import CELL, placeable, searching, waiting
+from boxmill.functions.cells import COARSEST, FINEST, SLACK, cells_around, centre_reach, level_of, partner_levels, placeable, reach
 from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
+from boxmill.functions.scores import score_order
 from boxmill.operators.ranking import split_large, top_rows
 from boxmill.session import write_table
 
-# Detections of one image that are walked through as one array. Larger images take rounds with the same result.
+# Detections of one image that are walked through as one array. Larger images are cut to regions, with the same result.
 ARRAY_ROWS = 1000
 
+# The side of a region, in units of the largest boxes that are at home there.
+REGION_SIDES = 16
+# What a region says of a detection, from the rows it sees.
+OPEN, KEPT, STRUCK = 0, 1, 2
+
 IMAGE_KEYS = ("image_id",)
 
 
 def _rank(df: DataFrame) -> Column:
     """The place of a detection in its image, as a struct that sorts ascending; equal only for equal rows."""
-    conf = F.col("conf").cast("double")
-    unscored = F.when(conf.isNull(), 2).when(F.isnan(conf), 1).otherwise(0)
     ids = [F.col(c) for c in ("tile_id", "det_id") if c in df.columns]
-    values = [unscored, F.when(unscored == 0, -conf).otherwise(0.0), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
+    values = [*score_order(F.col("conf")), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
     return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(values)))
 
 
@@ -66,7 +72,7 @@ def nms(
     at most ``max_det`` of any class. So one pass over the image in score order is enough.
 
     Ordinary images take one shuffle on the image key and one array per image. Images with more than
-    ``array_rows`` detections are never collected as a whole; see ``_nms_in_rounds``. Both give the same rows.
+    ``array_rows`` detections are never collected as a whole; see ``_nms_in_regions``. Both give the same rows.
     """
     keys_ = list(keys)
     small, large = split_large(detections, keys_, array_rows)
@@ -82,47 +88,122 @@ def nms(
     )
     if large is None:
         return kept
-    return kept.unionByName(_nms_in_rounds(large, iou_threshold, max_det, agnostic, keys_))
+    return kept.unionByName(_nms_in_regions(large, iou_threshold, max_det, agnostic, keys_))
 
 
-def _nms_in_rounds(detections: DataFrame, threshold: float, max_det: int | None, agnostic: bool, keys: list[str]) -> DataFrame:
-    """Exact NMS for images of any size, in rounds over all large images at once.
+def _nms_in_regions(detections: DataFrame, threshold: float, max_det: int | None, agnostic: bool, keys: list[str]) -> DataFrame:
+    """Exact NMS for images of any size, cut to regions with a border as wide as a suppression can reach.
 
-    A round keeps every remaining detection that no better remaining one conflicts with, and strikes out what these
-    suppress. The number of rounds follows the longest chain of suppression, not the size of the crowd. Conflicts are
-    looked up by grid cell as existence checks, so no pairs are written. The limit is taken at the end.
+    A detection is at home in one region of its size level, and is seen by all regions where one that it can suppress, or that
+    can suppress it, is at home. A region goes through what it sees from the best one down: it strikes out what a kept one
+    suppresses, keeps its own ones that no other can suppress any more, and leaves open what depends on the fate of
+    a detection of another region. Only what is open, and what was kept near it, takes another round. The best
+    open detection is settled in each round, and chains of suppression seldom cross many borders.
     """
-    columns = detections.columns
     # Equal rows are told apart by a number that is written out once and never computed again.
     numbered = detections.withColumn("nms_rank", _rank(detections)).withColumn("nms_row", F.monotonically_increasing_id())
-    rest = write_table(numbered, "nms-rest")
-    parts = []
-    while not rest.isEmpty():
-        beaten = _in_conflict(rest, rest, threshold, agnostic, keys, better=True)
-        leaders = write_table(rest.join(beaten, "nms_row", "left_anti"), "nms-kept")
-        parts.append(leaders)
-        others = rest.join(leaders.select("nms_row"), "nms_row", "left_anti")
-        struck = _in_conflict(others, leaders, threshold, agnostic, keys, better=False)
-        rest = write_table(others.join(struck, "nms_row", "left_anti"), "nms-rest")
-    if not parts:
-        return detections.limit(0)
-    kept = reduce(DataFrame.unionByName, parts)
+    rows = write_table(numbered, "nms-rows")
+    # A detection that meets nothing needs no region.
+    known_class = F.lit(True) if agnostic else F.col("cls").isNotNull()
+    meets = F.coalesce(placeable(corners()) & known_class, F.lit(False))
+    own = [*keys] if agnostic else [*keys, "cls"]
+    boxes = [F.col(c).cast("double").alias(c) for c in CORNERS]
+    slim = rows.where(meets).select(F.xxhash64(*own).alias("own_a"), F.xxhash64(F.lit(1), *own).alias("own_b"), *boxes, "nms_rank", "nms_row")
+    lowest, highest = _region_levels(slim, threshold)
+    now, kept = slim.withColumn("known", F.lit(OPEN)), [rows.where(~meets).select("nms_row")]
+    dealt = _dealt(now, threshold, lowest, highest)
+    while True:
+        by_region = dealt.repartition(*REGION).sortWithinPartitions(*REGION, "nms_rank", "nms_row").drop("nms_rank")
+        found = write_table(by_region.mapInArrow(_Region(threshold).settle, "nms_row long, fate int"), "nms-fates")
+        kept.append(found.where(F.col("fate") == KEPT).select("nms_row"))
+        if found.where(F.col("fate") == OPEN).isEmpty():
+            break
+        # Rows kept in earlier rounds have struck out what they can.
+        now = now.where(F.col("known") == OPEN).drop("known").join(found.where(F.col("fate") != STRUCK), "nms_row")
+        now = write_table(now.withColumnRenamed("fate", "known"), "nms-open")
+        dealt = _dealt(now, threshold, lowest, highest)
+        waiting = write_table(dealt.where("home").where(F.col("known") == OPEN).select(*REGION).distinct(), "nms-regions")
+        dealt = dealt.join(waiting, list(REGION), "left_semi")
+    chosen = rows.join(reduce(DataFrame.unionByName, kept), "nms_row", "left_semi")
     if max_det:
-        kept = top_rows(kept, keys, [F.col("nms_rank"), F.col("nms_row")], max_det, "nms_place")
-    return kept.select(*columns)
-
-
-def _in_conflict(rows: DataFrame, others: DataFrame, threshold: float, agnostic: bool, keys: list[str], better: bool) -> DataFrame:
-    """``nms_row`` of the rows with a conflicting one among ``others`` (a better one, if asked for)."""
-    on = keys if agnostic else [*keys, "cls"]
-    slim = [*dict.fromkeys([*on, "nms_row", "nms_rank", *CORNERS])]
-    a = searching(rows.select(*slim), corners(), threshold).alias("a")
-    b = waiting(others.select(*slim), corners(), threshold).alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
-    same += [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*CELL, *on[len(keys):])]
-    boxes = [[F.col(f"{side}.{c}") for c in CORNERS] for side in ("a", "b")]
-    hit = overlaps(*boxes) & (iou(*boxes) > threshold)
-    if better:
-        order = lambda side: F.struct(F.col(f"{side}.nms_rank"), F.col(f"{side}.nms_row"))
-        hit &= order("b") < order("a")
-    return a.join(b, reduce(Column.__and__, same) & hit, "left_semi").select("nms_row").distinct()
+        chosen = top_rows(chosen, keys, [F.col("nms_rank"), F.col("nms_row")], max_det, "nms_place")
+    return chosen.select(*detections.columns)
+
+
+REGION = ("region_a", "region_b")
+
+
+# Up to so many levels of difference, boxes are at home on the grid of their own level.
+OWN_LEVELS = 6
+
+
+def _region_levels(rows: DataFrame, threshold: float) -> tuple[int, int]:
+    """The finest and the coarsest grid of regions.
+
+    A threshold below 1/64 lets boxes of very different sizes meet. Then the grids end a few levels below the largest box,
+    as large boxes would be seen by too many regions of finer ones.
+    """
+    if threshold * (1 << OWN_LEVELS) >= 1:
+        return FINEST, COARSEST
+    highest = rows.agg(F.max(level_of(corners()))).first()[0] or FINEST
+    return max(FINEST, highest - OWN_LEVELS + 1), highest
+
+
+def _dealt(rows: DataFrame, threshold: float, lowest: int, highest: int) -> DataFrame:
+    """A row for every region that sees a detection, with the region's key, its size level, and whether it is the home."""
+    level = F.greatest(level_of(corners()), F.lit(lowest))
+    low, high = partner_levels(corners(), threshold)
+    home = cells_around(corners(), level, (F.lit(0.0), F.lit(0.0)), REGION_SIDES)[0]
+    levels = F.sequence(F.greatest(low, F.lit(lowest)), F.greatest(level, F.least(high, F.lit(highest))))
+    seen = F.flatten(F.transform(levels, lambda n: cells_around(corners(), n, reach(corners(), n, threshold), REGION_SIDES)))
+    spread = rows.withColumn("home_cell", home).withColumn("cell", F.explode(seen))
+    place = [F.col(c) for c in ("own_a", "own_b", "cell.level", "cell.x", "cell.y")]
+    key = [F.xxhash64(*place).alias("region_a"), F.xxhash64(F.lit(1), *place).alias("region_b")]
+    return spread.select(*key, (F.col("cell") == F.col("home_cell")).alias("home"), F.col("cell.level").alias("level"), *rows.columns)
+
+
+class _Region:
+    """Goes through the detections of each region from the best one down; only kept and open ones are remembered."""
+
+    def __init__(self, threshold: float):
+        self.threshold = threshold
+        self.wide = centre_reach(threshold) if threshold > 0 else None
+
+    def settle(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, side, largest = None, 1.0, 0.0
+        near: dict[tuple[int, int], list[tuple]] = {}
+        for batch in batches:
+            rows, fates = [], []
+            columns = [batch.column(c).to_pylist() for c in (*REGION, "level", "home", "known", "nms_row", *CORNERS)]
+            for a, b, level, home, known, row, x1, y1, x2, y2 in zip(*columns):
+                if (a, b) != region:
+                    region, side, largest, near = (a, b), 2.0**level, 0.0, {}
+                box = (x1, y1, x2, y2, (x2 - x1) * (y2 - y1))
+                fate = KEPT if known == KEPT else self._fate(near, side, largest, box, home)
+                if fate != STRUCK:
+                    near.setdefault((int((x1 + x2) / 2 // side), int((y1 + y2) / 2 // side)), []).append((*box, fate))
+                    largest = max(largest, x2 - x1, y2 - y1)
+                if home and known == OPEN:
+                    rows.append(row)
+                    fates.append(fate)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(fates, pa.int32())], names=["nms_row", "fate"])
+
+    def _fate(self, near: dict, side: float, largest: float, box: tuple, home: bool) -> int:
+        x1, y1, x2, y2, area = box
+        fate = KEPT if home else OPEN
+        wide, high = x2 - x1, y2 - y1
+        if self.wide is None:
+            far_x, far_y = (wide + largest) / 2, (high + largest) / 2
+        else:
+            far_x, far_y = wide * self.wide + SLACK, high * self.wide + SLACK
+        x, y = (x1 + x2) / 2, (y1 + y2) / 2
+        for i in range(int((x - far_x) // side), int((x + far_x) // side) + 1):
+            for j in range(int((y - far_y) // side), int((y + far_y) // side) + 1):
+                for a1, b1, a2, b2, other, known in near.get((i, j), ()):
+                    if a1 < x2 and x1 < a2 and b1 < y2 and y1 < b2:
+                        shared = (min(x2, a2) - max(x1, a1)) * (min(y2, b2) - max(y1, b1))
+                        if shared / max(area + other - shared, 1e-9) > self.threshold:
+                            if known == KEPT:
+                                return STRUCK
+                            fate = OPEN
+        return fate

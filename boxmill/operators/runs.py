@@ -31,7 +31,7 @@ STAGES = ("io", "tiling", "proposal", "detector", "nms", "truth")
 
 
 def metric_lines(log: DataFrame) -> DataFrame:
-    """``run, line_no, metric, value`` of the lines that report a metric."""
+    """``run, line_no, metric, value`` of the lines that report a metric; one that is no number does not."""
     line = F.btrim(F.col("line"), F.lit(" \t\r\n\f\v"))
     name, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for metric, pattern in reversed(METRIC_PATTERNS.items()):
@@ -39,7 +39,7 @@ def metric_lines(log: DataFrame) -> DataFrame:
         name = F.when(hit, metric).otherwise(name)
         text = F.when(hit, F.regexp_extract(line, pattern, 1)).otherwise(text)
     found = log.select("run", "line_no", name.alias("metric"), text.alias("text")).filter("metric is not null")
-    return found.select("run", "line_no", "metric", F.col("text").cast("double").alias("value"))
+    return found.select("run", "line_no", "metric", F.col("text").try_cast("double").alias("value")).filter("value IS NOT NULL")
 
 
 def run_metrics(log: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def run_table(log: DataFrame) -> DataFrame:
         for m in METRICS
     ]
     wide = lines.groupBy("run").agg(*last)
-    typed = [F.col(m).cast("long").alias(m) if m in WHOLE_NUMBERS else F.col(m) for m in METRICS]
+    typed = [F.col(m).try_cast("long").alias(m) if m in WHOLE_NUMBERS else F.col(m) for m in METRICS]
     return log.select("run").distinct().join(wide, "run", "left").select("run", *typed).select(
         "*",
         _per("tiles_generated", "images_processed").alias("tiles_per_image"),

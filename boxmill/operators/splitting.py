@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxmill.operators.ranking import join_keys
 
 # Leading hex digits of the hash that cut the order into buckets: 65,536 buckets per stratum.
 BUCKET_DIGITS = 4
 
 
 def shuffle_key(seed: int | str, key: Column) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    """The place of a row in the shuffled order; a null key is a key like any other, apart from the empty text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("\0"))))
 
 
 def shuffled_rank(df: DataFrame, key: Column, seed: int | str, strata: Sequence[str] = ()) -> DataFrame:
@@ -35,8 +37,7 @@ def shuffled_rank(df: DataFrame, key: Column, seed: int | str, strata: Sequence[
     )
     inside = Window.partitionBy(*strata, "bucket_").orderBy("shuffle_")
     return (
-        hashed.withColumn("inside_", F.row_number().over(inside))
-        .join(offsets, [*strata, "bucket_"])
+        join_keys(hashed.withColumn("inside_", F.row_number().over(inside)), offsets, [*strata, "bucket_"])
         .withColumn("rank", F.col("before_") + F.col("inside_"))
         .drop("shuffle_", "bucket_", "inside_", "before_")
     )
@@ -63,7 +64,7 @@ def grouped_split(df: DataFrame, group: str, seed: int | str = 42, test_share: f
     ranked = shuffled_rank(df.select(group).distinct(), F.col(group), seed)
     is_test = F.col("rank") <= F.ceil(F.col("total") * test_share)
     sides = ranked.select(group, F.when(is_test, "test").otherwise("train").alias("subset"))
-    return df.join(sides, group)
+    return join_keys(df, sides, [group])
 
 
 def random_rows(df: DataFrame, key: Column, n: int = 1, seed: int | str = 0) -> DataFrame:

@@ -3,10 +3,11 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import home, search
+from boxmill.functions.cells import searching, waiting
 from boxmill.functions.geometry import corners
 from boxmill.operators.average_precision import average_precision
 from boxmill.operators.matching import IOU_THRESHOLDS, match_predictions, overlap_pairs
+from boxmill.operators.diagnose import first_matches, image_errors, image_quality
 from boxmill.operators.nms import nms
 from boxmill.plans.evaluation import evaluate, score_predictions
 from tests import loops
@@ -77,7 +78,7 @@ def test_nms_of_copies_in_one_image(spark):
 
 @pytest.mark.parametrize("agnostic", [False, True])
 @pytest.mark.parametrize("threshold", [0.0, 0.1, 0.5])
-def test_nms_of_ties_and_missing_scores_is_the_same_in_rounds(spark, agnostic, threshold):
+def test_nms_of_ties_and_missing_scores_is_the_same_in_regions(spark, agnostic, threshold):
     """Null and NaN scores, numbers that repeat, equal rows, null images and broken boxes: one order for both ways."""
     rng = np.random.default_rng(11)
     rows = detections(rng, 250, images=2, levels=6)
@@ -106,8 +107,18 @@ def test_huge_boxes_cost_few_rows(spark):
     pairs = overlap_pairs(dets_frame(spark, preds), boxes_frame(spark, truth), 0.5).collect()
     assert sorted((r["det_id"], r["box_id"]) for r in pairs) == [(0, 0), (1, 1), (2, 2)]
     box = corners()
-    rows = dets_frame(spark, preds).select("det_id", F.size(F.concat(search(box, 0, 0.5, 0), home(box, 1))).alias("n")).where("det_id < 3")
-    assert rows.agg(F.max("n")).first()[0] < 20
+    for side in (searching, waiting):
+        rows = side(dets_frame(spark, preds), box, 0.5).groupBy("det_id").count()
+        assert rows.agg(F.max("count")).first()[0] < 10
+
+
+def test_meeting_costs_few_rows(spark):
+    """Fewer than three rows for a detection, two for a truth box."""
+    rng = np.random.default_rng(21)
+    preds, truth = detections(rng, 2000, images=50, span=1500), truth_boxes(rng, 2000, images=50, span=1500)
+    box = corners()
+    assert searching(dets_frame(spark, preds), box, 0.5).count() < 3 * 2000
+    assert waiting(boxes_frame(spark, truth), box, 0.5).count() <= 2 * 2000
 
 
 def test_detection_key(spark):
@@ -206,3 +217,34 @@ def test_empty_inputs(spark):
     assert (row["precision"], row["recall"], row["map50"], row["map50_95"]) == (0, 0, 0, 0)
     row = evaluate(dets_frame(spark, detections(np.random.default_rng(4), 20)), boxes_frame(spark, [])).collect()[0]
     assert (row["precision"], row["recall"], row["map50"], row["map50_95"]) == (0, 0, 0, 0)
+
+
+def test_scores_have_one_order(spark):
+    """NaN scores come after numbers and null ones last, in matching and in the quality report."""
+    box = dict(image_id=1, cls=0, x1=0.0, y1=0.0, x2=10.0, y2=10.0)
+    truth = boxes_frame(spark, [dict(box, box_id=1)])
+    preds = [dict(box, det_id=0, conf=None, cls=1), dict(box, det_id=1, conf=float("nan")), dict(box, det_id=2, conf=0.1), dict(box, det_id=3, conf=0.9)]
+    hits = {r["det_id"]: r["hits"] & 1 for r in match_predictions(dets_frame(spark, preds[1:]), truth).collect()}
+    assert hits == {1: 0, 2: 0, 3: 1}
+    for n, best in ((4, 3), (3, 2), (2, 1), (1, 0)):
+        assert first_matches(dets_frame(spark, preds[:n]), truth).first()["det_id"] == best
+
+
+def test_quality_of_detections_numbered_per_tile(spark):
+    """Two tiles, both with a detection number 0, each exactly on its truth box."""
+    a, b = dict(image_id=1, cls=0, x1=0.0, y1=0.0, x2=10.0, y2=10.0), dict(image_id=1, cls=0, x1=50.0, y1=0.0, x2=60.0, y2=10.0)
+    preds = dets_frame(spark, [dict(a, det_id=0, conf=0.9), dict(b, det_id=0, conf=0.8)])
+    preds = preds.withColumn("tile_id", (F.col("x1") > 20).cast("int"))
+    truth = boxes_frame(spark, [dict(a, box_id=0), dict(b, box_id=1)])
+    images = spark.createDataFrame([(1,)], "image_id long")
+    quality = image_quality(images, preds, truth).first()
+    assert (quality["correct_matches"], quality["false_positives"], quality["missed_gt"]) == (2, 0, 0)
+    errors = image_errors(images, preds, truth).first()
+    assert (errors["missed_gt"], errors["unused_preds"]) == (0, 0)
+
+
+def test_chains_across_regions(spark):
+    """A long row of boxes that each suppress the next, over many borders: every second one stays."""
+    rows = [dict(image_id=1, det_id=k, cls=0, x1=20.0 * k, y1=0.0, x2=20.0 * k + 60, y2=60.0, conf=1 - k / 1000) for k in range(300)]
+    kept = nms(dets_frame(spark, rows), 0.4, None, array_rows=10).collect()
+    assert ids(kept) == [(1, k) for k in range(0, 300, 2)]

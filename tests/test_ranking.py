@@ -37,7 +37,7 @@ def test_row_number_with_helper_tables_on_disk(spark, skewed, monkeypatch):
     assert sorted(map(tuple, found)) == sorted(expected_ranks(rows))
 
 
-@pytest.mark.parametrize("task_rows", [100_000, 100, 0])
+@pytest.mark.parametrize("task_rows", [100_000, 100])
 def test_percentile(spark, skewed, task_rows):
     df, rows = skewed
     found = percentile_within(df.select("k", F.col("v").cast("double").alias("v")), ["k"], "v", 0.1, "p", task_rows)
@@ -63,3 +63,43 @@ def test_splits(spark):
     assert sides.filter("n > 1").count() == 0
     first = random_rows(df, F.col("id"), 3, seed=5).collect()
     assert first == df.orderBy(shuffle_key(5, F.col("id"))).limit(3).collect()
+
+
+@pytest.mark.parametrize("task_rows", [100_000, 20])
+def test_percentile_of_odd_values(spark, task_rows):
+    """Null groups, null values, ties, huge and tiny numbers, infinities: one result for all limits."""
+    rng = np.random.default_rng(3)
+    rows = [(None, float(v)) for v in rng.integers(0, 9, 200)] + [(1, None)] * 5 + [(2, 4.0)]
+    rows += [(3, float(v)) for v in np.exp(rng.normal(0, 200, 150))] + [(4, 1e308), (4, -1e308), (4, 0.0), (4, 5e-324)] * 20
+    rows += [(5, float("-inf"))] * 10 + [(5, 1.0)] * 80 + [(5, 2.0)] * 10 + [(5, float("inf"))] * 50
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    for fraction in (0.1, 1.0):
+        found = {r["k"]: r["p"] for r in percentile_within(df, ["k"], "v", fraction, "p", task_rows).collect()}
+        assert set(found) == {None, 1, 2, 3, 4, 5} and found[1] is None
+        for k in (None, 2, 3, 4, 5):
+            values = sorted(v for key, v in rows if key == k)
+            place = (len(values) - 1) * fraction
+            low, weight = int(place), place - int(place)
+            expected = (1 - weight) * values[low] + weight * values[low + 1] if weight else values[low]
+            assert found[k] == pytest.approx(expected, rel=1e-12) or (np.isnan(expected) and np.isnan(found[k]))
+
+
+@pytest.mark.parametrize("task_rows", [100_000, 2])
+def test_null_groups_keep_their_rows(spark, task_rows):
+    df = spark.createDataFrame([(k if k % 2 else None, k) for k in range(12)], "k int, v int")
+    found = row_number_within(df, ["k"], [F.col("v")], "rn", task_rows).collect()
+    assert len(found) == 12
+    assert sorted(r["rn"] for r in found if r["k"] is None) == [1, 2, 3, 4, 5, 6]
+
+
+def test_splits_keep_rows_with_null_keys(spark):
+    df = spark.createDataFrame([(None, 1, 0), (None, 2, 1), (3, 1, None), (4, None, None), (5, 2, 1)], "id int, image int, label int")
+    for split in (
+        train_val_split(df, F.col("id"), 1),
+        stratified_split(df, F.col("id")),
+        grouped_split(df, "image"),
+    ):
+        assert split.columns == ["id", "image", "label", "subset"]
+        assert split.count() == 5 and split.where("subset IS NULL").count() == 0
+    sides = grouped_split(df.unionByName(df), "image").groupBy("image").agg(F.count_distinct("subset").alias("n"))
+    assert sides.where("n > 1").count() == 0
