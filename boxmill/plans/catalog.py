@@ -20,7 +20,17 @@ from boxmill.operators.average_precision import (
     mean_average_precision,
     precision_recall,
 )
-from boxmill.operators.features import class_weights, extract_features, linear_scores, standardised
+from boxmill.operators.features import (
+    class_weights,
+    extract_features,
+    fit_gate,
+    gate_coefficients,
+    linear_scores,
+    load_linear,
+    loss_gradient,
+    save_linear,
+    standardised,
+)
 from boxmill.operators.matching import best_truth, match_predictions, overlap_pairs
 from boxmill.operators.nms import nms
 from boxmill.plans import standins
@@ -174,6 +184,22 @@ def label_text(spark, d):
     return pictures.join(found, ["split", "stem"], "left").select("split", "stem", "box_id", "cls", *whole)
 
 
+@query
+def label_files(spark, d):
+    """One label file per image, negatives included, written and read back as files by tasks."""
+    truth = standins.truth(spark, d)
+    stem = F.lpad(F.col("image_id").cast("string"), 12, "0").alias("stem")
+    center = corners_to_center(corners(), F.col("width"), F.col("height"))
+    # Every seventh image is a negative.
+    boxes = truth.where("image_id % 7 <> 0").select("split", stem, "box_id", "cls", *center)
+    pictures = standins.images(spark, d).select("split", stem, "width", "height")
+    path = f"{shared_dir(spark)}/boxmill/label-files-{uuid.uuid4().hex}"
+    labels.write_label_files(boxes, pictures.select("split", "stem"), path)
+    found = labels.read_label_files(spark, path, strict=True)
+    whole = [F.round(F.col(c) * F.col(side) * 2).cast("long").alias(c) for c, side in zip(labels.FIELDS, ("width", "height") * 2)]
+    return pictures.join(found, ["split", "stem"], "left").select("split", "stem", "box_id", "cls", *whole)
+
+
 @query
 def class_distribution(spark, d):
     boxes = annotations.convert_annotations(*standins.annotation_documents(spark, d))
@@ -469,6 +495,16 @@ def image_quality(spark, d):
     return rounded(_quality(spark, d), 12)
 
 
+@query
+def image_quality_by_tile(spark, d):
+    """Quality of detections numbered per tile, so that numbers repeat in an image, some scores missing or NaN."""
+    merged = _merged(spark, d, REPORT_IOU)
+    score = F.when(F.col("det_id") % 11 == 0, F.lit(None)).when(F.col("det_id") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("conf"))
+    per_tile = merged.withColumns({"tile_id": F.floor(F.col("det_id") / 2), "det_id": F.col("det_id") % 2, "conf": score})
+    report = diagnose.image_quality(standins.images(spark, d), per_tile, standins.truth(spark, d))
+    return report.select("image_id", "total_gt", "n_pred", "correct_matches", "class_errors", "false_positives", "missed_gt")
+
+
 @query
 def best_images(spark, d):
     return rounded(diagnose.best_images(_quality(spark, d)), 12)
@@ -581,6 +617,24 @@ def gate_scores_fixed_model(spark, d):
     return rounded(scored.select("image_id", "tile_id", "label", "prob"))
 
 
+@query
+def gate_scores_stored_model(spark, d):
+    """The same scores by a model that was saved as a table and loaded again."""
+    path = f"{shared_dir(spark)}/boxmill/linear-{uuid.uuid4().hex}"
+    save_linear(spark, {f: (1 - 2 * (k % 2)) / 8 for k, f in enumerate(FEATURES)}, -0.5, path)
+    scored = linear_scores(standardised(_features(spark, d)), *load_linear(spark, path))
+    return rounded(scored.select("image_id", "tile_id", "label", "prob"))
+
+
+@query
+def fitted_gate_optimality(spark, d):
+    """Whether the loss is level in every coefficient of the fitted gate: then no other gate has a smaller one."""
+    features = _features(spark, d)
+    coefficients, intercept = gate_coefficients(fit_gate(features), features.count())
+    slopes = loss_gradient(features, coefficients, intercept)
+    return slopes.select("feature", (F.abs("gradient") < 1e-4).alias("optimal"))
+
+
 @query
 def image_table_by_split(spark, d):
     """The image table written by split and read back."""
@@ -631,6 +685,20 @@ def first_images(spark, d):
     return splitting.first_images(images.list_images(_paths(spark, d)), 25).select("path", "split")
 
 
+@query
+def splits_with_null_keys(spark, d):
+    """Rows per subset of splits where every ninth image, label and key is null: no row is lost."""
+    nulls = lambda c, k: F.when(F.col("image_id") % k != 0, F.col(c))
+    rows = standins.images(spark, d).select(nulls("image_id", 9).alias("id"), nulls("image_id", 5).alias("group"), nulls("split", 7).alias("label"))
+    parts = {
+        "train_val": splitting.train_val_split(rows, F.col("id")),
+        "stratified": splitting.stratified_split(rows, F.col("id")),
+        "grouped": splitting.grouped_split(rows, "group"),
+    }
+    counts = [p.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n"), F.count("subset").alias("n_placed")) for k, p in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 # --- runs --------------------------------------------------------------------------------------------------------------
 
 

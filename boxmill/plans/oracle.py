@@ -545,6 +545,11 @@ GROUP BY split""", "docs"),
   CAST(row_number() OVER (PARTITION BY i.image_id ORDER BY box_id) - 1 AS INTEGER) + CASE WHEN box_id IS NULL THEN NULL ELSE 0 END AS box_id, cls,
   CAST(x1 + x2 AS BIGINT) AS xc, CAST(y1 + y2 AS BIGINT) AS yc, CAST(2 * (x2 - x1) AS BIGINT) AS bw, CAST(2 * (y2 - y1) AS BIGINT) AS bh
 FROM images i LEFT JOIN gt USING (image_id)""", "gt"),
+    "label_files": build(
+        """SELECT i.split, lpad(CAST(i.image_id AS VARCHAR), 12, '0') AS stem,
+  CAST(row_number() OVER (PARTITION BY i.image_id ORDER BY box_id) - 1 AS INTEGER) + CASE WHEN box_id IS NULL THEN NULL ELSE 0 END AS box_id, cls,
+  CAST(x1 + x2 AS BIGINT) AS xc, CAST(y1 + y2 AS BIGINT) AS yc, CAST(2 * (x2 - x1) AS BIGINT) AS bw, CAST(2 * (y2 - y1) AS BIGINT) AS bh
+FROM images i LEFT JOIN (SELECT * FROM gt WHERE image_id % 7 <> 0) USING (image_id)""", "gt"),
     "class_distribution": build(
         """SELECT s.split, c.cls, ['red', 'yellow', 'green', 'off'][c.cls + 1] AS name, count(v.cls) AS n,
   round(count(v.cls) / s.total * 100, 6) AS percentage
@@ -749,3 +754,23 @@ ORACLE["evaluation_unseen_classes"] = re.sub(
     ORACLE["evaluation"],
     count=1,
 )
+
+ORACLE["gate_scores_stored_model"] = ORACLE["gate_scores_fixed_model"]
+# At the lowest point of the loss every slope is 0.
+ORACLE["fitted_gate_optimality"] = f"SELECT unnest({[*MODEL, 'intercept']}) AS feature, true AS optimal"
+ORACLE["splits_with_null_keys"] = build(
+    "SELECT kind, count(*) AS n, count(*) AS n_placed FROM images, (VALUES ('train_val'), ('stratified'), ('grouped')) k(kind) GROUP BY kind",
+    "images",
+)
+# Scores of every 11th detection are missing and of every 13th NaN; the order of numbers per tile is that of whole numbers.
+ORACLE["image_quality_by_tile"] = build(
+    """SELECT image_id, total_gt, n_pred, coalesce(ok, 0) AS correct_matches, coalesce(bad, 0) AS class_errors,
+  n_pred - coalesce(used, 0) AS false_positives, total_gt - coalesce(used, 0) AS missed_gt
+FROM quality0 LEFT JOIN (
+  SELECT image_id, count(*) FILTER (pred_cls = truth_cls) AS ok, count(*) FILTER (pred_cls <> truth_cls) AS bad, count(DISTINCT det_id) AS used
+  FROM (SELECT * FROM qpairs QUALIFY row_number() OVER (PARTITION BY image_id, box_id
+    ORDER BY CASE WHEN det_id % 11 = 0 THEN 2 WHEN det_id % 13 = 0 THEN 1 ELSE 0 END,
+      CASE WHEN det_id % 11 = 0 OR det_id % 13 = 0 THEN 0 ELSE -conf END, det_id) = 1)
+  GROUP BY image_id) USING (image_id)""",
+    "quality",
+)

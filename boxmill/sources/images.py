@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from boxmill.functions import grids
 from boxmill.functions.names import file_name, stem
 from boxmill.operators.tiling import OVERLAP, TILE_SIZE
+from boxmill.sources.files import list_files
 
 SPLITS = ("train", "val", "test")
 
@@ -49,9 +50,8 @@ def list_images(
 
 
 def gather_images(spark: SparkSession, root: str, **options) -> DataFrame:
-    """``list_images`` of a dataset folder. Only paths are read, not the content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    return list_images(files, **options)
+    """``list_images`` of a dataset folder. Folders are listed by tasks, level by level; no content is read."""
+    return list_images(list_files(spark, root).select("path"), **options)
 
 
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = True) -> DataFrame:
