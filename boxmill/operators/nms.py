@@ -26,7 +26,9 @@ from boxmill.session import write_table
 ARRAY_ROWS = 1000
 
 # The side of a region, in units of the largest boxes that are at home there.
-REGION_SIDES = 16
+REGION_SIDES = 8
+# Cells of a region per side of its largest boxes, so that few rows are looked at that are too far away.
+FINE = 4
 # What a region says of a detection, from the rows it sees.
 OPEN, KEPT, STRUCK = 0, 1, 2
 
@@ -168,6 +170,8 @@ class _Region:
     def __init__(self, threshold: float):
         self.threshold = threshold
         self.wide = centre_reach(threshold) if threshold > 0 else None
+        # Boxes that meet others of any size look far, and take coarse cells.
+        self.cell = 1 / FINE if threshold * (1 << OWN_LEVELS) >= 1 else 1.0
 
     def settle(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, side, largest = None, 1.0, 0.0
@@ -177,7 +181,7 @@ class _Region:
             columns = [batch.column(c).to_pylist() for c in (*REGION, "level", "home", "known", "nms_row", *CORNERS)]
             for a, b, level, home, known, row, x1, y1, x2, y2 in zip(*columns):
                 if (a, b) != region:
-                    region, side, largest, near = (a, b), 2.0**level, 0.0, {}
+                    region, side, largest, near = (a, b), 2.0**level * self.cell, 0.0, {}
                 box = (x1, y1, x2, y2, (x2 - x1) * (y2 - y1))
                 fate = KEPT if known == KEPT else self._fate(near, side, largest, box, home)
                 if fate != STRUCK:
