@@ -24,7 +24,6 @@ from boxmill.session import write_table
 HOLD_OUT_FOLDS = 3
 HELD_OUT = 1
 PREDICT_FROM = 0.7
-MAX_TOKENS = 400
 BLAME_FROM = 0.5
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -33,17 +32,42 @@ _WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 
 
+# Different words whose tokens a task remembers.
+REMEMBERED = 200_000
+
+
+def word_tokens(word: str) -> list[str]:
+    """A lower-case word and its beginnings, if it is longer."""
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) > n)]
+
+
 def tokens(sentence: str) -> set[str]:
     """The lower-case words of a sentence and the beginnings of longer words."""
-    found = set(_WORD.findall(sentence.lower()))
-    return found | {f"{w[:n]}-" for w in found for n in BEGINNINGS if len(w) > n}
+    return {t for w in set(_WORD.findall(sentence.lower())) for t in word_tokens(w)}
+
 
+class Lexicon(dict):
+    """The numbers of a word's known tokens, looked up once per word."""
 
-def bags(text: str | None, vocabulary: dict[str, int]) -> Iterator[tuple[int, int, tuple[int, ...]]]:
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = tuple(self.vocabulary[t] for t in word_tokens(word) if t in self.vocabulary)
+        return found
+
+
+def bags(text: str | None, lexicon: Lexicon) -> Iterator[tuple[int, int, tuple[int, ...]]]:
     """``start, end`` and the known tokens of every sentence with a word, in order."""
     for m in _SENTENCE.finditer(text or ""):
         if m[0].strip():
-            yield m.start(), m.end(), tuple(sorted(vocabulary[t] for t in tokens(m[0]) if t in vocabulary))
+            found: set[int] = set()
+            for word in set(_WORD.findall(m[0].lower())):
+                found.update(lexicon[word])
+            yield m.start(), m.end(), tuple(sorted(found))
 
 
 @dataclass
@@ -52,9 +76,12 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self.lexicon = Lexicon(self.vocabulary)
+
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """``start, end, probability`` of every sentence."""
-        return [(a, b, 1 / (1 + np.exp(-self._z(ids)))) for a, b, ids in bags(text, self.vocabulary)]
+        return [(a, b, 1 / (1 + np.exp(-self._z(ids)))) for a, b, ids in bags(text, self.lexicon)]
 
     def _z(self, ids: tuple[int, ...]) -> float:
         return float(np.clip(self.bias + sum(self.weights[i] for i in ids), -30, 30))
@@ -66,10 +93,10 @@ class Model:
         return float(-np.expm1(clean)), [s for s in found if s[2] >= BLAME_FROM]
 
 
-def choose_tokens(sample: DataFrame, most: int = MAX_TOKENS) -> list[str]:
-    """The tokens most typical of toxic documents, by the likelihood ratio of their document counts.
+def choose_tokens(sample: DataFrame) -> list[str]:
+    """The tokens typical of toxic documents: in three or more, and over four times as likely there as in others.
 
-    Counted on Spark over the sample; at most ``most`` come to the driver. Ties go by the token.
+    Counted on Spark over the sample, whose rows bound their number; all that meet the rule get a weight.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,9 +117,7 @@ def choose_tokens(sample: DataFrame, most: int = MAX_TOKENS) -> list[str]:
     counts = sample.select("text", "label").mapInArrow(count, "token string, clean long, toxic long")
     counts = counts.groupBy("token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic >= 3")
     rate_clean, rate_toxic = (F.col("clean") + 0.5) / (n[0] + 1.0), (F.col("toxic") + 0.5) / (n[1] + 1.0)
-    strength = F.col("toxic") * F.log(rate_toxic / rate_clean)
-    chosen = counts.where(rate_toxic > 4 * rate_clean).orderBy(F.round(strength, 6).desc(), "token").limit(most)
-    return [r["token"] for r in chosen.collect()]
+    return sorted(r["token"] for r in counts.where(rate_toxic > 4 * rate_clean).select("token").collect())
 
 
 def fit(vocabulary: dict[str, int], labels: np.ndarray, sentences: list[list[tuple[int, ...]]], empty: np.ndarray, steps: int = 400) -> Model:
@@ -137,10 +162,11 @@ def train(
     vocabulary = {t: i for i, t in enumerate(choose_tokens(sample))}
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Lexicon(vocabulary)
         for batch in batches:
             known, bare = [], []
             for text in batch.column("text").to_pylist():
-                own = [ids for _, _, ids in bags(text, vocabulary)]
+                own = [ids for _, _, ids in bags(text, lexicon)]
                 known.append([ids for ids in own if ids])
                 bare.append(sum(not ids for ids in own))
             arrays = [batch.column("doc_id"), batch.column("label"), pa.array(known, pa.list_(pa.list_(pa.int32()))), pa.array(bare, pa.int64())]
@@ -155,7 +181,8 @@ def train(
 def scored(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` with ``score`` and ``offending`` (start, end and probability of sentences) in place of the text.
 
-    A null or empty text has no sentences and the score 0. Columns of these names are replaced. One pass, no shuffle.
+    A null or empty text has no sentences and the score 0. Repeated rows stay, very long texts are read whole, an empty table
+    gives an empty result. Columns of these names are replaced. One pass, no shuffle.
     """
     df = without(documents, ["score", "offending"])
     names = [c for c in df.columns if c != "text"]

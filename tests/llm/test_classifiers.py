@@ -98,3 +98,25 @@ def test_awkward_rows(spark, module):
         assert len(rows) == len(cases.rows()) and all(0 <= r["score"] <= 1 for r in rows)
         assert all(r["label"] == "own" for r in rows)
     assert module.scored(cases.empty(spark), module.train(cases.empty(spark), cases.labels(spark))).count() == 0
+
+
+def test_all_tokens_that_meet_the_rule_get_a_weight(spark):
+    """More of them than any fixed number of the past, against counts in plain Python."""
+    rows = [(k, f"plain words here. vile{chr(97 + k % 26)}{chr(97 + k // 26 % 26)} and more", 1) for k in range(1000)] * 3
+    rows += [(5000 + k, "plain words here and more", 0) for k in range(3000)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    seen = {}
+    for _, text, label in rows:
+        for t in toxicity.tokens(text):
+            seen.setdefault(t, [0, 0])[label] += 1
+    expected = sorted(t for t, (c, n) in seen.items() if n >= 3 and (n + 0.5) / 3001 > 4 * (c + 0.5) / 3001)
+    assert len(expected) > 600
+    assert toxicity.choose_tokens(sample) == expected
+
+
+def test_lexicon_is_a_cache_only(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 2)
+    vocabulary = {"badly": 0, "badl-": 1, "word": 2}
+    text = "badly badlyest word. words badl word"
+    slow = [tuple(sorted(vocabulary[t] for t in toxicity.tokens(s) if t in vocabulary)) for s in text.split(".")]
+    assert [ids for _, _, ids in toxicity.bags(text, toxicity.Lexicon(vocabulary))] == slow
