@@ -15,14 +15,16 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boxmill.llm.text import KEY, extended, key_columns, utf8
 from boxmill.session import write_table
 
 WINDOW_WORDS = 10
 
-# (window, item) rows in one automaton; this bounds what is broadcast. A larger benchmark takes several automata, each
-# run over all documents.
+# (window, item) rows in one automaton at most; this bounds what is broadcast. A larger benchmark takes several automata of about
+# half as many, each run over all documents.
 BLOCK_WINDOWS = 50_000
 
 WORD_RANGES = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -34,7 +36,6 @@ _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
 FOUND = {
     "n_words": "long",
     "n_hit": "long",
-    "item_ids": "array<long>",
     "spans": "array<struct<first:int,last:int,start:int,end:int>>",
 }
 
@@ -45,7 +46,7 @@ def normal_words(raw: bytes | None) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
-    """``window`` (normalised words joined by blanks) and ``item_id``, each pair once.
+    """``window`` (normalised words joined by blanks) and ``item_id`` (of any type), each pair once.
 
     Items without words give none. An item without an id keeps its windows under a null id.
     """
@@ -58,10 +59,10 @@ def windows(benchmark: DataFrame, width: int = WINDOW_WORDS) -> DataFrame:
                 own = {b" ".join(items[k : k + width]) for k in range(max(1, len(items) - width + 1))} if items else ()
                 found += [w.decode() for w in own]
                 owners += [item] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(owners, pa.int64())], names=["window", "item_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(owners, batch.column("item_id").type)], names=["window", "item_id"])
 
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    return items.mapInArrow(rows, "window string, item_id long").distinct()
+    kind = benchmark.schema["item_id"].dataType.simpleString()
+    return benchmark.select("item_id", "text").mapInArrow(rows, f"window string, item_id {kind}").distinct()
 
 
 class Scanner:
@@ -127,10 +128,15 @@ def _blocks(found: DataFrame, block_windows: int) -> Iterator[list[tuple[str, in
         yield rows
 
 
-def _scan(rows: DataFrame, windows_here: list[tuple[str, int | None]]) -> DataFrame:
+def found_columns(kind: T.DataType) -> dict[str, str]:
+    """What is added to a document, for item ids of the given type."""
+    return {"n_words": FOUND["n_words"], "n_hit": FOUND["n_hit"], "item_ids": f"array<{kind.simpleString()}>", "spans": FOUND["spans"]}
+
+
+def _scan(rows: DataFrame, windows_here: list[tuple[str, int | None]], kind: T.DataType) -> DataFrame:
     """Adds what one automaton finds to ``rows``, whose struct column ``row`` holds the text."""
     shared = rows.sparkSession.sparkContext.broadcast(windows_here)
-    names = rows.columns
+    names, columns, arrow_kind = rows.columns, found_columns(kind), to_arrow_type(kind)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
@@ -147,12 +153,12 @@ def _scan(rows: DataFrame, windows_here: list[tuple[str, int | None]]) -> DataFr
             added = [
                 pa.array(counts, pa.int64()),
                 pa.array(hit, pa.int64()),
-                pa.array(ids, pa.list_(pa.int64())),
+                pa.array(ids, pa.list_(arrow_kind)),
                 pa.array(places, pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "last", "start", "end")]))),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + added, names=[*names, *FOUND])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + added, names=[*names, *columns])
 
-    return rows.mapInArrow(scanned, extended(rows.schema, FOUND))
+    return rows.mapInArrow(scanned, extended(rows.schema, columns))
 
 
 def contamination(
@@ -164,13 +170,15 @@ def contamination(
     without an id hits, but cannot be listed), ``spans`` are the hit stretches by words and by code points of the original text.
 
     One automaton means one pass and no shuffle. With several, the finds of the others are joined on by id and text,
-    where repeated rows find the same. An empty benchmark finds nothing; a null or empty text has no words.
+    where repeated rows find the same. An empty benchmark finds nothing; a null or empty text has no words; a very long text is
+    scanned whole. The document's own columns are in the struct, so none can clash.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in (columns or documents.columns)))
     rows = documents.select(row.alias("row"))
+    kind = benchmark.schema["item_id"].dataType
     blocks = _blocks(windows(benchmark), block_windows)
-    first = _scan(rows, next(blocks))
-    others = [_scan(rows, block).where("n_hit > 0") for block in blocks]
+    first = _scan(rows, next(blocks), kind)
+    others = [_scan(rows, block, kind).where("n_hit > 0") for block in blocks]
     if not others:
         return first
     keyed = first.select("*", *key_columns("row.doc_id", "row.text"))
@@ -179,12 +187,15 @@ def contamination(
         F.flatten(F.collect_set("item_ids")).alias("more_ids"), F.flatten(F.collect_set("spans")).alias("more_spans")
     )
     joined = keyed.join(others, KEY, "left")
-    both = lambda a, b: F.concat(a, F.coalesce(b, F.array().cast(FOUND[a])))
+    both = lambda a, b: F.concat(a, F.coalesce(b, F.array().cast(found_columns(kind)[a])))
     joined = joined.withColumns({"item_ids": F.array_sort(F.array_distinct(both("item_ids", "more_ids"))), "spans": both("spans", "more_spans")})
     hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))
     return joined.select("row", "n_words", F.size(hit).cast("long").alias("n_hit"), "item_ids", "spans")
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents without any benchmark window, with all their columns."""
+    """The documents without any benchmark window, with all their columns.
+
+    Null and empty texts hold none and stay, as do repeated rows without a window; an empty table stays empty.
+    """
     return contamination(documents, benchmark, None, block_windows).where("n_hit = 0").select("row.*")

@@ -74,3 +74,13 @@ def test_awkward_rows(spark, benchmark_table):
     one = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.clean_documents(df, one).count() == len(cases.rows()) - 1
     assert decontaminate.clean_documents(cases.empty(spark), benchmark_table).count() == 0
+
+
+def test_ids_may_be_texts(spark):
+    items = spark.createDataFrame([("q-2", "one two three four"), ("q-10", "five six seven"), (None, "eight nine")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven"), (2, "eight nine"), (3, "none")], "doc_id long, text string")
+    rows = {r["row"]["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
+    assert rows[1]["item_ids"] == ["q-10", "q-2"] and rows[1]["n_hit"] == 7
+    assert rows[2]["item_ids"] == [] and rows[2]["n_hit"] == 2 and rows[3]["n_hit"] == 0
+    several = {r["row"]["doc_id"]: r["item_ids"] for r in decontaminate.contamination(docs, items, block_windows=2).collect()}
+    assert several == {1: ["q-10", "q-2"], 2: [], 3: []}
