@@ -22,7 +22,8 @@ from boxmill.llm.text import utf8
 from boxmill.session import write_table
 
 BUCKET_BITS = 14
-MAX_LANGUAGES = 64
+# A table of a language takes 128 KB in every task, so this bounds it to 64 MB. There are fewer than 200 two-letter codes.
+MAX_LANGUAGES = 500
 
 # A text counts as at most so many independent three-byte runs; neighbouring runs say much the same.
 EFFECTIVE_RUNS = 60
@@ -51,30 +52,68 @@ SUFFIX_LANGUAGE = {
     "us": "en",
 }
 
-_HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.DOTALL | re.IGNORECASE)
+# Second-level names under which country suffixes register domains.
+REGISTERED = {"ac", "co", "com", "edu", "gov", "net", "org"}
+
+_HIDDEN = re.compile(r"<!--|<(script|style|template|noscript)\b", re.IGNORECASE)
+_ENDS = {n: re.compile(rf"</{n}\s*>", re.IGNORECASE) for n in ("script", "style", "template", "noscript")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{1,8})", re.IGNORECASE)
+_ROOT = re.compile(r"<html\b", re.IGNORECASE)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{1,8})", re.IGNORECASE)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", re.IGNORECASE)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 97 <= b <= 122 else 32 for b in range(256))
 
 
 def visible_text(page: str | None) -> str:
-    """The text of a page without markup, scripts, styles and comments."""
-    return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    """The text of a page without markup, scripts, styles and comments.
+
+    One way through the page, however it is made: what has no end once has none later, and behind the last ``>`` is no tag.
+    """
+    page = page or ""
+    parts, at, endless = [], 0, set()
+    while start := _HIDDEN.search(page, at):
+        name = (start[1] or "").lower()
+        stop = -1
+        if name not in endless:
+            if name:
+                end = _ENDS[name].search(page, start.end())
+                stop = end.end() if end else -1
+            else:
+                end = page.find("-->", start.end())
+                stop = end + 3 if end >= 0 else -1
+        if stop < 0:
+            endless.add(name)
+            parts.append(page[at : start.end()])
+            at = start.end()
+        else:
+            parts += [page[at : start.start()], " "]
+            at = stop
+    shown = "".join([*parts, page[at:]])
+    last = shown.rfind(">") + 1
+    return markup.unescape(_TAG.sub(" ", shown[:last]) + shown[last:])
 
 
 def declared_language(page: str | None) -> str | None:
     """The primary subtag of the ``lang`` attribute of the root element."""
-    found = _DECLARED.search(page or "")
-    return found[1].lower() if found else None
+    page, at = page or "", 0
+    while root := _ROOT.search(page, at):
+        end = page.find(">", root.end())
+        at = end if end >= 0 else len(page)
+        if found := _LANG.search(page, root.end(), at):
+            return found[1].lower()
+    return None
 
 
 def host_parts(url: str | None) -> tuple[str, str, str]:
-    """Host, domain (its last two labels) and suffix; empty without a host."""
+    """Host, domain and suffix; empty without a host.
+
+    The domain is the last two labels, or three where a country's suffix registers names below a second level such as ``co.uk``.
+    """
     found = _HOST.match(url or "")
     host = found[1].lower().rstrip(".") if found else ""
     labels = host.split(".")
-    return host, ".".join(labels[-2:]), labels[-1] if len(labels) > 1 else ""
+    below = len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in REGISTERED
+    return host, ".".join(labels[-3 if below else -2 :]), labels[-1] if len(labels) > 1 else ""
 
 
 def run_buckets(raw: bytes) -> np.ndarray:
