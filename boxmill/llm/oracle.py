@@ -4,41 +4,64 @@ from __future__ import annotations
 
 from boxmill.llm import bit_planes, spelling
 from boxmill.llm.mixing import MAX_COPIES, SEED, WEIGHTS
-from boxmill.llm.substring_dedup import MIN_WORDS
+from boxmill.llm.substring_dedup import EDGE_WORDS, MIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-# Pieces cover the whole text, so their lengths give offsets; pieces without a word are no units.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+# Pieces cover the whole text, so their lengths give offsets; pieces without a word are no units. Units of two kinds with the same
+# span (blanks at the ends aside) are one.
 _SUBSTRINGS = rf"""
 WITH pieces AS (
-    SELECT doc_id, text, k, p[k] AS piece, CAST(coalesce(sum(len(p[k])) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
-    FROM (SELECT doc_id, text, p, unnest(range(1, len(p) + 1)) AS k
-          FROM (SELECT doc_id, text, regexp_extract_all(text, '[^.!?
-]+[.!?]*|[.!?
-]+') AS p FROM documents))
+    SELECT doc_id, kind, k, p[k] AS piece,
+        CAST(coalesce(sum(len(p[k])) OVER (PARTITION BY doc_id, kind ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+    FROM (SELECT doc_id, kind, p, unnest(range(1, len(p) + 1)) AS k FROM (
+        SELECT doc_id, 'sentence' AS kind, regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?\n]+') AS p FROM documents
+        UNION ALL SELECT doc_id, 'line', regexp_extract_all(text, '[^\n]+|\n+') FROM documents
+        UNION ALL SELECT doc_id, 'paragraph', regexp_extract_all(text, '[^\n]+(?:\n[^\n]+)*|\n+') FROM documents))
 ), units AS (
-    SELECT doc_id, start, start + len(piece) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, len(w) AS n_words, array_to_string(w, ' ') AS normal
-    FROM (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+') AS w
-          FROM pieces WHERE regexp_matches(piece, '^[^.!?
-]'))
+    SELECT doc_id, kind, start, start + len(piece) AS stop, start + len(piece) - len(ltrim(piece, {_BLANKS})) AS a, start + len(rtrim(piece, {_BLANKS})) AS b,
+        row_number() OVER (PARTITION BY doc_id, kind ORDER BY k) AS unit, w, array_to_string(w, ' ') AS normal
+    FROM (SELECT *, regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+          FROM pieces WHERE regexp_matches(piece, CASE kind WHEN 'sentence' THEN '^[^.!?\n]' ELSE '^[^\n]' END))
     WHERE len(w) > 0
+), sentences AS (
+    SELECT doc_id, start, CASE WHEN len(w) >= {EDGE_WORDS} THEN array_to_string(w[-{EDGE_WORDS}:], ' ') END AS tail,
+        CASE WHEN len(w) >= {EDGE_WORDS} THEN array_to_string(w[:{EDGE_WORDS}], ' ') END AS head
+    FROM units WHERE kind = 'sentence'
+), spans AS (
+    SELECT DISTINCT u.doc_id, a, b, normal, p.tail AS before, n.head AS after FROM units u
+    ASOF LEFT JOIN sentences p ON u.doc_id = p.doc_id AND u.start > p.start
+    ASOF LEFT JOIN sentences n ON u.doc_id = n.doc_id AND u.stop <= n.start
 ), marked AS (
-    SELECT *, row_number() OVER (PARTITION BY normal ORDER BY doc_id, unit) > 1 AS repeated FROM units
+    SELECT doc_id, a, b, row_number() OVER o > 1 AS repeated, coalesce(CAST(before = first_value(before) OVER o AS INTEGER), 0) AS same_before,
+        coalesce(CAST(after = first_value(after) OVER o AS INTEGER), 0) AS same_after
+    FROM spans WINDOW o AS (PARTITION BY normal ORDER BY doc_id, a)
 ), runs AS (
-    SELECT doc_id, min(start) AS start, max(stop) AS stop, count(*) AS n
-    FROM (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM marked WHERE repeated)
-    GROUP BY doc_id, run HAVING sum(n_words) >= {MIN_WORDS}
+    SELECT DISTINCT doc_id, min(start) AS start, max(stop) AS stop
+    FROM (SELECT u.*, same_before, same_after, unit - row_number() OVER (PARTITION BY doc_id, kind ORDER BY unit) AS run
+          FROM units u JOIN marked USING (doc_id, a, b) WHERE repeated)
+    GROUP BY doc_id, kind, run HAVING sum(len(w)) + {EDGE_WORDS} * (arg_min(same_before, unit) + arg_max(same_after, unit)) >= {MIN_WORDS}
+), merged AS (
+    SELECT doc_id, min(start) AS start, max(stop) AS stop
+    FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island
+          FROM (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens
+                FROM runs))
+    GROUP BY doc_id, island
+), gone AS (
+    SELECT s.doc_id, count(*) AS n_removed FROM spans s JOIN merged m ON s.doc_id = m.doc_id AND s.a >= m.start AND s.b <= m.stop GROUP BY s.doc_id
 ), cut AS (
-    SELECT doc_id, sum(n) AS n_removed, sum(stop - start) AS removed_chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans,
+    SELECT doc_id, sum(stop - start) AS removed_chars, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans,
         string_agg(substr(text, before + 1, start - before), '' ORDER BY start) AS head, max(stop) AS last
-    FROM (SELECT r.*, d.text, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM runs r JOIN documents d USING (doc_id))
+    FROM (SELECT m.*, d.text, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM merged m JOIN documents d USING (doc_id))
     GROUP BY doc_id
 )
 SELECT doc_id, CAST(coalesce(u.n, 0) AS INTEGER) AS n_units, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
     CAST(coalesce(removed_chars, 0) AS INTEGER) AS removed_chars, coalesce(spans, '') AS removed_spans,
     CASE WHEN head IS NULL THEN text ELSE head || substr(text, last + 1) END AS text
-FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id) u USING (doc_id) LEFT JOIN cut USING (doc_id)
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) u USING (doc_id)
+LEFT JOIN gone USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
 
 # Windows are joined as texts, one length at a time, over every word position of every document.
