@@ -23,8 +23,8 @@ from boxmill.session import write_table
 
 WINDOW_WORDS = 10
 
-# (window, item) rows in one automaton at most; this bounds what is broadcast. A larger benchmark takes several automata of about
-# half as many, each run over all documents.
+# (window, item) rows in one automaton at most; this bounds what is broadcast. Beyond it the benchmark takes several automata of
+# about half as many, each run over all documents.
 BLOCK_WINDOWS = 50_000
 
 WORD_RANGES = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -114,18 +114,23 @@ def offsets(text: str, spans: list[list[int]]) -> list[dict[str, int]]:
 
 
 def _blocks(found: DataFrame, block_windows: int) -> Iterator[list[tuple[str, int | None]]]:
-    """The windows in parts of about ``block_windows`` rows, fetched one after the other.
+    """The windows in parts of at most ``block_windows`` rows, fetched one after the other; one empty part if there are none.
 
-    A part can exceed the mean by chance, so parts are planned at half the limit, and one above it is refused.
+    Parts are planned at half the limit. One that exceeds it nevertheless is dealt out again, by another hash.
     """
-    found = write_table(found, "windows")
-    parts = max(1, -(-2 * found.count() // block_windows))
-    for part in range(parts):
-        mine = found.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(parts)) == part) if parts > 1 else found
-        rows = [tuple(r) for r in mine.limit(block_windows + 1).collect()]
-        if len(rows) > block_windows:
-            raise RuntimeError("a part of the benchmark's windows is larger than its limit")
-        yield rows
+    stored = write_table(found, "windows")
+
+    def parts(rows: DataFrame, depth: int) -> Iterator[list[tuple[str, int | None]]]:
+        count = rows.count()
+        if count <= block_windows:
+            yield [tuple(r) for r in rows.collect()]
+            return
+        n = -(-2 * count // block_windows)
+        place = F.pmod(F.xxhash64(F.lit(depth), "window", "item_id"), F.lit(n))
+        for part in range(n):
+            yield from parts(rows.where(place == part), depth + 1)
+
+    return parts(stored, 0)
 
 
 def found_columns(kind: T.DataType) -> dict[str, str]:

@@ -84,3 +84,11 @@ def test_ids_may_be_texts(spark):
     assert rows[2]["item_ids"] == [] and rows[2]["n_hit"] == 2 and rows[3]["n_hit"] == 0
     several = {r["row"]["doc_id"]: r["item_ids"] for r in decontaminate.contamination(docs, items, block_windows=2).collect()}
     assert several == {1: ["q-10", "q-2"], 2: [], 3: []}
+
+
+def test_crowded_parts_are_dealt_out_again(spark):
+    found = spark.range(60).selectExpr("concat('window ', id) AS window", "id AS item_id")
+    parts = list(decontaminate._blocks(found, 3))
+    assert all(0 <= len(p) <= 3 for p in parts) and len(parts) > 40
+    assert sorted(r for p in parts for r in p) == sorted(tuple(r) for r in found.collect())
+    assert list(decontaminate._blocks(found.limit(0), 3)) == [[]]
