@@ -8,6 +8,7 @@ are removed where a run of them holds enough words, with their offsets in the or
 from __future__ import annotations
 
 import re
+import struct
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -37,6 +38,10 @@ EDGE_WORDS = 8
 ADDED = {"n_units": "int", "n_removed": "int", "removed_spans": "array<struct<start:int,end:int>>"}
 
 
+# A 128-bit digest as two signed numbers.
+HALVES = struct.Struct(">qq")
+
+
 class Unit(NamedTuple):
     start: int
     end: int
@@ -49,10 +54,11 @@ def units(text: str | None, kind: str) -> list[Unit]:
     """The units of a text that have a word, with the words lower-cased from A to Z."""
     found = []
     for m in UNITS[kind].finditer(text or ""):
-        items = words(m[0].encode("utf-8", "surrogatepass").lower())
+        piece = m[0]
+        items = words(piece.encode("utf-8", "surrogatepass").lower())
         if items:
             start, end = m.span()
-            found.append(Unit(start, end, end - len(m[0].lstrip(BLANKS)), start + len(m[0].rstrip(BLANKS)), items))
+            found.append(Unit(start, end, end - len(piece.lstrip(BLANKS)), start + len(piece.rstrip(BLANKS)), items))
     return found
 
 
@@ -79,9 +85,8 @@ def hashed(text: str | None, kinds: Sequence[str]) -> list[tuple[int, int, int,
     for unit in (u for some in by_kind for u in some):
         number = numbers[unit.first, unit.last]
         if number not in found:
-            digest = xxhash.xxh3_128_digest(b" ".join(unit.items))
-            halves = (int.from_bytes(half, "big", signed=True) for half in (digest[:8], digest[8:]))
-            found[number] = (number, *halves, before[bisect_left(starts, unit.start)], after[bisect_left(starts, unit.end)])
+            digest = HALVES.unpack(xxhash.xxh3_128_digest(b" ".join(unit.items)))
+            found[number] = (number, *digest, before[bisect_left(starts, unit.start)], after[bisect_left(starts, unit.end)])
     return list(found.values())
 
 
