@@ -35,7 +35,10 @@ class ScoreOrder:
         self.rows = sorted_chunks(stored.select("cls", "conf", *ids, "hits"), ["cls"], order)
         self._bits = [f"tp_{k}" for k in range(len(self.thresholds))]
         sums = [F.sum(_bit(k)).alias(name) for k, name in enumerate(self._bits)]
-        self.totals, _ = small_table(chunk_totals(self.rows, ["cls"], *sums), "score-totals")
+        totals, listed = small_table(chunk_totals(self.rows, ["cls"], *sums), "score-totals")
+        # What has a row per class, or per file and class, is no longer than the totals, whose length was checked.
+        self._sized = F.broadcast if listed is not None else lambda df: df
+        self.totals = totals if listed is None else F.broadcast(totals.coalesce(1))
 
     def class_counts(self) -> DataFrame:
         """``cls, iou_thr, n_pred, tp``: predictions and true positives of every class."""
@@ -45,42 +48,42 @@ class ScoreOrder:
         pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), F.col(n).alias("tp")) for t, n in zip(self.thresholds, self._bits)])
         return per.select("cls", "n_pred", F.inline(pairs))
 
-    def _wide_curve(self, stored: str) -> DataFrame:
+    def _wide_curve(self) -> DataFrame:
         """Rows that are a true positive somewhere: ``cls, rank, hits`` and per threshold k the columns ``c_k``
-        (true positives so far), ``p_k`` (precision) and ``e_k`` (envelope), as far as named in ``stored``.
+        (true positives so far), ``p_k`` (precision) and ``e_k`` (envelope).
+
+        Nothing is stored: the best precision per file and class and the curve itself read the same shuffle.
         """
         size = range(len(self.thresholds))
         window = earlier_chunks(["cls"])
-        starts, _ = small_table(
-            self.totals.select(
-                "chunk", "cls",
-                (F.coalesce(F.sum("chunk_rows").over(window), F.lit(0)) - F.col("first_row") + 1).alias("shift"),
-                *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(n) for n in self._bits],
-            ),
-            "score-starts",
+        starts = self.totals.select(
+            "chunk", "cls",
+            (F.coalesce(F.sum("chunk_rows").over(window), F.lit(0)) - F.col("first_row") + 1).alias("shift"),
+            *[F.coalesce(F.sum(n).over(window), F.lit(0)).alias(n) for n in self._bits],
         )
         inside = Window.partitionBy("chunk", "cls")
         ahead = inside.orderBy("chunk_row").rowsBetween(Window.unboundedPreceding, 0)
         tail = inside.orderBy(F.col("chunk_row").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        running = (
+        curve = (
             self.rows.filter(F.col("hits") != 0)
             .select("cls", "chunk", "chunk_row", "hits")
-            .join(starts, ["chunk", "cls"])
+            # Moved before anything is added: four columns, and the same shuffle for both readers.
+            .repartition("chunk", "cls")
+            .join(self._sized(starts), ["chunk", "cls"])
             .withColumn("rank", F.col("chunk_row") + F.col("shift"))
             .withColumns({f"c_{k}": F.col(self._bits[k]) + F.sum(_bit(k)).over(ahead) for k in size})
             .withColumns({f"p_{k}": F.col(f"c_{k}") / (F.col("rank") + F.lit(EPS)) for k in size})
-            .withColumns({f"e_{k}": F.max(f"p_{k}").over(tail) for k in size})
-            .select("cls", "chunk", "rank", "hits", *[f"{c}_{k}" for c in stored for k in size])
         )
-        curve = write_table(running, "curve")
         later = Window.partitionBy("cls").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        best, _ = small_table(
-            curve.groupBy("cls", "chunk")
-            .agg(*[F.max(f"e_{k}").alias(f"b_{k}") for k in size])
-            .select("cls", "chunk", *[F.coalesce(F.max(f"b_{k}").over(later), F.lit(0.0)).alias(f"l_{k}") for k in size]),
-            "precision-tails",
+        best = curve.groupBy("cls", "chunk").agg(*[F.max(f"p_{k}").alias(f"b_{k}") for k in size]).select(
+            "cls", "chunk", *[F.coalesce(F.max(f"b_{k}").over(later), F.lit(0.0)).alias(f"l_{k}") for k in size]
+        )
+        return (
+            curve.withColumns({f"e_{k}": F.max(f"p_{k}").over(tail) for k in size})
+            .select("cls", "chunk", "rank", "hits", *[f"{c}_{k}" for c in "cpe" for k in size])
+            .join(self._sized(best), ["cls", "chunk"])
+            .withColumns({f"e_{k}": F.greatest(f"e_{k}", f"l_{k}") for k in size})
         )
-        return curve.join(best, ["cls", "chunk"]).withColumns({f"e_{k}": F.greatest(f"e_{k}", f"l_{k}") for k in size})
 
     def curve(self) -> DataFrame:
         """True positives with ``rank, tp_cum, precision, envelope`` per class and threshold.
@@ -96,20 +99,16 @@ class ScoreOrder:
             for k, t in enumerate(self.thresholds)
         ]
         return (
-            self._wide_curve("cpe")
+            self._wide_curve()
             .select("cls", "rank", F.inline(F.array(*parts)))
             .filter("hit = 1")
             .select("cls", "iou_thr", "rank", "tp_cum", "precision", "envelope")
         )
 
     def envelope_sums(self) -> DataFrame:
-        """``cls, iou_thr, total``: sum of the envelope over the true positives."""
-        size = range(len(self.thresholds))
-        sums = self._wide_curve("e").groupBy("cls").agg(
-            *[F.sum(F.when(_bit(k) == 1, F.col(f"e_{k}"))).alias(f"s_{k}") for k in size]
-        )
-        pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), F.col(f"s_{k}").alias("total")) for k, t in enumerate(self.thresholds)])
-        return sums.select("cls", F.inline(pairs))
+        """``cls`` and per threshold k ``s_k``: sum of the envelope over the true positives, null without one."""
+        sums = [F.sum(F.when(_bit(k) == 1, F.col(f"e_{k}"))).alias(f"s_{k}") for k in range(len(self.thresholds))]
+        return self._sized(self._wide_curve().groupBy("cls").agg(*sums))
 
 
 def truth_counts(truth: DataFrame) -> DataFrame:
@@ -122,9 +121,10 @@ def average_precision(order: ScoreOrder, counts: DataFrame) -> DataFrame:
 
     Recall moves only on a true positive, by 1/n_gt, so AP is the sum of the envelope there.
     """
-    grid = counts.select("cls", "n_gt", F.explode(F.array(*[F.lit(t) for t in order.thresholds])).alias("iou_thr"))
-    ap = F.coalesce(F.col("total") / (F.col("n_gt") + F.lit(EPS)), F.lit(0.0))
-    return grid.join(order.envelope_sums(), ["cls", "iou_thr"], "left").select("cls", "iou_thr", "n_gt", ap.alias("ap"))
+    per = counts.join(order.envelope_sums(), "cls", "left")
+    value = lambda k: F.coalesce(F.col(f"s_{k}") / (F.col("n_gt") + F.lit(EPS)), F.lit(0.0))
+    pairs = F.array(*[F.struct(F.lit(t).alias("iou_thr"), value(k).alias("ap")) for k, t in enumerate(order.thresholds)])
+    return per.select("cls", "n_gt", F.inline(pairs)).select("cls", "iou_thr", "n_gt", "ap")
 
 
 def class_ids(predictions: DataFrame, truth: DataFrame) -> DataFrame:

@@ -17,14 +17,17 @@ from boxmill.operators.average_precision import (
 )
 from boxmill.operators.matching import IOU_THRESHOLDS, match_predictions
 from boxmill.operators.nms import nms
-from boxmill.session import write_table
+from boxmill.session import small_table, write_table
 
 
 def score_predictions(
     predictions: DataFrame, truth: DataFrame, thresholds: Sequence[float] = IOU_THRESHOLDS
 ) -> tuple[ScoreOrder, DataFrame]:
     """Matched predictions in score order, and the truth count per class."""
-    return ScoreOrder(match_predictions(predictions, truth, thresholds), thresholds), truth_counts(truth)
+    counts, listed = small_table(truth_counts(truth), "truth-counts")
+    # A checked length: in one task, joins and sums over the classes move nothing.
+    counts = counts if listed is None else F.broadcast(counts.coalesce(1))
+    return ScoreOrder(match_predictions(predictions, truth, thresholds), thresholds), counts
 
 
 def evaluate(

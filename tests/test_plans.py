@@ -5,7 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from boxmill.operators import tiling
+from boxmill import session
+from boxmill.operators import average_precision as ap
+from boxmill.operators import ranking, tiling
 from boxmill.operators.gating import threshold_sweep, top_tiles
 from boxmill.operators.nms import nms
 
@@ -64,3 +66,69 @@ def test_top_tiles_are_cut_before_the_shuffle(stored):
 def test_stitching_needs_no_join(stored):
     back = tiling.stitch(tiling.fixed_tile_boxes(stored["boxes"], carry=("width", "height")))
     assert shuffles(back) == 0 and "Join" not in plan(back)
+
+
+@pytest.fixture(scope="module")
+def matched(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("matched") / "rows")
+    n = F.col("id")
+    spark.range(3000).select(
+        (n % 40).alias("image_id"), n.alias("det_id"), (n % 3).cast("int").alias("cls"), (n * 37 % 1000 / 1000).alias("conf"),
+        (F.pow(F.lit(2.0), n * 7 % 11) - 1).cast("int").alias("hits"),
+    ).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def test_curve_reads_the_sorted_rows_once(spark, matched, monkeypatch):
+    """Two stored tables, one scan, one shuffle of the true positives; 14 jobs where a stored curve took 20."""
+    names = []
+    write = session.write_table
+    for module in (ap, ranking):
+        monkeypatch.setattr(module, "write_table", lambda df, name: names.append(name) or write(df, name))
+    counts = spark.createDataFrame([(c, 900) for c in range(4)], "cls int, n_gt long").coalesce(1)
+    spark.sparkContext.setJobGroup("curve", "curve")
+    try:
+        scores = ap.average_precision(ap.ScoreOrder(matched), counts)
+        assert scores.count() == 40
+    finally:
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("curve")
+        spark.sparkContext._jsc.clearJobGroup()
+    assert names == ["matched", "sorted"] and len(jobs) <= 15
+    scores.collect()
+    final = plan(scores).split("== Initial Plan ==")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+@pytest.mark.parametrize("listed", [20_000, 1])
+def test_curve_over_many_files_equals_a_plain_walk(spark, matched, monkeypatch, listed):
+    """Classes spread over several files; the second case has totals too long to be listed, which are joined by shuffle."""
+    monkeypatch.setattr(session, "MAX_LISTED_ROWS", listed)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        order = ap.ScoreOrder(matched)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert order.totals.count() > 3
+    found = {(r["cls"], r["iou_thr"], r["rank"]): (r["tp_cum"], r["precision"], r["envelope"]) for r in order.curve().collect()}
+    rows = sorted(matched.collect(), key=lambda r: (r["cls"], -r["conf"], r["image_id"], r["det_id"]))
+    expected = {}
+    for cls in range(3):
+        mine = [r for r in rows if r["cls"] == cls]
+        for k, threshold in enumerate(order.thresholds):
+            tp, walk = 0, []
+            for rank, row in enumerate(mine, 1):
+                if row["hits"] >> k & 1:
+                    tp += 1
+                    walk.append((rank, tp, tp / (rank + ap.EPS)))
+            best = 0.0
+            for rank, tp, precision in reversed(walk):
+                best = max(best, precision)
+                expected[cls, threshold, rank] = (tp, precision, best)
+    assert found == expected
+
+
+def test_curve_of_nothing_is_empty(spark, matched):
+    counts = spark.createDataFrame([(0, 5)], "cls int, n_gt long")
+    order = ap.ScoreOrder(matched.limit(0))
+    assert order.curve().count() == 0 and order.class_counts().count() == 0
+    assert {r["ap"] for r in ap.average_precision(order, counts).collect()} == {0.0}
