@@ -1,7 +1,8 @@
 """Near copies by word shingles (the pipeline's near_dedup stage).
 
-Two texts are near copies if they share at least 80 % of their different five-word shingles. MinHash bands propose pairs,
-and every pair is checked exactly, so nothing below the measure is linked. A pair at the measure shares none
+Two texts are near copies if they share at least 80 % of their different five-word shingles. SimHash (operator 4) proposes the
+texts whose fingerprints differ in at most four bits. Most pairs at the measure differ in more, so MinHash bands propose further
+pairs. Every pair is checked exactly, so nothing below the measure is linked. A pair at the measure shares none
 of the bands with a chance of 3 in a million; closer ones less.
 
 A crowd of near copies is not checked pair by pair. Each text is checked with its smallest partner first, then with the smallest
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxmill.llm import simhash
 from boxmill.llm.components import connected_components
 from boxmill.llm.text import KEY, WORD, extended, key_columns, utf8, words
 from boxmill.session import write_table
@@ -71,18 +73,33 @@ def text_node(text: Column) -> Column:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """``doc_id, node, keys``: one row of any document that has the text, for each text."""
+    """``doc_id, node, keys, fingerprint``: one row of any document that has the text, for each text."""
     rows_in = documents.select("doc_id", "text", text_node(F.col("text")).alias("node"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = pa.array([bands(t) for t in utf8(batch.column("text"))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), keys], names=["doc_id", "node", "keys"])
+            texts = utf8(batch.column("text"))
+            keys = pa.array([bands(t) for t in texts], pa.list_(pa.int64()))
+            prints = pa.array(np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64))
+            columns = [batch.column("doc_id"), batch.column("node"), keys, prints]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "keys", "fingerprint"])
 
-    found = rows_in.mapInArrow(rows, extended(rows_in.select("doc_id", "node").schema, {"keys": "array<long>"}))
+    found = rows_in.mapInArrow(rows, extended(rows_in.select("doc_id", "node").schema, {"keys": "array<long>", "fingerprint": "long"}))
     return found.dropDuplicates(["node"])
 
 
+def simhash_pairs(signed: DataFrame) -> DataFrame:
+    """``a, b``, smaller node first: what operator 4 links. Each text with the smallest of its fingerprint, and these along the links."""
+    ends = signed.groupBy("fingerprint").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("texts"))
+    # Written out, so that both sides of the joins are dealt anew and Spark can split a hot fingerprint.
+    ends = write_table(ends, "fingerprints")
+    equal = signed.join(ends.where("texts > 1"), "fingerprint").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    linked = write_table(simhash.links(ends.select("fingerprint")), "simhash-links")
+    low = lambda end: ends.select(F.col("fingerprint").alias(end), F.col("low").alias(f"low_{end}"))
+    across = linked.join(low("a"), "a").join(low("b"), "b").select(F.least("low_a", "low_b").alias("a"), F.greatest("low_a", "low_b").alias("b"))
+    return equal.where("a <> b").unionByName(across).distinct()
+
+
 def candidates(members: DataFrame, ends: DataFrame) -> DataFrame:
     """``a, b``: each text with the smallest and the largest of every band it shares, smaller node first."""
     met = members.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end"))
@@ -182,13 +199,16 @@ def groups(documents: DataFrame) -> DataFrame:
     # Written out, so that both sides of a join are dealt anew and Spark can split a hot band.
     ends = write_table(shared, "bands")
     pairs = write_table(candidates(members, ends), "candidates")
-    # Every text with a common band is in one of these pairs.
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    close = write_table(simhash_pairs(signed), "simhash-pairs")
+    # Every text with a common band or a fingerprint nearby is in one of these pairs.
+    nodes = pairs.unionByName(close).select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = shingle_sets(documents, signed, nodes)
-    nearest = write_table(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
-    near = write_table(checked(nearest, sets), "near")
-    up = lambda end: near.select(F.col("b").alias(end), F.col("a").alias(f"up_{end}"))
-    rest = pairs.join(nearest, ["a", "b"], "left_anti").join(up("a"), "a", "left").join(up("b"), "b", "left")
+    nearest = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    first = write_table(nearest.unionByName(close).distinct(), "first")
+    near = write_table(checked(first, sets), "near")
+    above = near.groupBy("b").agg(F.min("a").alias("up"))
+    up = lambda end: above.select(F.col("b").alias(end), F.col("up").alias(f"up_{end}"))
+    rest = pairs.join(first, ["a", "b"], "left_anti").join(up("a"), "a", "left").join(up("b"), "b", "left")
     rest = rest.where(F.coalesce("up_a", "a") != F.coalesce("up_b", "b")).select("a", "b")
     found = near.unionByName(checked(write_table(rest, "rest"), sets))
     roots = write_table(connected_components(found), "roots")

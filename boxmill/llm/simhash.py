@@ -192,8 +192,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     ids stay rows of their own; an empty table gives an empty result. Other columns are not read.
     """
     prints = write_table(fingerprints(documents), "fingerprints")
-    distinct = prints.select("fingerprint").distinct()
-    roots = connected_components(links(distinct))
+    roots = connected_components(links(prints.select("fingerprint").distinct()))
     # Only fingerprints with a link are in ``roots``; a hot fingerprint on the other side is split by Spark.
     return (
         prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")

@@ -25,6 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: 80 % or more of their five-word shingles in common.
 
+    SimHash, as in operator 4, proposes pairs first; MinHash bands propose those beyond its four bits. Every pair is checked exactly.
     The smallest id stays, a null id last; of equal rows one. Null and empty texts are one group. Very long texts are compared whole, an
     empty table stays empty, and further columns pass through whatever their names.
     """

@@ -119,3 +119,25 @@ def test_awkward_rows(spark):
     sets = [frozenset(slow_shingles(r["text"])) for r in kept.collect()]
     assert len(sets) == len(set(sets)) and set(sets) <= {frozenset(slow_shingles(r[1])) for r in cases.rows()}
     assert near_copies.without_near_copies(cases.empty(spark)).count() == 0
+
+
+def test_simhash_proposes_pairs(spark, monkeypatch):
+    """Without a band, what SimHash links within four bits and shares 80 % of its shingles is joined, and nothing else is."""
+    monkeypatch.setattr(near_copies, "bands", lambda text: [])
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    near, far = " ".join(base[:-1] + ["other"]), " ".join(base[200:] + base[:200] + [f"y{k}" for k in range(300)])
+    texts = [" ".join(base), " ".join(base).upper(), near, far, "", None]
+    prints = [near_copies.simhash.fingerprint((t or "").encode()) for t in texts]
+    assert 0 < (prints[0] ^ prints[2]).bit_count() <= 4 < (prints[0] ^ prints[3]).bit_count()
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
+
+
+def test_simhash_links_below_the_measure_join_nothing(spark, monkeypatch):
+    """One fingerprint for all texts proposes them all; only those at 80 % are joined."""
+    monkeypatch.setattr(near_copies.simhash, "fingerprint", lambda text: 7)
+    texts = template_texts(random.Random(3), 6, 14) + ["a b c d e", "a  B c d e", ""]
+    docs = list(enumerate(texts))
+    kept = near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == slow_kept(docs)
