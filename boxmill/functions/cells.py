@@ -8,13 +8,14 @@ the sizes. So a huge box among small ones costs no more rows than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxmill.functions.geometry import is_valid
+from boxmill.functions.once import exploded
 
 FINEST = 6
 COARSEST = 40
@@ -74,36 +75,38 @@ def reach(box: Sequence[Column], level: Column, min_iou: float) -> list[Column]:
     return [F.least(f, s * centre_reach(min_iou) + SLACK) for f, s in zip(far, sides)] if min_iou > 0 else far
 
 
-def cells_around(box: Sequence[Column], level: Column, far: Sequence[Column], sides: int) -> Column:
-    """Cells of one level within reach of the centre, as an array of ``level, x, y``."""
+def centre_cell(box: Sequence[Column], level: Column, sides: int) -> tuple[Column, Column]:
+    """``x, y`` of the cell of one level in which the centre lies."""
     x1, y1, x2, y2 = box
     side = F.pow(F.lit(2.0), level) * sides
-    xs, ys = (
-        F.sequence(F.floor((c - r) / side), F.floor((c + r) / side)) for c, r in zip(((x1 + x2) / 2, (y1 + y2) / 2), far)
-    )
-    place = lambda x, y: F.struct(level.cast("int").alias("level"), x.alias("x"), y.alias("y"))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: place(x, y))))
+    return F.floor((x1 + x2) / 2 / side), F.floor((y1 + y2) / 2 / side)
 
 
-def _levels(box: Sequence[Column], min_iou: float) -> Column:
-    return F.sequence(level_of(box), partner_levels(box, min_iou)[1])
+def in_cells(df: DataFrame, box: Sequence[Column], low: Column, high: Column, far: Callable[[Column], Sequence[Column]], sides: int) -> DataFrame:
+    """A row for each cell, as the columns ``CELL``, of the levels ``low`` to ``high`` within ``far(level)`` of a box's centre."""
+    level, x, y = CELL
+    levels = exploded(df.withColumns({"low_": low.cast("int"), "high_": high.cast("int")}), level, "low_", "high_")
+    x1, y1, x2, y2 = box
+    side = F.pow(F.lit(2.0), F.col(level)) * sides
+    ends = {}
+    for name, c, r in zip((x, y), ((x1 + x2) / 2, (y1 + y2) / 2), far(F.col(level))):
+        ends |= {f"{name}_low_": F.floor((c - r) / side), f"{name}_high_": F.floor((c + r) / side)}
+    return exploded(exploded(levels.withColumns(ends), x, f"{x}_low_", f"{x}_high_"), y, f"{y}_low_", f"{y}_high_")
 
 
-def _spread(df: DataFrame, box: Sequence[Column], cells: Column, level: str) -> DataFrame:
-    placed = df.where(placeable(box)).withColumn(level, level_of(box)).withColumn("cell", F.explode(cells))
-    return placed.select(*df.columns, level, *(F.col(f"cell.{c}").alias(n) for c, n in zip(("level", "x", "y"), CELL)))
+def _spread(df: DataFrame, box: Sequence[Column], min_iou: float, far: Callable[[Column], Sequence[Column]], level: str) -> DataFrame:
+    placed = df.where(placeable(box)).withColumn(level, level_of(box))
+    return in_cells(placed, box, F.col(level), partner_levels(box, min_iou)[1], far, CELL_SIDES)
 
 
 def searching(df: DataFrame, box: Sequence[Column], min_iou: float) -> DataFrame:
     """One side of a meeting: rows in all cells where a partner can wait, with their own ``search_level``."""
-    around = lambda n: cells_around(box, n, reach(box, n, min_iou), CELL_SIDES)
-    return _spread(df, box, F.flatten(F.transform(_levels(box, min_iou), around)), "search_level")
+    return _spread(df, box, min_iou, lambda n: reach(box, n, min_iou), "search_level")
 
 
 def waiting(df: DataFrame, box: Sequence[Column], min_iou: float) -> DataFrame:
     """The other side: rows in the cell of their centre, on the grids of their ``wait_level`` and above."""
-    nothing = (F.lit(0.0), F.lit(0.0))
-    return _spread(df, box, F.flatten(F.transform(_levels(box, min_iou), lambda n: cells_around(box, n, nothing, CELL_SIDES))), "wait_level")
+    return _spread(df, box, min_iou, lambda _: (F.lit(0.0), F.lit(0.0)), "wait_level")
 
 
 def meet_once(search_level: Column, wait_level: Column, cell_level: Column) -> Column:

@@ -38,8 +38,8 @@ def tile_starts(length: Column, tile: int, overlap: float) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: covering_start(i, length, tile, step))
 
 
-def touched_indexes(low: Column, high: Column, count: Column, length: Column, tile: Column, step: Column) -> Column:
-    """Indexes of the tiles that can overlap the interval (low, high): a superset by at most one on each side.
+def touched_ends(low: Column, high: Column, count: Column, length: Column, tile: Column, step: Column) -> tuple[Column, Column]:
+    """First and last index of the tiles that can overlap the interval (low, high): a superset by at most one on each side.
 
     Works for any grid whose start is ``min(i*step, length-tile)``; the exact test is left to the clip.
     """
@@ -48,7 +48,7 @@ def touched_indexes(low: Column, high: Column, count: Column, length: Column, ti
     final = F.when(high > length - tile, last).otherwise(
         F.least(last, F.greatest(F.lit(0), F.floor(high / step).cast("int")))
     )
-    return F.sequence(first, F.greatest(first, final))
+    return first, F.greatest(first, final)
 
 
 def tiles_per_axis(share: Column, target: float, min_tiles: int, max_tiles: int) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions.cells import CELL, meet_once, searching, waiting
 from boxmill.functions.geometry import CORNERS, corners, iou
+from boxmill.functions.once import computed_once
 from boxmill.functions.scores import score_order
 
 IOU_THRESHOLDS = tuple((50 + 5 * k) / 100 for k in range(10))
@@ -33,8 +34,9 @@ def overlap_pairs(
     holds, besides the image, a grid cell of a size level, so a crowded image spreads over many keys, far-apart boxes never
     meet, and a box of any size lies in a few cells. Boxes that are not finite or have no area meet nothing.
     """
-    probes = searching(predictions.select(*_keys(predictions), "cls", "conf", *CORNERS), corners(), min_iou)
-    homes = waiting(truth.select("image_id", "box_id", F.col("cls").alias("truth_cls"), *CORNERS), corners(), min_iou)
+    probes, homes = predictions.select(*_keys(predictions), "cls", "conf", *CORNERS), truth.select("image_id", "box_id", F.col("cls").alias("truth_cls"), *CORNERS)
+    # Corners enter levels, cells and filters many times, and may be computed ones.
+    probes, homes = searching(computed_once(probes, *CORNERS), corners(), min_iou), waiting(computed_once(homes, *CORNERS), corners(), min_iou)
     p, t = probes.alias("p"), homes.alias("t")
     on = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("image_id", *CELL)]
     on.append(meet_once(F.col("p.search_level"), F.col("t.wait_level"), F.col("t.cell_level")))

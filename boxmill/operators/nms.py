@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import COARSEST, FINEST, SLACK, cells_around, centre_reach, level_of, partner_levels, placeable, reach
+from boxmill.functions.cells import CELL, COARSEST, FINEST, SLACK, centre_cell, centre_reach, in_cells, level_of, partner_levels, placeable, reach
 from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
 from boxmill.functions.scores import score_order
 from boxmill.operators.ranking import split_large, top_rows
@@ -44,7 +44,8 @@ def _rank(df: DataFrame) -> Column:
 
 def _conflict(kept: Column, other: Column, threshold: float, agnostic: bool) -> Column:
     a, b = corners(kept), corners(other)
-    close = placeable(a) & placeable(b) & overlaps(a, b) & (iou(a, b) > threshold)
+    # Interpreted, from left to right: most pairs end at the first comparisons.
+    close = overlaps(a, b) & placeable(a) & placeable(b) & (iou(a, b) > threshold)
     return close if agnostic else (kept["cls"] == other["cls"]) & close
 
 
@@ -155,13 +156,14 @@ def _dealt(rows: DataFrame, threshold: float, lowest: int, highest: int) -> Data
     """A row for every region that sees a detection, with the region's key, its size level, and whether it is the home."""
     level = F.greatest(level_of(corners()), F.lit(lowest))
     low, high = partner_levels(corners(), threshold)
-    home = cells_around(corners(), level, (F.lit(0.0), F.lit(0.0)), REGION_SIDES)[0]
-    levels = F.sequence(F.greatest(low, F.lit(lowest)), F.greatest(level, F.least(high, F.lit(highest))))
-    seen = F.flatten(F.transform(levels, lambda n: cells_around(corners(), n, reach(corners(), n, threshold), REGION_SIDES)))
-    spread = rows.withColumn("home_cell", home).withColumn("cell", F.explode(seen))
-    place = [F.col(c) for c in ("own_a", "own_b", "cell.level", "cell.x", "cell.y")]
+    home_x, home_y = centre_cell(corners(), F.col("home_level"), REGION_SIDES)
+    homes = rows.withColumn("home_level", level.cast("int")).withColumns({"home_x": home_x, "home_y": home_y})
+    ends = F.greatest(low, F.lit(lowest)), F.greatest(F.col("home_level"), F.least(high, F.lit(highest)))
+    spread = in_cells(homes, corners(), *ends, lambda n: reach(corners(), n, threshold), REGION_SIDES)
+    place = ["own_a", "own_b", *CELL]
     key = [F.xxhash64(*place).alias("region_a"), F.xxhash64(F.lit(1), *place).alias("region_b")]
-    return spread.select(*key, (F.col("cell") == F.col("home_cell")).alias("home"), F.col("cell.level").alias("level"), *rows.columns)
+    home = reduce(Column.__and__, (F.col(c) == F.col(h) for c, h in zip(CELL, ("home_level", "home_x", "home_y"))))
+    return spread.select(*key, home.alias("home"), F.col("cell_level").alias("level"), *rows.columns)
 
 
 class _Region:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boxmill.functions import grids
 from boxmill.functions.geometry import CORNERS, area, box_share, clamp01, clip, corners, corners_to_center, is_valid
+from boxmill.functions.once import computed_once, exploded
 from boxmill.operators.ranking import percentile_within
 
 TILE_SIZE = 640
@@ -50,18 +51,15 @@ def _cut(boxes: DataFrame, cols: Column, rows: Column, start, tile_w: Column, ti
     """Boxes times the tiles they overlap: adds ``tile_id, tx, ty`` and the clipped corners ``ix1 … iy2``."""
     x1, y1, x2, y2 = corners()
     w, h = F.col("width"), F.col("height")
-    spread = (
-        boxes.withColumn("n_cols", cols)
-        .withColumn("row", F.explode(grids.touched_indexes(y1, y2, rows, h, tile_h, step)))
-        .withColumn("col", F.explode(grids.touched_indexes(x1, x2, F.col("n_cols"), w, tile_w, step)))
-        .withColumn("tx", start(F.col("col"), w, tile_w))
-        .withColumn("ty", start(F.col("row"), h, tile_h))
-    )
+    ends = dict(zip(("row_low_", "row_high_"), grids.touched_ends(y1, y2, rows, h, tile_h, step)))
+    ends |= dict(zip(("col_low_", "col_high_"), grids.touched_ends(x1, x2, F.col("n_cols"), w, tile_w, step)))
+    spread = boxes.withColumn("n_cols", cols).withColumns(ends)
+    spread = exploded(exploded(spread, "row", "row_low_", "row_high_"), "col", "col_low_", "col_high_")
+    spread = spread.withColumn("tx", start(F.col("col"), w, tile_w)).withColumn("ty", start(F.col("row"), h, tile_h))
     frame = [F.col("tx"), F.col("ty"), F.col("tx") + tile_w, F.col("ty") + tile_h]
     cut = [c.alias("i" + name) for c, name in zip(clip(corners(), frame), CORNERS)]
-    return spread.select("*", (F.col("row") * F.col("n_cols") + F.col("col")).alias("tile_id"), *cut).filter(
-        is_valid(_cut_box())
-    )
+    found = spread.select("*", (F.col("row") * F.col("n_cols") + F.col("col")).alias("tile_id"), *cut)
+    return computed_once(found, "tx", "ty", *(f"i{c}" for c in CORNERS)).filter(is_valid(_cut_box()))
 
 
 def _cut_box() -> list[Column]:

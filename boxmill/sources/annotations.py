@@ -6,7 +6,7 @@ the image cannot be read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,21 +67,26 @@ def object_box(obj: Column, with_bbox: bool = True) -> Column:
     def box(values: Sequence[Column]) -> Column:
         return F.struct(*[v.alias(n) for v, n in zip(values, CORNERS)])
 
-    points = _member(obj, "points.exterior", "array<array<double>>")
+    points = _bound(_member(obj, "points.exterior", "array<array<double>>"), lambda p: box(ordered_corners(p)))
     direct = [_member(obj, k, "double") for k in DIRECT_KEYS]
     present = [_member(obj, k).isNotNull() for k in DIRECT_KEYS]
-    result = F.when(_member(obj, "points.exterior").isNotNull(), box(ordered_corners(points))).when(
+    result = F.when(_member(obj, "points.exterior").isNotNull(), points).when(
         present[0] & present[1] & present[2] & present[3], box(direct)
     )
     if with_bbox:
-        as_list = _member(obj, "bbox", "array<double>")
+        four = lambda v: F.when(F.size(v) == 4, box([F.get(v, F.lit(i)) for i in range(4)]))
         as_dict = [_member(obj, f"bbox.{k}", "double") for k in DIRECT_KEYS]
-        result = result.when(F.size(as_list) == 4, box([F.get(as_list, F.lit(i)) for i in range(4)])).when(
-            as_dict[0].isNotNull(), box(as_dict)
+        result = result.otherwise(
+            F.coalesce(_bound(_member(obj, "bbox", "array<double>"), four), F.when(as_dict[0].isNotNull(), box(as_dict)))
         )
     return result
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside a function over an array, where nothing else is shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_documents(documents: DataFrame, full: bool = True) -> DataFrame:
     """``split, file, json, boxes``: every document parsed once, without its text.
 
@@ -135,7 +140,8 @@ def convert_annotations(images: DataFrame, documents: DataFrame, full: bool = Tr
     a box or with an empty box are dropped. So are documents of unreadable images and documents that are not JSON.
     """
     where = ["split", "file"]
-    boxes = _parsed(documents, full).select(*where, F.inline("boxes"))
+    # A plain ``inline`` would infer a filter on the array, which is moved down and reads every document again.
+    boxes = _parsed(documents, full).select(*where, F.inline_outer("boxes")).where(F.col("obj_no").isNotNull())
     sizes = images.filter(F.col("width").isNotNull()).select(*where, "width", "height")
     center = corners_to_center(corners(F.col("box")), F.col("width"), F.col("height"))
     return boxes.join(sizes, where).select(
