@@ -9,8 +9,8 @@ A crowd of near copies is not checked pair by pair. Each text is checked with it
 and largest of its other bands where they are not joined yet. Texts that a band still holds in different groups are settled by a
 prefix index: a text's shingles are put in order, those in the fewest of these texts first, and two near copies must
 meet at a shingle so early in both orders that enough of each is left to share. Shingles of one text only take places, but are not
-indexed, so texts of one template, whose rarest shingles are their own, meet nowhere. Where many meet, one of them
-stands for all in a few rounds, and at last every two that meet and are in different groups are checked.
+indexed, so texts of one template, whose rarest shingles are their own, meet nowhere. Where so many meet that their pairs are
+out of proportion, one of them stands for all in a few rounds, and at last every two that meet and are in different groups are checked.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxmill.functions.once import computed_once
 from boxmill.llm import simhash
 from boxmill.llm.components import connected_components
 from boxmill.llm.text import KEY, WORD, extended, key_columns, utf8, words
@@ -39,6 +40,11 @@ AT_ONCE = 1024
 
 # Rounds in which one text stands for all that meet at a shingle; what they leave open is checked completely.
 TURNS = 4
+# Meetings per entry of the index up to which everything is checked at once, without such rounds.
+PAIRS_PER_ENTRY = 16
+
+# Bits of one bitmap, bits for each listed key, and the most bitmaps (16 MB).
+MAP_BITS, MAP_SHARE, MOST_MAPS = 1 << 15, 16, 1 << 12
 
 _DRAWN = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), dtype=np.uint64)
 _FACTORS, _SHIFTS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
@@ -100,19 +106,39 @@ def simhash_pairs(signed: DataFrame) -> DataFrame:
     return equal.where("a <> b").unionByName(across).distinct()
 
 
-def candidates(members: DataFrame, ends: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame) -> DataFrame:
     """``a, b``: each text with the smallest and the largest of every band it shares, smaller node first."""
-    met = members.join(ends, "key").select("node", F.explode(F.array("low", "high")).alias("end"))
+    met = shared.select("node", F.explode(F.array("low", "high")).alias("end"))
     return met.where("node <> end").select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
 
 
+def maybe_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """The rows whose key is in the written table ``listed``, and few others, without moving any row.
+
+    Tasks look into bitmaps over the listed keys: 4 KB each, at most ``MOST_MAPS`` of them, so their broadcast is bounded.
+    """
+    wanted = MAP_SHARE * listed.count() / MAP_BITS
+    maps = 1
+    while maps < min(wanted, MOST_MAPS):
+        maps *= 2
+    place = F.pmod(F.xxhash64(*KEY), F.lit(maps * MAP_BITS)) + 1
+    number, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    found = listed.groupBy(number.alias("map_")).agg(F.bitmap_construct_agg(bit).alias("bits_"))
+    octet = F.conv(F.hex(F.substring("bits_", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    there = rows.withColumn("map_", number).join(F.broadcast(found), "map_").where(F.getbit(octet, bit % 8) == 1)
+    # The optimiser would move a semi join on the key below this one, and with it all rows.
+    return computed_once(there, *KEY).select(*rows.columns)
+
+
 def shingle_sets(documents: DataFrame, signed: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node, size, shingles`` of the given nodes, written: the 64-bit hashes of the different shingles of each text."""
     # One document stands for each text: its key spreads out where a text is repeated over many documents.
     owners = signed.select("doc_id", "node").join(nodes, "node").select(*key_columns("doc_id", "node"))
     node = text_node(F.col("text"))
     keyed = documents.select(node.alias("node"), "text", *key_columns("doc_id", node))
-    bodies = keyed.join(write_table(owners, "owners"), KEY, "left_semi").dropDuplicates(KEY).select("node", "text")
+    owners = write_table(owners, "owners")
+    # Most texts have no partner: they are left where they are.
+    bodies = maybe_listed(keyed, owners).join(owners, KEY, "left_semi").dropDuplicates(KEY).select("node", "text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,13 +162,12 @@ def _ceiling(part: Column, whole: int) -> Column:
     return F.floor((part + (whole - 1)) / whole).cast("int")
 
 
-def index_entries(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``token, node, size, place``, written: the early shingles of the given nodes that another of them holds as well.
+def index_entries(sets: DataFrame) -> DataFrame:
+    """``token, node, size, place``, written: the early shingles of the given sets that another of them holds as well.
 
-    ``place`` counts from 0 in the order of the text's shingles by how many of the nodes hold them.
+    ``place`` counts from 0 in the order of the text's shingles by how many of the sets hold them.
     """
-    tokens = sets.join(nodes, "node", "left_semi").select("node", "size", F.explode("shingles").alias("token"))
-    tokens = write_table(tokens, "tokens")
+    tokens = sets.select("node", "size", F.explode("shingles").alias("token"))
     holders = write_table(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "holders")
     own = Window.partitionBy("node")
     held = tokens.join(holders, "token").withColumns(
@@ -177,6 +202,15 @@ def representatives(entries: DataFrame, turn: int) -> DataFrame:
     return write_table(found.select("token", *(F.col(f"one.{c}").alias(f"other_{c}") for c in OTHER)), "representatives")
 
 
+def few_pairs(entries: DataFrame) -> bool:
+    """Whether all that ``outsiders`` lets meet is in proportion to the entries, so that nothing has to stand for others."""
+    counts = entries.groupBy("token", "root").agg(F.count(F.lit(1)).cast("double").alias("own"))
+    per = counts.groupBy("token").agg(F.sum("own").alias("n"), F.max("own").alias("largest"))
+    total = per.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - F.col("largest"))), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"))
+    found = total.first()
+    return found["pairs"] <= PAIRS_PER_ENTRY * found["n"]
+
+
 def outsiders(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All entries of tokens with several groups, and those outside their token's largest group: of two groups one is outside."""
     counts = entries.groupBy("token", "root").count()
@@ -195,10 +229,12 @@ def groups(documents: DataFrame) -> DataFrame:
     """``node, root`` for every text that is not the smallest of its group of near copies."""
     signed = write_table(signatures(documents), "signatures")
     members = signed.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    ends = members.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     # Written out, so that both sides of a join are dealt anew and Spark can split a hot band.
-    ends = write_table(shared, "bands")
-    pairs = write_table(candidates(members, ends), "candidates")
+    ends = write_table(ends, "bands")
+    # Few of a text's bands are shared: the others move once, not in each step that reads the shared ones.
+    shared = write_table(members.join(ends, "key"), "shared")
+    pairs = write_table(candidates(shared), "candidates")
     close = write_table(simhash_pairs(signed), "simhash-pairs")
     # Every text with a common band or a fingerprint nearby is in one of these pairs.
     nodes = pairs.unionByName(close).select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -213,17 +249,22 @@ def groups(documents: DataFrame) -> DataFrame:
     found = near.unionByName(checked(write_table(rest, "rest"), sets))
     roots = write_table(connected_components(found), "roots")
     # What bands hold in different groups.
-    met = write_table(grouped(members.join(ends.select("key"), "key"), roots).select("key", "node", "root"), "met")
+    met = write_table(grouped(shared.select("key", "node"), roots).select("key", "node", "root"), "met")
     several = met.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key")
     unsettled = met.join(write_table(several, "several"), "key", "left_semi").select("node").distinct()
-    entries = index_entries(sets, write_table(unsettled, "unsettled"))
+    # All that is left to check is between these texts.
+    sets = write_table(sets.join(write_table(unsettled, "unsettled"), "node", "left_semi"), "unsettled-sets")
+    entries = index_entries(sets)
+    here = write_table(grouped(entries, roots), "grouped")
     for turn in range(TURNS):
-        here = write_table(grouped(entries, roots), "grouped")
+        if few_pairs(here):
+            break
         links = write_table(checked(meeting(here, representatives(here, turn)), sets), "links")
         if links.isEmpty():
             break
         roots = merged(roots, links)
-    mixed, outside = outsiders(write_table(grouped(entries, roots), "grouped"))
+        here = write_table(grouped(entries, roots), "grouped")
+    mixed, outside = outsiders(here)
     return merged(roots, checked(meeting(mixed, outside), sets))
 
 

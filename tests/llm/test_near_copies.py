@@ -141,3 +141,32 @@ def test_simhash_links_below_the_measure_join_nothing(spark, monkeypatch):
     docs = list(enumerate(texts))
     kept = near_copies.without_near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == slow_kept(docs)
+
+
+@pytest.mark.parametrize("per_entry", [-1, 10**9])
+def test_rounds_are_for_crowds_only(spark, monkeypatch, per_entry):
+    """Where the last pass is in proportion, texts are checked three times: with their first partners, the others, and what meets in the index."""
+    monkeypatch.setattr(near_copies, "PAIRS_PER_ENTRY", per_entry)
+    checks = []
+    plain = near_copies.checked
+    monkeypatch.setattr(near_copies, "checked", lambda pairs, sets: (checks.append(1), plain(pairs, sets))[1])
+    # Without a band, only the index can find these.
+    monkeypatch.setattr(near_copies.simhash, "fingerprint", lambda text: 0)
+    monkeypatch.setattr(near_copies, "bands", lambda text: [len(text or b"") % 2] if text else [])
+    test_crowds_near_the_measure(spark)
+    assert (len(checks) == 3) == (per_entry > 0)
+
+
+@pytest.mark.parametrize("most", [1, 4096])
+def test_bitmaps_leave_out_most_texts_and_no_listed_one(spark, monkeypatch, most):
+    monkeypatch.setattr(near_copies, "MOST_MAPS", most)
+    rows = spark.range(20_000).select("id", *near_copies.key_columns("id"))
+    rows = rows.unionByName(rows.where("id < 10").selectExpr("-1 - id AS id", "key_a", "key_b"))
+    listed = near_copies.write_table(rows.where("id >= 0 AND id % 5 = 0").select("key_a", "key_b"), "listed")
+    found = near_copies.maybe_listed(rows, listed)
+    assert found.columns == rows.columns
+    ids = [r["id"] for r in found.collect()]
+    assert len(ids) == len(set(ids)) and {*range(0, 20_000, 5), -1, -6} <= set(ids)
+    # A bit is set by chance in one of sixteen places, or in one of eight with a single bitmap.
+    assert len(ids) < 4002 + (16_000 * 0.08 if most > 1 else 16_000 * 0.16)
+    assert near_copies.maybe_listed(rows, listed.limit(0)).isEmpty()
