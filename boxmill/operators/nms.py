@@ -12,17 +12,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxmill.functions.cells import CELL, COARSEST, FINEST, SLACK, centre_cell, centre_reach, in_cells, level_of, partner_levels, placeable, reach
-from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
+from boxmill.functions.cells import CELL, COARSEST, FARTHEST, FINEST, SLACK, centre_cell, centre_reach, in_cells, level_of, partner_levels, placeable, reach
+from boxmill.functions.geometry import CORNERS, corners
 from boxmill.functions.scores import score_order
 from boxmill.operators.ranking import split_large, top_rows
 from boxmill.session import write_table
 
-# Detections of one image that are walked through as one array. Larger images are cut to regions, with the same result.
+# Detections of one image that are walked through as a whole. Larger images are cut to regions, with the same result.
 ARRAY_ROWS = 1000
 
 # The side of a region, in units of the largest boxes that are at home there.
@@ -35,30 +36,15 @@ OPEN, KEPT, STRUCK = 0, 1, 2
 IMAGE_KEYS = ("image_id",)
 
 
-def _rank(df: DataFrame) -> Column:
-    """The place of a detection in its image, as a struct that sorts ascending; equal only for equal rows."""
+def _order(df: DataFrame) -> list[Column]:
+    """The place of a detection in its image, as values that sort ascending; all equal only for equal rows."""
     ids = [F.col(c) for c in ("tile_id", "det_id") if c in df.columns]
-    values = [*score_order(F.col("conf")), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
-    return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(values)))
-
-
-def _conflict(kept: Column, other: Column, threshold: float, agnostic: bool) -> Column:
-    a, b = corners(kept), corners(other)
-    # Interpreted, from left to right: most pairs end at the first comparisons.
-    close = overlaps(a, b) & placeable(a) & placeable(b) & (iou(a, b) > threshold)
-    return close if agnostic else (kept["cls"] == other["cls"]) & close
-
+    return [*score_order(F.col("conf")), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
 
-def _greedy(candidates: Column, empty: Column, threshold: float, agnostic: bool, room: int | None) -> Column:
-    """Walk through an ordered array of detections and collect the kept ones, at most ``room`` of them."""
 
-    def step(kept: Column, det: Column) -> Column:
-        drop = F.exists(kept, lambda k: _conflict(k, det, threshold, agnostic))
-        if room:
-            drop = (F.size(kept) >= room) | drop
-        return F.when(drop, kept).otherwise(F.concat(kept, F.array(det)))
-
-    return F.aggregate(candidates, empty, step)
+def _rank(df: DataFrame) -> Column:
+    """The same as a struct."""
+    return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(_order(df))))
 
 
 def nms(
@@ -74,26 +60,96 @@ def nms(
     The class-wise limit and the limit on the merged list coincide: the first ``max_det`` of the merged list hold
     at most ``max_det`` of any class. So one pass over the image in score order is enough.
 
-    Ordinary images take one shuffle on the image key and one array per image. Images with more than
-    ``array_rows`` detections are never collected as a whole; see ``_nms_in_regions``. Both give the same rows.
+    Ordinary images take one shuffle on the image key and a walk over sorted batches of many images. Images with more than
+    ``array_rows`` detections are never held as a whole; see ``_nms_in_regions``. Both give the same rows.
     """
     keys_ = list(keys)
     small, large = split_large(detections, keys_, array_rows)
-    rest = [c for c in detections.columns if c not in keys_]
-    packed = F.struct(_rank(detections).alias("rank"), *rest)
-    kind = small.select(packed.alias("p")).schema["p"].dataType.simpleString()
-    empty = F.array().cast(f"array<{kind}>")
-    kept = (
-        small.groupBy(*keys_)
-        .agg(F.sort_array(F.collect_list(packed)).alias("candidates"))
-        .select(*keys_, F.explode(_greedy(F.col("candidates"), empty, iou_threshold, agnostic, max_det)).alias("kept"))
-        .select(*[F.col(c) if c in keys_ else F.col("kept")[c].alias(c) for c in detections.columns])
-    )
+    # The window brings the images of a task one after the other, each from its best detection down.
+    placed = small.withColumn(PLACE, F.row_number().over(Window.partitionBy(*keys_).orderBy(*_order(detections))))
+    kept = placed.mapInArrow(_Images(iou_threshold, max_det, agnostic).walk, detections.schema)
     if large is None:
         return kept
     return kept.unionByName(_nms_in_regions(large, iou_threshold, max_det, agnostic, keys_))
 
 
+# The number of a detection in its image.
+PLACE = "nms_place_"
+
+
+class _Images:
+    """Greedy suppression over batches of whole images; an image that a batch cuts waits for the next one."""
+
+    def __init__(self, threshold: float, room: int | None, agnostic: bool):
+        self.threshold, self.room, self.agnostic = threshold, room, agnostic
+
+    def walk(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        last = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            place = batch.column(PLACE).to_numpy()
+            if ((place != 1) & (place != np.concatenate(([last], place[:-1])) + 1)).any():
+                raise ValueError("detections of an image out of order")
+            last = place[-1]
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            # The last image may go on in the next batch.
+            end = rows.num_rows - int(last)
+            waiting = rows.slice(end)
+            if end:
+                yield from self._settled(rows.slice(0, end))
+        if waiting is not None:
+            yield from self._settled(waiting)
+
+    def _settled(self, rows: pa.Table) -> list[pa.RecordBatch]:
+        starts = np.flatnonzero(rows.column(PLACE).to_numpy() == 1)
+        sizes = np.diff(np.append(starts, rows.num_rows))
+        kept = self._kept(rows, np.repeat(starts + sizes, sizes))
+        if self.room:
+            before = np.cumsum(kept) - kept
+            kept &= before - np.repeat(before[starts], sizes) < self.room
+        return rows.drop_columns([PLACE]).filter(pa.array(kept)).combine_chunks().to_batches()
+
+    def _kept(self, rows: pa.Table, ends: np.ndarray) -> np.ndarray:
+        """Whether each row is kept; ``ends`` is where its image ends. Boxes are compared with the next row of the image, then with the one after, and so on."""
+        number = np.arange(rows.num_rows)
+        x1, y1, x2, y2 = (rows.column(c).cast(pa.float64()).combine_chunks().to_numpy(zero_copy_only=False) for c in CORNERS)
+        meets = (x2 > x1) & (y2 > y1)
+        for c in (x1, y1, x2, y2):
+            meets &= (c > -FARTHEST) & (c < FARTHEST)
+        cls = None
+        if not self.agnostic:
+            codes = rows.column("cls").combine_chunks().dictionary_encode().indices
+            meets &= codes.is_valid().to_numpy(zero_copy_only=False)
+            cls = codes.fill_null(-1).to_numpy(zero_copy_only=False)
+        kept = np.ones(rows.num_rows, bool)
+        better, worse, step = [], [], 1
+        one = number[meets & (number + 1 < ends)]
+        while len(one):
+            other = one + step
+            close = meets[other] & (x1[one] < x2[other]) & (x1[other] < x2[one]) & (y1[one] < y2[other]) & (y1[other] < y2[one])
+            if cls is not None:
+                close &= cls[one] == cls[other]
+            a, b = one[close], other[close]
+            shared = (np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b])) * (np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b]))
+            areas = (x2[a] - x1[a]) * (y2[a] - y1[a]) + (x2[b] - x1[b]) * (y2[b] - y1[b])
+            strikes = shared / np.maximum(areas - shared, 1e-9) > self.threshold
+            better.append(a[strikes])
+            worse.append(b[strikes])
+            step += 1
+            one = one[one + step < ends[one]]
+        if better:
+            a, b = np.concatenate(better), np.concatenate(worse)
+            # By the worse row: when a row's turn comes to strike out others, its own fate is known.
+            turn = np.argsort(b, kind="stable")
+            for i, j in zip(a[turn].tolist(), b[turn].tolist()):
+                if kept[i]:
+                    kept[j] = False
+        return kept
+
+
 def _nms_in_regions(detections: DataFrame, threshold: float, max_det: int | None, agnostic: bool, keys: list[str]) -> DataFrame:
     """Exact NMS for images of any size, cut to regions with a border as wide as a suppression can reach.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from boxmill.functions.cells import searching, waiting
 from boxmill.functions.geometry import corners
 from boxmill.operators.average_precision import average_precision
-from boxmill.operators.matching import IOU_THRESHOLDS, match_predictions, overlap_pairs
+from boxmill.operators.matching import IOU_THRESHOLDS, best_truth, match_predictions, overlap_pairs
 from boxmill.operators.diagnose import first_matches, image_errors, image_quality
 from boxmill.operators.nms import nms
 from boxmill.plans.evaluation import evaluate, score_predictions
@@ -248,3 +248,45 @@ def test_chains_across_regions(spark):
     rows = [dict(image_id=1, det_id=k, cls=0, x1=20.0 * k, y1=0.0, x2=20.0 * k + 60, y2=60.0, conf=1 - k / 1000) for k in range(300)]
     kept = nms(dets_frame(spark, rows), 0.4, None, array_rows=10).collect()
     assert ids(kept) == [(1, k) for k in range(0, 300, 2)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_that_cut_images(spark):
+    rows = detections(np.random.default_rng(8), 300, images=12)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        kept = nms(dets_frame(spark, rows), 0.4, 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ids(kept) == ids(loops.nms(rows, 0.4, 5, False))
+
+
+def test_ordinary_images_are_not_walked_in_lambdas(spark):
+    plan = plan_of(nms(dets_frame(spark, detections(np.random.default_rng(8), 50))))
+    assert "MapInArrow" in plan and "lambda" not in plan
+
+
+def test_ordinary_images_meet_without_cells(spark):
+    rng = np.random.default_rng(9)
+    preds, boxes = dets_frame(spark, detections(rng, 200, images=9)), boxes_frame(spark, truth_boxes(rng, 120, images=9))
+    # A null image, a box without area, and corners that are no numbers.
+    preds = preds.withColumns({"image_id": F.expr("nullif(image_id, 3)"), "x2": F.expr("if(det_id % 17 = 0, x1, x2)"), "y1": F.expr("if(det_id % 19 = 0, double('NaN'), y1)")})
+    boxes = boxes.withColumns({"image_id": F.expr("nullif(image_id, 3)"), "x1": F.expr("if(box_id % 13 = 0, null, x1)")})
+    for limit in (0, 15):
+        for find in (overlap_pairs, best_truth):
+            near, far = (find(preds, boxes, 0.3, meeting_rows=n) for n in (1000, limit))
+            assert "cell_x" not in plan_of(near) and "cell_x" in plan_of(far)
+            assert sorted(map(repr, near.collect())) == sorted(map(repr, far.collect()))
+
+
+def test_repeated_detection_fails_in_ordinary_images(spark):
+    row = {"image_id": 1, "det_id": 1, "cls": 0, "x1": 0.0, "y1": 0.0, "x2": 9.0, "y2": 9.0, "conf": 0.5}
+    for boxes in ([], [dict(row, box_id=1)]):
+        with pytest.raises(Exception, match="share image"):
+            best_truth(dets_frame(spark, [row, row]), boxes_frame(spark, boxes), 0.5).collect()
+    # Boxes with the same number are no fault.
+    same = boxes_frame(spark, [dict(row, box_id=1)] * 2)
+    assert best_truth(dets_frame(spark, [row]), same, 0.5).count() == 1
