@@ -42,10 +42,25 @@ def _rank(df: DataFrame) -> Column:
     return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(values)))
 
 
+def _packed(df: DataFrame, rest: list[str]) -> Column:
+    """A detection as a struct that sorts by its place in the image: the fields of ``_rank``, then the other columns of ``rest``.
+
+    ``first_`` is the first corner, and null for a box that meets nothing, so that a pair of boxes is settled by few terms; ``area_`` is the area.
+    """
+    ids = [c for c in ("tile_id", "det_id", "cls", *CORNERS) if c in rest]
+    score = [v.alias(f"score_{n}_") for n, v in enumerate(score_order(F.col("conf")))]
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in CORNERS)
+    meets = placeable(corners())
+    last = [c for c in rest if c not in ids]
+    first, area = F.when(meets, x1).alias("first_"), F.when(meets, (x2 - x1) * (y2 - y1)).alias("area_")
+    return F.struct(*score, *ids, F.xxhash64(*df.columns).alias("hash_"), *last, first, area)
+
+
 def _conflict(kept: Column, other: Column, threshold: float, agnostic: bool) -> Column:
-    a, b = corners(kept), corners(other)
-    # Interpreted, from left to right: most pairs end at the first comparisons.
-    close = overlaps(a, b) & placeable(a) & placeable(b) & (iou(a, b) > threshold)
+    # Interpreted, from left to right: most pairs end at the first comparisons. Null corners end there, too.
+    a, b = ([box["first_"], *(box[c].cast("double") for c in CORNERS[1:])] for box in (kept, other))
+    shared = (F.least(a[2], b[2]) - F.greatest(a[0], b[0])) * (F.least(a[3], b[3]) - F.greatest(a[1], b[1]))
+    close = overlaps(a, b) & (shared / F.greatest(kept["area_"] + other["area_"] - shared, F.lit(1e-9)) > threshold)
     return close if agnostic else (kept["cls"] == other["cls"]) & close
 
 
@@ -80,12 +95,12 @@ def nms(
     keys_ = list(keys)
     small, large = split_large(detections, keys_, array_rows)
     rest = [c for c in detections.columns if c not in keys_]
-    packed = F.struct(_rank(detections).alias("rank"), *rest)
-    kind = small.select(packed.alias("p")).schema["p"].dataType.simpleString()
-    empty = F.array().cast(f"array<{kind}>")
+    # Packed before the rows are collected: what a collecting aggregate holds is interpreted row by row.
+    packed = small.select(*keys_, _packed(detections, rest).alias("packed_"))
+    empty = F.array().cast(f"array<{packed.schema['packed_'].dataType.simpleString()}>")
     kept = (
-        small.groupBy(*keys_)
-        .agg(F.sort_array(F.collect_list(packed)).alias("candidates"))
+        packed.groupBy(*keys_)
+        .agg(F.sort_array(F.collect_list("packed_")).alias("candidates"))
         .select(*keys_, F.explode(_greedy(F.col("candidates"), empty, iou_threshold, agnostic, max_det)).alias("kept"))
         .select(*[F.col(c) if c in keys_ else F.col("kept")[c].alias(c) for c in detections.columns])
     )

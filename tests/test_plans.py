@@ -132,3 +132,8 @@ def test_curve_of_nothing_is_empty(spark, matched):
     order = ap.ScoreOrder(matched.limit(0))
     assert order.curve().count() == 0 and order.class_counts().count() == 0
     assert {r["ap"] for r in ap.average_precision(order, counts).collect()} == {0.0}
+
+
+def test_nms_collects_a_plain_column(stored):
+    """What a collecting aggregate computes itself is interpreted row by row."""
+    assert "collect_list(packed_" in plan(nms(stored["dets"]))
