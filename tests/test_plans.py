@@ -10,6 +10,7 @@ from boxmill.operators import average_precision as ap
 from boxmill.operators import ranking, tiling
 from boxmill.operators.gating import threshold_sweep, top_tiles
 from boxmill.operators.nms import nms
+from boxmill.sources.labels import parse_label_lines
 
 
 def plan(df):
@@ -137,3 +138,11 @@ def test_curve_of_nothing_is_empty(spark, matched):
 def test_nms_collects_a_plain_column(stored):
     """What a collecting aggregate computes itself is interpreted row by row."""
     assert "collect_list(packed_" in plan(nms(stored["dets"]))
+
+
+def test_a_label_line_takes_one_pattern(spark):
+    """One pattern for lines with plain blanks, one for the others, where there was one per number."""
+    lines = spark.createDataFrame([("0 .5 1. 5e-1 +0.5",), ("\t1\t.5  1 1 1 ",), ("0 1 1 1",), ("0 1 1 1 1 1",), ("0 1 1 1 1e",), ("",)], "line string")
+    boxes = parse_label_lines(lines)
+    assert plan(boxes).split("== Initial Plan ==")[0].count(" RLIKE ") + plan(boxes).count("rlike(") <= 2
+    assert sorted(map(tuple, boxes.collect())) == [(0, 0.5, 1.0, 0.5, 0.5), (1, 0.5, 1.0, 1.0, 1.0)]
