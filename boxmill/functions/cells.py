@@ -1,6 +1,7 @@
-"""Grids of cells, one per size level, that spread the boxes of one image over many join keys.
+"""Grids of cells, one for a few size levels, that spread the boxes of one image over many join keys.
 
-A box has the level of its longer side: the smallest power of two (at least 64 pixels) that is as long. Two boxes that
+A box has the level of its longer side: the smallest power of two (at least 64 pixels) that is as long. Levels share a grid by threes, as
+each grid on which a box lies is a row to move; a grid is named by its coarsest level. Two boxes that
 overlap enough differ by few levels, and meet on the grid of the higher one: one side waits in the cell of its centre, on the
 grids of its level and those above; the other looks around on the same grids, where its reach is a few cells whatever
 the sizes. So a huge box among small ones costs no more rows than any other.
@@ -24,9 +25,13 @@ FARTHEST = float(1 << (COARSEST - 1))
 # Covers rounding in the reach, in pixels.
 SLACK = 0.01
 
-CELL = ("cell_level", "cell_x", "cell_y")
-# The side of a cell in units of its level's longest side. Wide cells mean that few rows lie in two of them.
-CELL_SIDES = 4
+CELL = ("cell_level_", "cell_x_", "cell_y_")
+# Levels that share a grid.
+GRID_LEVELS = 3
+# The level of boxes that have no place on any grid.
+NOWHERE = FINEST - GRID_LEVELS
+# The side of a cell in units of its grid's longest side. Wide cells mean that few rows lie in two of them.
+CELL_SIDES = 2
 
 
 def placeable(box: Sequence[Column]) -> Column:
@@ -58,6 +63,11 @@ def _level(side: Column) -> Column:
     return F.greatest(F.lit(FINEST), F.length(F.bin(F.ceil(side) - 1)))
 
 
+def grid_level(level: Column) -> Column:
+    """The grid of a level: the coarsest one that shares it."""
+    return (level + (GRID_LEVELS - 1) - F.pmod(level - FINEST, F.lit(GRID_LEVELS))).cast("int")
+
+
 def partner_levels(box: Sequence[Column], min_iou: float) -> tuple[Column, Column]:
     """The lowest and the highest level of boxes that can have an IoU of at least ``min_iou``; 0 stands for any overlap at all."""
     if min_iou <= 0:
@@ -82,20 +92,28 @@ def centre_cell(box: Sequence[Column], level: Column, sides: int) -> tuple[Colum
     return F.floor((x1 + x2) / 2 / side), F.floor((y1 + y2) / 2 / side)
 
 
-def in_cells(df: DataFrame, box: Sequence[Column], low: Column, high: Column, far: Callable[[Column], Sequence[Column]], sides: int) -> DataFrame:
-    """A row for each cell, as the columns ``CELL``, of the levels ``low`` to ``high`` within ``far(level)`` of a box's centre."""
+def in_cells(
+    df: DataFrame, box: Sequence[Column], low: Column, high: Column, far: Callable[[Column], Sequence[Column]], sides: int, elsewhere: Column | None = None
+) -> DataFrame:
+    """A row for each cell, as the columns ``CELL``, on the grids of the levels ``low`` to ``high`` within ``far(level)`` of a box's centre.
+
+    With ``elsewhere``, a box of the level ``NOWHERE`` has one row, in the cell of that number.
+    """
     level, x, y = CELL
-    levels = exploded(df.withColumns({"low_": low.cast("int"), "high_": high.cast("int")}), level, "low_", "high_")
+    levels = exploded(df.withColumns({"low_": grid_level(low), "high_": grid_level(high)}), level, "low_", "high_", GRID_LEVELS)
     x1, y1, x2, y2 = box
     side = F.pow(F.lit(2.0), F.col(level)) * sides
     ends = {}
     for name, c, r in zip((x, y), ((x1 + x2) / 2, (y1 + y2) / 2), far(F.col(level))):
-        ends |= {f"{name}_low_": F.floor((c - r) / side), f"{name}_high_": F.floor((c + r) / side)}
-    return exploded(exploded(levels.withColumns(ends), x, f"{x}_low_", f"{x}_high_"), y, f"{y}_low_", f"{y}_high_")
+        low_high = F.floor((c - r) / side), F.floor((c + r) / side)
+        if elsewhere is not None:
+            low_high = (F.when(F.col(level) >= FINEST, end).otherwise(elsewhere) for end in low_high)
+        ends |= dict(zip((f"{name}low_", f"{name}high_"), low_high))
+    return exploded(exploded(levels.withColumns(ends), x, f"{x}low_", f"{x}high_"), y, f"{y}low_", f"{y}high_")
 
 
 def _spread(df: DataFrame, box: Sequence[Column], min_iou: float, far: Callable[[Column], Sequence[Column]], level: str) -> DataFrame:
-    placed = df.where(placeable(box)).withColumn(level, level_of(box))
+    placed = df.where(placeable(box)).withColumn(level, grid_level(level_of(box)))
     return in_cells(placed, box, F.col(level), partner_levels(box, min_iou)[1], far, CELL_SIDES)
 
 

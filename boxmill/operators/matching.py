@@ -12,7 +12,7 @@ from boxmill.functions.cells import CELL, meet_once, placeable, searching, waiti
 from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
 from boxmill.functions.once import computed_once
 from boxmill.functions.scores import score_order
-from boxmill.operators.ranking import join_keys, large_groups
+from boxmill.operators.ranking import group_sizes, join_keys
 from boxmill.session import small_table
 
 IOU_THRESHOLDS = tuple((50 + 5 * k) / 100 for k in range(10))
@@ -30,12 +30,14 @@ Iou = Callable[[Sequence[Column], Sequence[Column]], Column]
 
 
 def _split_crowds(predictions: DataFrame, truth: DataFrame, limit: int) -> list[tuple[DataFrame, DataFrame, bool]]:
-    """Both sides, with whether an image is crowded: all ordinary images, and then the crowded ones, if there are any."""
+    """Both sides, with whether an image is crowded: all ordinary images, and then the crowded ones, so far as there are any."""
     key = ["image_id"]
-    found = [large_groups(t, key, limit) for t in (predictions, truth)]
-    listed = [t.select(*key) for t in found if t is not None]
+    found = [group_sizes(t, key, limit) for t in (predictions, truth)]
+    listed = [large.select(*key) for large, _ in found if large is not None]
     if not listed:
         return [(predictions, truth, False)]
+    if not any(others for _, others in found):
+        return [(predictions, truth, True)]
     crowds, _ = small_table(reduce(DataFrame.union, listed).distinct(), "crowds")
     ways = (("left_anti", False), ("left_semi", True))
     return [(*(join_keys(t, crowds, key, how) for t in (predictions, truth)), crowded) for how, crowded in ways]
@@ -105,7 +107,7 @@ def _pairs_in_cells(predictions: DataFrame, truth: DataFrame, min_iou: float, sa
     probes, homes = searching(computed_once(probes, *CORNERS), corners(), min_iou), waiting(computed_once(homes, *CORNERS), corners(), min_iou)
     p, t = probes.alias("p"), homes.alias("t")
     on = [F.col(f"p.{c}") == F.col(f"t.{c}") for c in ("image_id", *CELL)]
-    on.append(meet_once(F.col("p.search_level"), F.col("t.wait_level"), F.col("t.cell_level")))
+    on.append(meet_once(F.col("p.search_level"), F.col("t.wait_level"), F.col(f"t.{CELL[0]}")))
     if same_class:
         on.append(F.col("p.cls") == F.col("t.truth_cls"))
     value = iou_of(*_boxes())

@@ -15,9 +15,11 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boxmill.functions.cells import CELL, COARSEST, FINEST, SLACK, centre_cell, centre_reach, in_cells, level_of, partner_levels, placeable, reach
+from boxmill.functions.cells import CELL, COARSEST, FINEST, NOWHERE, SLACK, centre_cell, centre_reach, grid_level, in_cells, level_of, partner_levels, placeable, reach
 from boxmill.functions.geometry import CORNERS, corners, iou, overlaps
+from boxmill.functions.once import computed_once
 from boxmill.functions.scores import score_order
 from boxmill.operators.ranking import split_large, top_rows
 from boxmill.session import write_table
@@ -26,20 +28,24 @@ from boxmill.session import write_table
 ARRAY_ROWS = 1000
 
 # The side of a region, in units of the largest boxes that are at home there.
-REGION_SIDES = 8
+REGION_SIDES = 4
 # Cells of a region per side of its largest boxes, so that few rows are looked at that are too far away.
-FINE = 4
+FINE = 8
 # What a region says of a detection, from the rows it sees.
 OPEN, KEPT, STRUCK = 0, 1, 2
 
 IMAGE_KEYS = ("image_id",)
 
 
-def _rank(df: DataFrame) -> Column:
-    """The place of a detection in its image, as a struct that sorts ascending; equal only for equal rows."""
+def _rank_values(df: DataFrame) -> list[Column]:
+    """The place of a detection in its image, as values that sort ascending; equal only for equal rows."""
     ids = [F.col(c) for c in ("tile_id", "det_id") if c in df.columns]
-    values = [*score_order(F.col("conf")), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
-    return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(values)))
+    return [*score_order(F.col("conf")), *ids, F.col("cls"), *corners(), F.xxhash64(*df.columns)]
+
+
+def _rank(df: DataFrame) -> Column:
+    """``_rank_values`` as a struct."""
+    return F.struct(*(v.alias(f"r{n}") for n, v in enumerate(_rank_values(df))))
 
 
 def _packed(df: DataFrame, rest: list[str]) -> Column:
@@ -112,102 +118,130 @@ def nms(
 def _nms_in_regions(detections: DataFrame, threshold: float, max_det: int | None, agnostic: bool, keys: list[str]) -> DataFrame:
     """Exact NMS for images of any size, cut to regions with a border as wide as a suppression can reach.
 
-    A detection is at home in one region of its size level, and is seen by all regions where one that it can suppress, or that
+    A detection is at home in one region of its size, and is seen by all regions where one that it can suppress, or that
     can suppress it, is at home. A region goes through what it sees from the best one down: it strikes out what a kept one
     suppresses, keeps its own ones that no other can suppress any more, and leaves open what depends on the fate of
     a detection of another region. Only what is open, and what was kept near it, takes another round. The best
     open detection is settled in each round, and chains of suppression seldom cross many borders.
+
+    The rows themselves go through their home region and are stored when they are kept, so nothing is numbered, stored before or joined
+    afterwards: on the disks are one shuffle, about as wide as the input, and what is kept. Equal rows need no number,
+    as they share their home and all that sees them.
     """
-    # Equal rows are told apart by a number that is written out once and never computed again.
-    numbered = detections.withColumn("nms_rank", _rank(detections)).withColumn("nms_row", F.monotonically_increasing_id())
-    rows = write_table(numbered, "nms-rows")
-    # A detection that meets nothing needs no region.
-    known_class = F.lit(True) if agnostic else F.col("cls").isNotNull()
-    meets = F.coalesce(placeable(corners()) & known_class, F.lit(False))
-    own = [*keys] if agnostic else [*keys, "cls"]
-    boxes = [F.col(c).cast("double").alias(c) for c in CORNERS]
-    slim = rows.where(meets).select(F.xxhash64(*own).alias("own_a"), F.xxhash64(F.lit(1), *own).alias("own_b"), *boxes, "nms_rank", "nms_row")
-    lowest, highest = _region_levels(slim, threshold)
-    now, kept = slim.withColumn("known", F.lit(OPEN)), [rows.where(~meets).select("nms_row")]
-    dealt = _dealt(now, threshold, lowest, highest)
+    names, own = detections.columns, [*keys] if agnostic else [*keys, "cls"]
+    # Corners enter levels, cells and ends many times, and may be computed ones.
+    rows = computed_once(detections, *CORNERS).withColumn(KNOWN, F.lit(OPEN))
+    lowest, highest = FINEST, COARSEST
+    if not _few_levels(threshold):
+        # Boxes of very different sizes meet. Then the grids end a few levels below the largest box, as large boxes would be seen by too many regions of finer ones.
+        rows = write_table(rows, "nms-rows")
+        highest = rows.where(placeable(_boxes())).agg(F.max(level_of(_boxes()))).first()[0] or FINEST
+        lowest = max(FINEST, highest - OWN_LEVELS + 1)
+    dealt, kept = _dealt(rows, names, own, threshold, lowest, highest), []
     while True:
-        by_region = dealt.repartition(*REGION).sortWithinPartitions(*REGION, "nms_rank", "nms_row").drop("nms_rank")
-        found = write_table(by_region.mapInArrow(_Region(threshold).settle, "nms_row long, fate int"), "nms-fates")
-        kept.append(found.where(F.col("fate") == KEPT).select("nms_row"))
-        if found.where(F.col("fate") == OPEN).isEmpty():
+        found = write_table(_walked(dealt.repartition(*own, *CELL), detections, own, threshold), "nms-fates")
+        kept.append(found.where(F.col(KNOWN) == KEPT).select(*names))
+        if found.where(F.col(KNOWN) == OPEN).isEmpty():
             break
-        # Rows kept in earlier rounds have struck out what they can.
-        now = now.where(F.col("known") == OPEN).drop("known").join(found.where(F.col("fate") != STRUCK), "nms_row")
-        now = write_table(now.withColumnRenamed("fate", "known"), "nms-open")
-        dealt = _dealt(now, threshold, lowest, highest)
-        waiting = write_table(dealt.where("home").where(F.col("known") == OPEN).select(*REGION).distinct(), "nms-regions")
+        # Rows kept in earlier rounds have struck out what they can, and those of this round have done so at home.
+        dealt = _dealt(found, names, own, threshold, lowest, highest).where(~F.col(HOME) | (F.col(KNOWN) == OPEN)).withColumns(_region(own))
+        waiting = write_table(dealt.where(HOME).select(*REGION).distinct(), "nms-regions")
         dealt = dealt.join(waiting, list(REGION), "left_semi")
-    chosen = rows.join(reduce(DataFrame.unionByName, kept), "nms_row", "left_semi")
+    chosen = reduce(DataFrame.unionByName, kept)
     if max_det:
-        chosen = top_rows(chosen, keys, [F.col("nms_rank"), F.col("nms_row")], max_det, "nms_place")
-    return chosen.select(*detections.columns)
-
+        chosen = top_rows(chosen.withColumn("nms_rank", _rank(chosen)), keys, [F.col("nms_rank")], max_det, "nms_place")
+    return chosen.select(*names)
 
-REGION = ("region_a", "region_b")
 
+REGION = ("nms_region_a", "nms_region_b")
+# Whether a region is the home of a row, and what is known of it.
+HOME, KNOWN = "nms_home", "nms_known"
+# Corners as the regions compare them.
+BOX = tuple(f"nms_{c}" for c in CORNERS)
 
 # Up to so many levels of difference, boxes are at home on the grid of their own level.
 OWN_LEVELS = 6
 
 
-def _region_levels(rows: DataFrame, threshold: float) -> tuple[int, int]:
-    """The finest and the coarsest grid of regions.
+def _few_levels(threshold: float) -> bool:
+    """Whether boxes that can suppress each other differ by few levels; a threshold below 1/64 lets boxes of very different sizes meet."""
+    return threshold * (1 << OWN_LEVELS) >= 1
+
 
-    A threshold below 1/64 lets boxes of very different sizes meet. Then the grids end a few levels below the largest box,
-    as large boxes would be seen by too many regions of finer ones.
+def _boxes() -> list[Column]:
+    return [c.cast("double") for c in corners()]
+
+
+def _region(own: list[str]) -> dict[str, Column]:
+    """The key of a region as two numbers."""
+    place = [*(F.col(c).isNull() for c in own), *own, *CELL]
+    return {name: F.xxhash64(F.lit(n), *place) for n, name in enumerate(REGION)}
+
+
+def _dealt(rows: DataFrame, names: list[str], own: list[str], threshold: float, lowest: int, highest: int) -> DataFrame:
+    """A row for every region that sees a detection, with its cell and whether it is the home; what does not enter the order stays at home.
+
+    A detection that meets nothing is at home outside the grids, spread by its hash.
     """
-    if threshold * (1 << OWN_LEVELS) >= 1:
-        return FINEST, COARSEST
-    highest = rows.agg(F.max(level_of(corners()))).first()[0] or FINEST
-    return max(FINEST, highest - OWN_LEVELS + 1), highest
-
-
-def _dealt(rows: DataFrame, threshold: float, lowest: int, highest: int) -> DataFrame:
-    """A row for every region that sees a detection, with the region's key, its size level, and whether it is the home."""
-    level = F.greatest(level_of(corners()), F.lit(lowest))
-    low, high = partner_levels(corners(), threshold)
-    home_x, home_y = centre_cell(corners(), F.col("home_level"), REGION_SIDES)
-    homes = rows.withColumn("home_level", level.cast("int")).withColumns({"home_x": home_x, "home_y": home_y})
-    ends = F.greatest(low, F.lit(lowest)), F.greatest(F.col("home_level"), F.least(high, F.lit(highest)))
-    spread = in_cells(homes, corners(), *ends, lambda n: reach(corners(), n, threshold), REGION_SIDES)
-    place = ["own_a", "own_b", *CELL]
-    key = [F.xxhash64(*place).alias("region_a"), F.xxhash64(F.lit(1), *place).alias("region_b")]
-    home = reduce(Column.__and__, (F.col(c) == F.col(h) for c, h in zip(CELL, ("home_level", "home_x", "home_y"))))
-    return spread.select(*key, home.alias("home"), F.col("cell_level").alias("level"), *rows.columns)
+    box = _boxes()
+    meets = reduce(Column.__and__, (F.col(c).isNotNull() for c in own if c == "cls"), placeable(box))
+    level, (low, high) = F.greatest(level_of(box), F.lit(lowest)), partner_levels(box, threshold)
+    ends = F.greatest(low, F.lit(lowest)), F.greatest(level, F.least(high, F.lit(highest)))
+    low, high, level = (F.when(meets, n).otherwise(NOWHERE) for n in (*ends, level))
+    homes = rows.withColumn("nms_home_level", grid_level(level))
+    spread = in_cells(homes, box, low, high, lambda n: reach(box, n, threshold), REGION_SIDES, F.xxhash64(*names))
+    cell, x, y = (F.col(c) for c in CELL)
+    here = reduce(Column.__and__, (a == b for a, b in zip((x, y), centre_cell(box, cell, REGION_SIDES))))
+    home = F.when(cell < FINEST, True).otherwise((cell == F.col("nms_home_level")) & here)
+    ranked = {*own, "tile_id", "det_id", "cls", *CORNERS, "conf"}
+    told = spread.withColumn(HOME, home)
+    return told.select(*(F.col(c) if c in ranked else F.when(F.col(HOME), F.col(c)).alias(c) for c in names), KNOWN, HOME, *CELL)
+
+
+def _walked(dealt: DataFrame, detections: DataFrame, own: list[str], threshold: float) -> DataFrame:
+    """The detections that their home regions keep or leave open, with that fate as ``KNOWN``."""
+    names = detections.columns
+    sorted_rows = dealt.withColumns(_region(own)).sortWithinPartitions(*REGION, *_rank_values(detections))
+    level = F.when(F.col(CELL[0]) >= FINEST, F.col(CELL[0])).alias("nms_level")
+    walked = sorted_rows.select(*REGION, level, HOME, KNOWN, *(c.alias(name) for c, name in zip(_boxes(), BOX)), *names)
+    schema = T.StructType([*detections.schema.fields, T.StructField(KNOWN, T.IntegerType())])
+    return walked.mapInArrow(_Region(threshold, names).settle, schema)
 
 
 class _Region:
     """Goes through the detections of each region from the best one down; only kept and open ones are remembered."""
 
-    def __init__(self, threshold: float):
-        self.threshold = threshold
+    def __init__(self, threshold: float, names: list[str]):
+        self.threshold, self.names = threshold, names
         self.wide = centre_reach(threshold) if threshold > 0 else None
         # Boxes that meet others of any size look far, and take coarse cells.
-        self.cell = 1 / FINE if threshold * (1 << OWN_LEVELS) >= 1 else 1.0
+        self.cell = 1 / FINE if _few_levels(threshold) else 0.5
 
     def settle(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region, side, largest = None, 1.0, 0.0
         near: dict[tuple[int, int], list[tuple]] = {}
         for batch in batches:
             rows, fates = [], []
-            columns = [batch.column(c).to_pylist() for c in (*REGION, "level", "home", "known", "nms_row", *CORNERS)]
-            for a, b, level, home, known, row, x1, y1, x2, y2 in zip(*columns):
+            columns = [batch.column(c).to_pylist() for c in (*REGION, "nms_level", HOME, KNOWN, *BOX)]
+            for row, (a, b, level, home, known, x1, y1, x2, y2) in enumerate(zip(*columns)):
+                if level is None:
+                    # Outside the grids nothing meets.
+                    rows.append(row)
+                    fates.append(KEPT)
+                    continue
                 if (a, b) != region:
                     region, side, largest, near = (a, b), 2.0**level * self.cell, 0.0, {}
                 box = (x1, y1, x2, y2, (x2 - x1) * (y2 - y1))
                 fate = KEPT if known == KEPT else self._fate(near, side, largest, box, home)
-                if fate != STRUCK:
-                    near.setdefault((int((x1 + x2) / 2 // side), int((y1 + y2) / 2 // side)), []).append((*box, fate))
-                    largest = max(largest, x2 - x1, y2 - y1)
+                if fate == STRUCK:
+                    continue
+                near.setdefault((int((x1 + x2) / 2 // side), int((y1 + y2) / 2 // side)), []).append((*box, fate))
+                largest = max(largest, x2 - x1, y2 - y1)
                 if home and known == OPEN:
                     rows.append(row)
                     fates.append(fate)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(fates, pa.int32())], names=["nms_row", "fate"])
+            left = batch.select(self.names).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*left.columns, pa.array(fates, pa.int32())], names=[*self.names, KNOWN])
 
     def _fate(self, near: dict, side: float, largest: float, box: tuple, home: bool) -> int:
         x1, y1, x2, y2, area = box

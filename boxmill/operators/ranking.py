@@ -23,18 +23,32 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Keys, how: str = "inner")
     return left.join(named, same, how).drop(*(f"right_{n}_" for n in range(len(keys))))
 
 
+def group_sizes(df: DataFrame, keys: Keys, limit: int) -> tuple[DataFrame | None, bool]:
+    """Keys of the groups with more than ``limit`` rows (None when there is none), and whether there are any others."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
+    # The others make one row, so one job tells both.
+    group = F.when(F.col("group_rows") > limit, F.struct(*keys)).alias("group_")
+    table, n = small_table(counts.groupBy(group).agg(F.max("group_rows").alias("group_rows")), "large-groups")
+    others = n != 0 and not table.where("group_ IS NULL").isEmpty()
+    if n == int(others):
+        return None, others
+    large = table.where("group_ IS NOT NULL").select("group_.*", "group_rows")
+    return large if n is None else F.broadcast(large), others
+
+
 def large_groups(df: DataFrame, keys: Keys, limit: int) -> DataFrame | None:
     """Keys of the groups with more than ``limit`` rows, or None when there is none."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).filter(F.col("group_rows") > limit)
-    table, n = small_table(counts, "large-groups")
-    return None if n == 0 else table
+    return group_sizes(df, keys, limit)[0]
 
 
 def split_large(df: DataFrame, keys: Keys, limit: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of groups above ``limit`` (None when there are none)."""
-    large = large_groups(df, keys, limit)
+    large, others = group_sizes(df, keys, limit)
     if large is None:
         return df, None
+    if not others:
+        # The input is not computed again to find no rows.
+        return df.where(F.lit(False)), df
     listed = large.select(*keys)
     return join_keys(df, listed, keys, "left_anti"), join_keys(df, listed, keys, "left_semi")
 
