@@ -9,6 +9,7 @@ from boxmill.functions.geometry import CORNERS, int_iou
 from boxmill.functions.scores import score_order
 from boxmill.operators.matching import overlap_pairs
 from boxmill.operators.nms import nms
+from boxmill.session import write_table
 
 MATCH_IOU = 0.5
 
@@ -90,10 +91,12 @@ def image_errors(images: DataFrame, predictions: DataFrame, truth: DataFrame, mi
     pairs = overlap_pairs(int_boxes(predictions), int_boxes(truth), min_iou, same_class=False, iou_of=int_iou)
     # One pass over the pairs: each adds to its box and to its prediction, summed up before anything moves.
     mixed = F.when(F.col("cls") != F.col("truth_cls"), 1).otherwise(0)
+    # The pairs are stored first: they are much narrower than the rows that met, whose shuffle then goes before the next one.
+    pairs = write_table(pairs.select("image_id", "box_id", *detection_ids(predictions), mixed.alias("mixed")), "error-pairs")
     ids = F.struct(*detection_ids(predictions))
     no_id = F.lit(None).cast(pairs.select(ids.alias("i")).schema["i"].dataType)
     sides = F.array(
-        F.struct(F.col("box_id").alias("box"), no_id.alias("det"), mixed.alias("mixed")),
+        F.struct(F.col("box_id").alias("box"), no_id.alias("det"), "mixed"),
         F.struct(F.lit(None).cast(pairs.schema["box_id"].dataType).alias("box"), ids.alias("det"), F.lit(0).alias("mixed")),
     )
     used = (
