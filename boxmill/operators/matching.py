@@ -58,7 +58,8 @@ def _meeting(predictions: DataFrame, truth: DataFrame, same_class: bool, how: st
     their image lies, and what follows moves nothing again.
     """
     first = F.when(placeable(corners()), F.col(CORNERS[0]))
-    p, t = (side.withColumn(CORNERS[0], first).alias(name) for side, name in ((predictions, "p"), (truth, "t")))
+    # Corners enter every comparison, and may be computed ones.
+    p, t = (computed_once(side, *CORNERS).withColumn(CORNERS[0], first).alias(name) for side, name in ((predictions, "p"), (truth, "t")))
     near = overlaps(*_boxes())
     if same_class:
         near = F.when(F.col("p.cls") == F.col("t.truth_cls"), near)

@@ -27,12 +27,13 @@ def group_sizes(df: DataFrame, keys: Keys, limit: int) -> tuple[DataFrame | None
     """Keys of the groups with more than ``limit`` rows (None when there is none), and whether there are any others."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows"))
     # The others make one row, so one job tells both.
-    group = F.when(F.col("group_rows") > limit, F.struct(*keys)).alias("group_")
-    table, n = small_table(counts.groupBy(group).agg(F.max("group_rows").alias("group_rows")), "large-groups")
-    others = n != 0 and not table.where("group_ IS NULL").isEmpty()
+    is_large, names = F.col("group_rows") > limit, [f"key_{n}_" for n in range(len(keys))]
+    listed = [F.when(is_large, F.col(k)).alias(name) for k, name in zip(keys, names)]
+    table, n = small_table(counts.groupBy(is_large.alias("large_"), *listed).agg(F.max("group_rows").alias("group_rows")), "large-groups")
+    others = n != 0 and not table.where("NOT large_").isEmpty()
     if n == int(others):
         return None, others
-    large = table.where("group_ IS NOT NULL").select("group_.*", "group_rows")
+    large = table.where("large_").select(*(F.col(name).alias(k) for k, name in zip(keys, names)), "group_rows")
     return large if n is None else F.broadcast(large), others
 
 

@@ -97,6 +97,9 @@ def test_groups_that_are_all_large_are_not_looked_through_again(spark):
     small, large = split_large(more, ["k"], 3)
     assert [tuple(r) for r in small.collect()] == [(2, 0)] and large.count() == 8
     assert group_sizes(more, ["k"], 9) == (None, True) and group_sizes(more.limit(0), ["k"], 9) == (None, False)
+    # Keys that cannot be null.
+    known = spark.range(3).union(spark.range(1))
+    assert not known.schema["id"].nullable and [t.count() for t in split_large(known, ["id"], 1)] == [2, 2]
 
 
 def test_groups_too_many_to_be_listed(spark, monkeypatch):
